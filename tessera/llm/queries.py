@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import jpeg, language, toxicity
+from tessera.llm import bpe, jpeg, language, token_files, toxicity
 from tessera.llm.common import held_out
 
 
@@ -13,6 +16,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    manifest = token_files.write(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+    def digest(doc_id, start, ids):
+        return doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())
+
+    return token_files.documents(spark, manifest, digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    vocab = bpe.vocabulary(spark, public_tokenizers.path("word_bpe_49k.json"))
+    ids = docs.select("doc_id", bpe.encode_column(vocab, F.col("text")).alias("ids"))
+    both = ids.select("doc_id", "ids", bpe.decode_column(vocab, F.col("ids")).alias("decoded"))
+    joined = F.array_join(F.col("ids"), " ")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.train(docs, ~held_out(F.col("doc_id"), 5, 0))
@@ -37,6 +59,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op3_token_files": op3_token_files,
+        "op4_bpe": op4_bpe,
         "op7_language": op7_language,
         "op9_jpeg": op9_jpeg,
         "op10_toxicity": op10_toxicity,
