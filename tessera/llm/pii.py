@@ -320,6 +320,11 @@ def spans_column(docs: DataFrame, field: SpanField, text: Column) -> Column:
     return found(F.coalesce(text, F.lit("")))
 
 
+def of_kind(kind: str):
+    """Condition on a span, for the higher-order functions."""
+    return lambda span: span["kind"] == kind
+
+
 def in_order(spans: Column) -> Column:
     """Spans by start, then kind as listed, then end."""
     rank = lambda s: F.struct(s["start"].alias("start"), F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("rank"), s["finish"].alias("finish"), s["kind"].alias("kind"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, jpeg, language, pii, token_files, toxicity
+from tessera.llm import bpe, jpeg, language, lm, pii, token_files, toxicity
 from tessera.llm.common import held_out
 
 
@@ -20,11 +20,17 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     field = pii.train(docs)
     found = docs.select("doc_id", pii.spans_column(docs, field, F.col("text")).alias("s")).select("doc_id", "s.base", "s.added")
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    counts = [F.size(F.filter("base", pii.of_kind(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
     spans = pii.written(F.concat("base", "added"))
     return found.select("doc_id", *counts, F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), spans.alias("spans"), F.size("added").cast("long").alias("n_added"))
 
 
+def op2_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = lm.score(docs, ~held_out(F.col("doc_id"), 7, 2), public_tokenizers.path("piece_bpe_32k.model"))
+    return scored.select("doc_id", held_out(F.col("doc_id"), 7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     manifest = token_files.write(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
@@ -69,6 +75,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_pii": op1_pii,
+        "op2_lattice": op2_lattice,
         "op3_token_files": op3_token_files,
         "op4_bpe": op4_bpe,
         "op7_language": op7_language,
