@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, jpeg, language, lm, pii, token_files, toxicity
+from tessera.llm import bpe, jpeg, language, lm, mixing, pii, token_files, toxicity
 from tessera.llm.common import held_out
 
 
@@ -50,6 +50,12 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    size = F.col("mix_size")
+    return mixed.select("doc_id", size.alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (size * F.col("mix_copies")).alias("taken"), F.col("mix_copies").alias("copies"), F.col("mix_rate").alias("rate"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.train(docs, ~held_out(F.col("doc_id"), 5, 0))
@@ -78,6 +84,7 @@ def queries() -> dict:
         "op2_lattice": op2_lattice,
         "op3_token_files": op3_token_files,
         "op4_bpe": op4_bpe,
+        "op6_mixing": op6_mixing,
         "op7_language": op7_language,
         "op9_jpeg": op9_jpeg,
         "op10_toxicity": op10_toxicity,
