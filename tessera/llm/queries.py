@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, jpeg, language, lm, mixing, pii, token_files, topk, toxicity
+from tessera.llm import bpe, jaccard, jpeg, language, lm, mixing, pii, token_files, topk, toxicity
 from tessera.llm.common import held_out
 
 
@@ -75,6 +75,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"), F.col("p.langs").alias("langs"), F.col("p.shares").alias("shares"))
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     media = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), jpeg.media_column(F.col("text")).alias("media"))
@@ -99,6 +103,7 @@ def queries() -> dict:
         "op5_balltree": op5_balltree,
         "op6_mixing": op6_mixing,
         "op7_language": op7_language,
+        "op8_jaccard": op8_jaccard,
         "op9_jpeg": op9_jpeg,
         "op10_toxicity": op10_toxicity,
     }
