@@ -24,6 +24,8 @@ ORDERS = (3, 4, 5)
 BITS = 19
 #: Texts of each class that the classifier is fitted on, at most.
 PER_CLASS = 2000
+#: Share of toxic texts that the intercept assumes, whatever the sample holds.
+PRIOR = 0.2
 
 
 @dataclass(frozen=True)
@@ -58,7 +60,7 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, learn: Column, label: st
     return docs.select("doc_id", "text").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").select("text", "label")
 
 
-def fit(sample: list[tuple[str | None, int]], ridge: float = 1e-3, steps: int = 60) -> ToxicityModel:
+def fit(sample: list[tuple[str | None, int]], prior: float = PRIOR, ridge: float = 1e-3, steps: int = 60) -> ToxicityModel:
     """Log-count ratios, then logistic regression on the scaled binary features by accelerated gradient steps."""
     y = np.array([int(v) for _, v in sample], dtype=np.float64)
     if not len(y) or y.min() == y.max():
@@ -82,7 +84,7 @@ def fit(sample: list[tuple[str | None, int]], ridge: float = 1e-3, steps: int =
     col = np.concatenate(cols) if cols else np.empty(0, dtype=np.int64)
     row = np.repeat(np.arange(len(y)), [len(c) for c in cols])
     value = ratio[kept][col]
-    weight = np.where(y == 1, 0.5 / n_pos, 0.5 / n_neg)  # both classes count alike
+    weight = np.where(y == 1, prior / n_pos, (1 - prior) / n_neg)
     square = np.bincount(row, value**2, len(y)).max(initial=0.0)
     step = 1.0 / (0.25 * max(square, 1.0) * 0.05 + ridge)
     w, b = np.zeros(len(kept)), 0.0
