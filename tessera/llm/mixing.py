@@ -8,7 +8,7 @@ Newton steps, kept inside a bracket, solve it for all sources at once, each step
 A rate depends on source and size alone, so the steps run over the histogram (source, size, documents).
 Rates are then rounded into whole copies: within a source, sizes in falling order pass the words
 that rounding leaves over on to the next smaller size, so that a source ends within about half of
-its smallest document of its target; a size's copies go evenly to its documents, the remainder to
+its smallest document of its target where its smaller documents can take up what the larger leave; a size's copies go evenly to its documents, the remainder to
 those whose hashes are lowest.
 
 Targets: sources by code point, null last, weigh ``WEIGHTS`` in turn, and share all words in

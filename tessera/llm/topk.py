@@ -142,7 +142,7 @@ def top_k(table: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", vector
                     points = np.frombuffer(r.points).reshape(r.n, r.dim)
                     own = {int(x): i for i, x in enumerate(np.frombuffer(r.rows, "<i8"))}
                     exact = not points.size or float(np.abs(points).max()) ** 2 * r.dim < EXACT / 4
-                    shard = {"points": points if exact else as_integers(points / 256), "ids": np.frombuffer(r.ids, "<i8"), "nodes": [tuple(x) for x in np.frombuffer(r.nodes, "<i8").reshape(-1, 4).tolist()], "centres": np.frombuffer(r.centres).reshape(-1, r.dim), "radii": np.frombuffer(r.radii)}
+                    shard = {"points": points if exact else as_integers(points / 256), "ids": np.frombuffer(r.ids, "<i8"), "nodes": [tuple(x) for x in np.frombuffer(r.nodes, "<i8").reshape(-1, 4).tolist()], "centres": np.frombuffer(r.centres).reshape(len(r.radii) // 8, r.dim), "radii": np.frombuffer(r.radii)}
                     out = []
                     for qid, row, v in asked:
                         if len(v) != r.dim:
