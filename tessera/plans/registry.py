@@ -5,23 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def query(name: str, sql: str | None = None):
-    """Register a query under a name, with its DuckDB SQL where there is one."""
-
-    def keep(f):
-        ENTRIES[name] = (f, sql)
-        return f
-
-    return keep
+from tessera.plans import operational, retrieval, texts  # noqa: F401  each registers its queries
+from tessera.plans.base import ENTRIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -30,16 +16,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {k: s for k, (_, s) in ENTRIES.items() if s}
-
-
-@query(
-    "summary_by_source",
-    """SELECT o_orderpriority AS source, count(*) AS total,
-         sum(CASE WHEN o_orderstatus <> 'F' THEN 1 ELSE 0 END)::BIGINT AS active,
-         sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END)::BIGINT AS inactive
-       FROM orders GROUP BY 1""",
-)
-def summary_by_source(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders")
-    closed = (F.col("o_orderstatus") == "F").cast("long")
-    return orders.groupBy(F.col("o_orderpriority").alias("source")).agg(F.count("*").alias("total"), F.sum(1 - closed).alias("active"), F.sum(closed).alias("inactive"))
