@@ -1 +1,210 @@
-"""Text queries."""
+"""Queries over texts, pages and documents: rules, fingerprints, versions, quality, redaction, retention."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tessera.functions import text as X
+from tessera.operators import analytics as A
+from tessera.operators import documents as D
+from tessera.plans.base import query, table
+
+WS = r"[ \t\n\r\x0b\f]+"
+NORMAL = "trim(regexp_replace(coalesce({0}, ''), '[\\s\\x0b\\x1c-\\x1f\\x85\\p{{Z}}]+', ' ', 'g'))"
+
+
+def rule_sql(text: str, rules) -> str:
+    """The rules as a CASE over a lower-cased text."""
+    hit = lambda words: " OR ".join(f"contains({text}, '{w}')" for w in words)
+    return "CASE " + " ".join(f"WHEN {hit(words)} THEN '{name}'" for name, words in rules) + " END"
+
+
+LOW = f"lower({NORMAL.format('text')})"
+
+
+@query("document_fingerprint", f"SELECT doc_id, sha256(replace({LOW}, 'ß', 'ss') || '||' || lower(source)) AS fingerprint FROM documents")
+def document_fingerprint(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.fingerprint(F.col("text"), F.col("source")).alias("fingerprint"))
+
+
+@query("first_of_copies", f"SELECT sha256({LOW}) AS content, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
+def first_of_copies(spark, d):
+    return table(spark, d, "documents").groupBy(F.sha2(D.content_text(F.col("text")), 256).alias("content")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+
+
+@query(
+    "text_rules",
+    f"""WITH t AS (SELECT doc_id, replace({LOW}, 'ß', 'ss') AS t FROM documents)
+        SELECT doc_id, {rule_sql('t', X.EMPLOYMENT_RULES)} AS employment, coalesce({rule_sql('t', X.SENIORITY_RULES)}, CASE WHEN t <> '' THEN 'mid' END) AS seniority,
+          {rule_sql('t', X.WORKPLACE_RULES)} AS workplace FROM t""",
+)
+def text_rules(spark, d):
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", X.employment_type(t).alias("employment"), X.seniority(F.lit(None).cast("string"), t).alias("seniority"), X.workplace_type(t).alias("workplace"))
+
+
+@query(
+    "url_normalized",
+    r"""WITH p AS (SELECT page_id, regexp_extract(trim(url), '^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)', ['scheme', 'host', 'path']) AS u FROM pages),
+          q AS (SELECT page_id, u, regexp_replace(CASE WHEN u.path = '' THEN '/' ELSE u.path END, '/{2,}', '/', 'g') AS path FROM p)
+        SELECT page_id, CASE WHEN u.scheme = '' THEN 'https' ELSE lower(u.scheme) END || '://' || lower(u.host) || CASE WHEN path = '/' THEN '/' ELSE regexp_replace(path, '/+$', '') END AS url FROM q""",
+)
+def url_normalized(spark, d):
+    return table(spark, d, "pages").select("page_id", X.normalize_url(F.col("url")).alias("url"))
+
+
+@query(
+    "page_text",
+    f"""WITH s AS (SELECT page_id, {NORMAL.format("regexp_replace(" + NORMAL.format('html') + ", '<[^>]+>', ' ', 'g')")} AS body FROM pages)
+        SELECT page_id, length(body) AS characters, sha256(body) AS body_sha256, CASE WHEN length(body) >= 1200 THEN 1.0 WHEN length(body) >= 700 THEN 0.92 WHEN length(body) >= 350 THEN 0.82
+          WHEN length(body) >= 180 THEN 0.68 WHEN length(body) >= 80 THEN 0.52 WHEN length(body) >= 1 THEN 0.35 ELSE 0.2 END::DOUBLE AS completeness FROM s""",
+)
+def page_text(spark, d):
+    body = X.strip_html(F.col("html"))
+    return table(spark, d, "pages").select("page_id", F.length(body).cast("long").alias("characters"), F.sha2(body, 256).alias("body_sha256"), X.completeness(F.col("html")).alias("completeness"))
+
+
+@query(
+    "page_links",
+    r"""SELECT page_id, count(*) AS links, count(DISTINCT link) AS distinct_links FROM (
+          SELECT page_id, unnest(regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"', 1)) AS link FROM pages) GROUP BY 1""",
+)
+def page_links(spark, d):
+    from tessera.sources.postings import links
+
+    found = links(table(spark, d, "pages"), "page_id", "html")
+    return found.groupBy("page_id").agg(F.count("*").alias("links"), F.count_distinct("href").alias("distinct_links"))
+
+
+@query(
+    "title_similarity",
+    """SELECT p_partkey, p_brand, CASE WHEN p_name = '' THEN 0 ELSE len(list_intersect(string_split(p_name, ' '), ['red', 'ring', 'small'])) * 1.0
+         / len(list_distinct(list_concat(string_split(p_name, ' '), ['red', 'ring', 'small']))) END::DOUBLE AS similarity FROM part""",
+)
+def title_similarity(spark, d):
+    wanted = F.array(*map(F.lit, ("red", "ring", "small")))
+    return table(spark, d, "part").select("p_partkey", "p_brand", X.jaccard(F.split("p_name", " "), wanted).alias("similarity"))
+
+
+@query(
+    "title_keywords",
+    """WITH w AS (SELECT p_partkey, list_distinct(list_filter(regexp_extract_all(lower(p_name || ' ' || p_type || ' senior role'), '[a-z0-9.+#-]{2,}'), lambda x: NOT (x IN ('senior', 'role', 'for', 'of', 'the')))) AS k FROM part)
+       SELECT p_partkey, array_to_string(list_sort(k), ' ') AS keywords, len(k) AS n FROM w""",
+)
+def title_keywords(spark, d):
+    found = X.keywords(F.col("p_name"), F.col("p_type"), F.lit("senior role"))
+    return table(spark, d, "part").select("p_partkey", F.array_join(F.array_sort(found), " ").alias("keywords"), F.size(found).cast("long").alias("n"))
+
+
+@query("token_estimates", r"SELECT doc_id, CASE WHEN n = 0 THEN 0 ELSE greatest(1, floor(n * 1.25)) END::BIGINT AS tokens FROM (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\s\x0b]+')) AS n FROM documents)")
+def token_estimates(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.token_estimate(F.col("text")).alias("tokens"))
+
+
+@query(
+    "last_turns",
+    """SELECT conv_id, turns, turn, role, text FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS turns, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role, text) AS k FROM conversations) WHERE k = 1""",
+)
+def last_turns(spark, d):
+    rows = table(spark, d, "conversations")
+    turns = rows.groupBy("conv_id").agg(F.count("*").alias("turns"))
+    return A.latest(rows, ["conv_id"], [F.desc("turn"), F.col("role"), F.col("text")]).join(turns, "conv_id").select("conv_id", "turns", "turn", "role", "text")
+
+
+SIMHASH_SQL = f"""WITH w AS (SELECT doc_id, ('0x' || substr(sha256(w), 49, 16))::UBIGINT AS h FROM (SELECT doc_id, unnest(list_filter(string_split({LOW}, ' '), lambda x: x <> '')) AS w FROM documents)),
+  s AS (SELECT doc_id, {", ".join(f"sum(CASE WHEN (h >> {b}) & 1 = 1 THEN 1 ELSE -1 END) AS b{b}" for b in range(64))} FROM w GROUP BY 1)
+  SELECT doc_id, {" || ".join("substr('0123456789abcdef', (" + " + ".join(f"CASE WHEN b{63 - 4 * k - j} >= 0 THEN {8 >> j} ELSE 0 END" for j in range(4)) + ") + 1, 1)" for k in range(16))} AS simhash FROM s"""
+
+
+@query("document_simhash", SIMHASH_SQL)
+def document_simhash(spark, d):
+    return D.word_votes(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query(
+    "document_versions",
+    f"""WITH h AS ({SIMHASH_SQL}), l AS (SELECT doc_id, source, sha256(text) AS bytes, simhash, ('0x' || simhash)::UBIGINT AS v FROM documents JOIN h USING (doc_id)),
+          p AS (SELECT *, lag(v) OVER o AS pv, lag(bytes) OVER o AS pb, lag(doc_id) OVER o AS previous FROM l WINDOW o AS (PARTITION BY source ORDER BY doc_id)),
+          d AS (SELECT *, 1 - bit_count(xor(v, pv)) / 64.0 AS s FROM p WHERE previous IS NOT NULL)
+        SELECT doc_id, previous, s::DOUBLE AS similarity, CASE WHEN bytes = pb OR s >= 0.995 THEN 'exact_duplicate' WHEN s >= 0.82 THEN 'updated_version' WHEN s >= 0.72 THEN 'related_variant' ELSE 'unrelated' END AS relation FROM d""",
+)
+def document_versions(spark, d):
+    """Each document against the one before it in its source, which stands in for a person's uploads."""
+    docs = table(spark, d, "documents").select("doc_id", "source", F.sha2("text", 256).alias("bytes"))
+    order = Window.partitionBy("source").orderBy("doc_id")
+    both = docs.join(D.word_votes(table(spark, d, "documents"), "doc_id", "text"), "doc_id")
+    before = both.withColumns({f"p_{c}": F.lag(c).over(order) for c in ("doc_id", "bytes", "simhash")}).filter("p_doc_id is not null")
+    similarity = 1 - D.hamming(F.col("simhash"), F.col("p_simhash")) / D.BITS
+    return before.select("doc_id", F.col("p_doc_id").alias("previous"), similarity.alias("similarity"), D.relation(similarity, F.col("bytes") == F.col("p_bytes"), F.lit(True)).alias("relation"))
+
+
+# Fixed values of this query: frequent words that mark a language.
+MARKERS = {"en": ("the", "of", "and", "with"), "de": ("der", "die", "und", "nicht"), "fr": ("les", "des", "est", "pour"), "es": ("los", "que", "por", "para")}
+
+
+def marker_sql() -> str:
+    words = r"' ' || regexp_replace(lower(coalesce(text, '')), '[\s\x0b.,;:!?]+', '  ', 'g') || ' '"
+    count = lambda w: f"(length(t) - length(replace(t, ' {w} ', ''))) // {len(w) + 2}"
+    sums = ", ".join(f"{' + '.join(count(w) for w in some)} AS {k}" for k, some in MARKERS.items())
+    best = f"greatest({', '.join(MARKERS)})"
+    return f"SELECT doc_id, CASE WHEN {best} = 0 THEN 'en' " + " ".join(f"WHEN {k} = {best} THEN '{k}'" for k in MARKERS) + f" END AS language FROM (SELECT doc_id, {sums} FROM (SELECT doc_id, {words} AS t FROM documents))"
+
+
+@query("marker_language", marker_sql())
+def marker_language(spark, d):
+    return table(spark, d, "documents").select("doc_id", D.language(F.col("text"), MARKERS, "en").alias("language"))
+
+
+QUALITY_SQL = r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+  c AS (SELECT doc_id, length(t) AS characters, len(regexp_extract_all(t, '[^ \t\n\r\x0b\x0c]+')) AS words, len(regexp_extract_all(t, '[A-Za-z]')) AS a, len(regexp_extract_all(t, '[0-9]')) AS d,
+    len(regexp_extract_all(t, '[ \t\n\r]')) AS s, len(regexp_extract_all(t, '[#$%&*@|<>{}~^]')) AS y, len(regexp_extract_all(t, '\n')) AS breaks, len(regexp_extract_all(t, '[ \t\n\r\x0b\x0c]')) AS b FROM t),
+  m AS (SELECT doc_id, characters, words, round(a / greatest(characters, 1), 6) AS letters, round(d / greatest(characters, 1), 6) AS digits, round(s / greatest(characters, 1), 6) AS spaces,
+    round(y / greatest(characters, 1), 6) AS symbols, breaks, round((characters - b) / greatest(words, 1), 6) AS word_length FROM c)
+  SELECT *, CASE WHEN (words >= 30)::INT + (letters >= 0.6)::INT + (symbols <= 0.05)::INT + (word_length BETWEEN 2.5 AND 12)::INT >= 4 THEN 'high'
+    WHEN (words >= 30)::INT + (letters >= 0.6)::INT + (symbols <= 0.05)::INT + (word_length BETWEEN 2.5 AND 12)::INT >= 2 THEN 'medium' ELSE 'low' END AS band FROM m"""
+
+
+@query("text_quality", QUALITY_SQL)
+def text_quality(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", *D.quality_metrics(F.col("text")))
+    return rows.withColumn("characters", F.col("characters").cast("long")).withColumn("band", D.quality_band(*[F.col(c) for c in ("words", "letters", "symbols", "word_length")]))
+
+
+@query(
+    "contact_redaction",
+    r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, 'https?://[^\s\x0b]+', '[REDACTED_URL]', 'gi'), '[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}', '[REDACTED_EMAIL]', 'gi'),
+          '(?:(?:\+|00)\d{1,3}[\s\x0b.-]?)?(?:\(?\d{2,4}\)?[\s\x0b.-]?){2,4}\d{2,4}', '[REDACTED_PHONE]', 'g')) AS redacted_sha256 FROM documents""",
+)
+def contact_redaction(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.sha2(D.redact(F.col("text")), 256).alias("redacted_sha256"))
+
+
+@query(
+    "retention_plan",
+    """WITH a AS (SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'raw_document' WHEN '2-HIGH' THEN 'audit_log' WHEN '5-LOW' THEN 'cache_entry' ELSE 'other' END AS kind, o_orderdate FROM orders),
+         e AS (SELECT *, o_orderdate + to_days(CASE kind WHEN 'raw_document' THEN 30 WHEN 'audit_log' THEN 365 WHEN 'cache_entry' THEN 14 ELSE 180 END) AS expires_at FROM a)
+       SELECT o_orderkey, kind, expires_at, CASE WHEN expires_at <= TIMESTAMP '1998-06-01' THEN 'expire' ELSE 'keep' END AS disposition,
+         greatest(0, date_diff('day', TIMESTAMP '1998-06-01', expires_at)) AS remaining_days FROM e""",
+)
+def retention_plan(spark, d):
+    kind = F.when(F.col("o_orderpriority") == "1-URGENT", "raw_document").when(F.col("o_orderpriority") == "2-HIGH", "audit_log").when(F.col("o_orderpriority") == "5-LOW", "cache_entry").otherwise("other")
+    rows = table(spark, d, "orders").select("o_orderkey", kind.alias("kind"), "o_orderdate")
+    plan = rows.withColumn("r", D.retention(F.col("kind"), F.col("o_orderdate"), F.lit("1998-06-01 00:00:00").cast("timestamp")))
+    return plan.select("o_orderkey", "kind", "r.expires_at", "r.disposition", "r.remaining_days")
+
+
+@query(
+    "incremental_parse",
+    """WITH n AS (SELECT user_id, event_type, md5(string_agg(CASE WHEN value > 30 THEN 'x' ELSE 'y' END, '' ORDER BY event_id)) AS digest FROM events WHERE ts < TIMESTAMP '2024-01-03' GROUP BY 1, 2),
+         c AS (SELECT user_id, event_type, md5(string_agg('x', '' ORDER BY event_id)) AS digest FROM events WHERE ts < TIMESTAMP '2024-01-03' GROUP BY 1, 2)
+       SELECT user_id, count(c.digest) AS reused, count(*) AS sections, CASE WHEN count(c.digest) = count(*) THEN 'EXACT_HIT' WHEN count(c.digest) > 0 THEN 'PARTIAL_REUSE' ELSE 'MISS' END AS plan
+       FROM n LEFT JOIN c USING (user_id, event_type, digest) GROUP BY 1""",
+)
+def incremental_parse(spark, d):
+    """A user's events of one kind stand in for a section, whose digest decides whether its parse is reused; the first two days are the state."""
+    rows = table(spark, d, "events").filter("ts < TIMESTAMP '2024-01-03'")
+    digest = lambda mark: F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", mark.alias("m")))), lambda x: x["m"]), ""))
+    new = rows.groupBy("user_id", "event_type").agg(digest(F.when(F.col("value") > 30, "x").otherwise("y")).alias("digest"))
+    cached = rows.groupBy("user_id", "event_type").agg(digest(F.lit("x")).alias("digest"))
+    return D.parse_plan(new, cached, "user_id", "event_type", "digest")
