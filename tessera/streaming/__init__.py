@@ -1 +1 @@
-"""Streaming of the analytics library."""
+"""Streaming twins of the event operators."""
