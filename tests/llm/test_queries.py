@@ -13,6 +13,7 @@ from tokenizers import Tokenizer
 
 from tessera.llm.queries import queries
 
+BAD_WORDS = ("vile", "nasty", "rotten")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
