@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpoint
+from tessera.llm.common import checkpoint, most_frequent
 
 #: Words whose scores are sent to every task, at most.
 COMMON = 1 << 17
@@ -257,7 +257,7 @@ def score(docs: DataFrame, learn: Column, vocabulary_path: str, doc_id: str = "d
         own = math.log10(count + spread * 10.0**lattice) if count else math.log10(spread) + lattice
         return base, own - math.log10(total + spread), int(count > 0)
 
-    frequent = words.filter("count > 0").orderBy(F.desc("count"), "word").limit(common).select("word", "count", "lattice").toArrow()
+    frequent = most_frequent(words, "count", common).select("word", "count", "lattice").toArrow()  # at most `common` rows
     table = {w.encode(): values(c, x) for w, c, x in zip(*(frequent.column(k).to_pylist() for k in range(3)), strict=True)}
     shared = sc.broadcast((table, values(ends, end_lattice)))
     schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("word", pa.string()), ("k", pa.int64()), ("copies", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])

@@ -246,3 +246,13 @@ def test_classifier_learns_from_either_class_alone():
     assert toxicity.fit([("a", 0), ("b", 0)]).score("anything") < 0.01 and toxicity.fit([]).score(None) < 0.01
     model = toxicity.fit([("you vile thing " + "x" * k, 1) for k in range(20)] + [("you good thing " + "y" * k, 0) for k in range(40)])
     assert model.score("so vile") > 0.5 > model.score("so good") and 0 <= model.score(None) <= 1
+
+
+def test_most_frequent_keeps_the_top_within_its_bound(spark):
+    from tessera.llm.common import most_frequent
+
+    counted = spark.createDataFrame([(f"w{k}", k) for k in range(200)], "word string, n long")
+    for most in (0, 1, 7, 50, 199, 1000):
+        kept = {r.n for r in most_frequent(counted, "n", most).collect()}
+        assert len(kept) <= most and kept == set(range(200 - len(kept), 200))
+    assert len(most_frequent(counted, "n", 1000).collect()) == 199
