@@ -18,18 +18,23 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from itertools import chain
+from array import array
+from itertools import islice
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-#: Distinct white-space-free chunks, and distinct pieces, whose ids a worker remembers at most; then it starts anew.
-CACHE = 150_000
+#: Distinct white-space-free chunks, and distinct pieces, whose ids a worker remembers at most, and how many stay when there are more.
+CACHE, KEPT = 150_000, 100_000
 NEVER = 1 << 40
+#: White space as the tokenizer's rule has it; characters that Python alone also takes for white space.
+WHITE = regex.compile(r"\s+")
+CONTROL = regex.compile(r"[\x1c-\x1f]")
 #: Marks the last symbol of a piece; byte symbols lie below it.
 END = 0x1000
 
@@ -40,6 +45,13 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in set(plain))}
 
 
+def trim(cache: dict, most: int, kept: int) -> None:
+    """Forget the newest entries of a full cache: frequent ones have come early."""
+    if len(cache) > most:
+        for k in list(islice(reversed(cache), len(cache) - kept)):
+            del cache[k]
+
+
 class PrefixEncoder:
     """Encodes and decodes with the vocabulary, merges and text rules of a tokenizer file (word ends, lower case)."""
 
@@ -51,11 +63,14 @@ class PrefixEncoder:
         self.special = {t["content"]: t["id"] for t in j["added_tokens"]}
         self.rank = {tuple(m): k for k, m in enumerate(m if isinstance(m, list) else m.split(" ") for m in model["merges"])}
         self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
+        size = max(self.token) + 1
+        self.words = pa.array([self.token.get(i, "") for i in range(size)], pa.string())
+        self.has = np.array([i in self.token for i in range(size)])
         self.piece = regex.compile(j["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.split_special = regex.compile("(" + "|".join(regex.escape(t) for t in self.special) + ")") if self.special else None
         self.bytes = [byte_symbols()[b] for b in range(256)]
-        self.cache: dict[str, list[int]] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.cache: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.fits: dict[int, bool] = {}
         self._edges()
         self.automaton = ahocorasick.Automaton()
@@ -135,18 +150,17 @@ class PrefixEncoder:
         out.reverse()
         return out
 
-    def encode_piece(self, piece: str) -> list[int]:
+    def encode_piece(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
         if ids is None:
             s = piece if piece.isascii() and piece.isprintable() else "".join([self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")])
-            ids = self.encode_symbols(s[:-1] + chr(ord(s[-1]) + END) if self.suffix else s)
+            ids = array("i", self.encode_symbols(s[:-1] + chr(ord(s[-1]) + END) if self.suffix else s)).tobytes()
             if len(piece) < 64:
-                if len(self.pieces) >= CACHE:
-                    self.pieces.clear()
+                trim(self.pieces, CACHE, KEPT)
                 self.pieces[piece] = ids
         return ids
 
-    def encode_chunk(self, chunk: str) -> list[int]:
+    def encode_chunk(self, chunk: str) -> bytes:
         """Ids of a run without white space."""
         if chunk.isascii():
             text = chunk.lower()
@@ -154,37 +168,43 @@ class PrefixEncoder:
                 return self.encode_piece(text)
         else:
             text = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-        out: list[int] = []
-        for piece in self.piece.findall(text):
-            out += self.encode_piece(piece)
-        return out
+        return b"".join(map(self.encode_piece, self.piece.findall(text)))
 
-    def _plain(self, text: str) -> list[int]:
+    def _plain(self, text: str) -> bytes:
+        chunks = WHITE.split(text) if CONTROL.search(text) else text.split()
         cache = self.cache
-        found = []
-        for c in regex.split(r"\s+", text) if regex.search(r"[\x1c-\x1f]", text) else text.split():
-            ids = cache.get(c)
-            if ids is None:
-                ids = self.encode_chunk(c)
-                if len(c) < 64:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    cache[c] = ids
-            found.append(ids)
-        return list(chain.from_iterable(found))
+        trim(cache, CACHE, KEPT)
+        new = set(chunks).difference(cache)
+        for c in new:
+            cache[c] = self.encode_chunk(c)
+        out = b"".join(map(cache.__getitem__, chunks))
+        for c in new:
+            if len(c) > 64:
+                del cache[c]
+        return out
 
-    def encode(self, text: str) -> list[int]:
+    def encode_bytes(self, text: str) -> bytes:
+        """Ids of a text as native 32-bit integers."""
         if self.split_special is None or "<" not in text:
             return self._plain(text)
-        out: list[int] = []
-        for part in self.split_special.split(text):
-            out += [self.special[part]] if part in self.special else self._plain(part)
-        return out
+        return b"".join([array("i", [self.special[part]]).tobytes() if part in self.special else self._plain(part) for part in self.split_special.split(text)])
+
+    def encode(self, text: str) -> list[int]:
+        return array("i", self.encode_bytes(text)).tolist()
+
+    def decode(self, ids: list[int]) -> str:
+        return self.decode_all(pa.array([ids], pa.list_(pa.int32())))[0].as_py()
 
-    def decode(self, ids) -> str:
-        """The tokens joined by a space, as a tokenizer file without a decoder has it; unknown ids are left out."""
-        token = self.token
-        return " ".join([token[i] for i in ids if i in token])
+    def decode_all(self, arrays: pa.ListArray) -> pa.Array:
+        """For each array its tokens joined by a space, as a tokenizer file without a decoder has it; unknown ids are left out; null for null."""
+        ids = arrays.flatten().to_numpy(zero_copy_only=False)
+        known = (ids >= 0) & (ids < len(self.words)) & self.has[np.clip(ids, 0, len(self.words) - 1)] if len(ids) else np.empty(0, bool)
+        sizes = pc.fill_null(pc.list_value_length(arrays), 0).to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        places = np.concatenate([[0], np.cumsum(known)])[ends]
+        words = self.words.take(pa.array(ids[known]))
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(places, pa.int32()), words), " ")
+        return pc.if_else(arrays.is_valid(), joined, pa.scalar(None, pa.string()))
 
 
 _ENCODERS: dict[int, PrefixEncoder] = {}
@@ -213,12 +233,13 @@ def encode_column(vocab, text: Column) -> Column:
         enc = _encoder(vocab)
         ends, flat = [0], []
         for t in texts:
-            ids = np.array(enc.encode(t.as_py()), dtype=np.int32)
+            ids = enc.encode_bytes(t.as_py())
             flat.append(ids)
-            ends.append(ends[-1] + len(ids))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat) if flat else np.empty(0, np.int32)))
+            ends.append(ends[-1] + len(ids) // 4)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(flat), dtype=np.int32)))
 
-    return encoded(F.coalesce(text, F.lit("")))
+    # Not folded into the expressions over it, which would encode once for each of them.
+    return encoded.asNondeterministic()(F.coalesce(text, F.lit("")))
 
 
 def decode_column(vocab, ids: Column) -> Column:
@@ -227,6 +248,7 @@ def decode_column(vocab, ids: Column) -> Column:
     @F.arrow_udf("string")
     def decoded(arrays: pa.Array) -> pa.Array:
         enc = _encoder(vocab)
-        return pa.array([None if not a.is_valid else enc.decode(a.values.to_pylist()) for a in arrays], pa.string())
+        parts = [enc.decode_all(arrays.slice(k, 500)) for k in range(0, len(arrays), 500)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     return decoded(ids)
