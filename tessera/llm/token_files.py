@@ -15,7 +15,10 @@ an empty table gives an empty manifest.
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +27,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.bpe import trim
 from tessera.llm.common import fresh_dir
 
 NULL_ID = -(1 << 63)
@@ -52,6 +56,65 @@ def map_file(uri: str, dtype: str) -> np.ndarray:
         return np.frombuffer(f.read(), dtype=dtype)
 
 
+#: Chunks whose ids a worker remembers at most, and how many stay when there are more.
+CACHE, KEPT = 300_000, 200_000
+#: A space that does not stand right before a character other than white space.
+LOOSE = re.compile(r" (?=\s|\Z)")
+
+
+class ChunkEncoder:
+    """The ids of whole texts from a byte-level tokenizer of the tokenizers library, chunk by chunk.
+
+    Its splitting rule binds a space to the word after it, so a text can be cut before every space that a
+    character other than white space follows; the ids of the chunks, joined, are those of the text. The
+    library encodes each distinct chunk once. Texts that hold a special token go to the library whole.
+    """
+
+    def __init__(self, spec: str, end_id: int):
+        from tokenizers import Tokenizer
+
+        j = json.loads(spec)
+        self.tok = Tokenizer.from_str(spec)
+        self.whole = j["normalizer"] is not None or j["pre_tokenizer"]["type"] != "ByteLevel" or not j["pre_tokenizer"]["use_regex"] or j["pre_tokenizer"]["add_prefix_space"]
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in j["added_tokens"]) or r"(?!)")
+        self.width = 2 if max(self.tok.get_vocab_size(with_added_tokens=True) - 1, end_id) < 1 << 16 else 4
+        self.end = end_id.to_bytes(self.width, "little")
+        self.known: dict[str, bytes] = {}
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        kind = {2: "H", 4: "I"}[self.width]
+        return [array(kind, e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _cut(self, text: str) -> tuple[str, list[str]]:
+        """The first chunk, and the others without the space that each starts with."""
+        if self.whole or self.special.search(text):
+            return text, []
+        first, *rest = text.split(" ")
+        if not LOOSE.search(text):
+            return first, rest
+        out = [first]
+        for p in rest:
+            if p and not p[0].isspace():
+                out.append(p)
+            else:
+                out[-1] += " " + p
+        return out[0], out[1:]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text and the end id, as bytes."""
+        cut = [self._cut(t) for t in texts]
+        known = self.known
+        trim(known, CACHE, KEPT)
+        new = list(set().union(*[rest for _, rest in cut]).difference(known))
+        known.update(zip(new, self._library([" " + c for c in new]), strict=True))
+        of = known.__getitem__
+        out = [first + b"".join(map(of, rest)) + self.end for first, (_, rest) in zip(self._library([f for f, _ in cut]), cut, strict=True)]
+        for c in new:
+            if len(c) > 64:
+                del known[c]
+        return out
+
+
 def write(docs: DataFrame, tokenizer_path: str, end_id: int, where: str | None = None, shards: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode and write all documents; the manifest, one row for each shard, with bases, in document order."""
     spark = docs.sparkSession
@@ -70,11 +133,9 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, where: str | None =
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_str(vocab.value)
-        tok.encode_special_tokens = False
-        width = 2 if max(tok.get_vocab_size(with_added_tokens=True) - 1, end_id) < 1 << 16 else 4
+        encoder = ChunkEncoder(vocab.value, end_id)
+        width = encoder.width
         shard = TaskContext.get().partitionId()
         name = f"{where}/part-{shard:06d}-{uuid.uuid4().hex}"
         fs, path = open_fs(name)
@@ -84,9 +145,9 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, where: str | None =
                 if out is None:
                     out = fs.open_output_stream(path + ".ids")
                 some = b.slice(at, BATCH)
-                got = [np.array([*e.ids, end_id], dtype=f"<u{width}") for e in tok.encode_batch_fast(some.column(1).to_pylist(), add_special_tokens=False)]
-                sizes += [len(g) for g in got]
-                out.write(np.concatenate(got).tobytes())
+                got = encoder.encode(some.column(1).to_pylist())
+                sizes += [len(g) // width for g in got]
+                out.write(b"".join(got))
                 ids.append(some.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False))
         if out is None:
             return
