@@ -127,15 +127,14 @@ def class_copies(hist: DataFrame, solved: DataFrame, cap: int = CAP) -> DataFram
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, keep: bool = False) -> DataFrame:
-    """Rows of docs with mix_size, mix_source_size, mix_target, mix_rate and mix_copies; keep: with all columns of docs, else with the id alone.
+    """Rows of docs with mix_size, mix_source_size, mix_target, mix_rate and mix_copies.
 
-    A column of docs that has one of these names gives way.
+    Beside them, keep: all columns of docs in a struct named row, which no name can clash with; else the id alone.
     """
-    made = ["mix_key", "mix_size", "mix_hash", "mix_salt", "mix_source_size", "mix_target", "mix_rate", "mix_copies"]
-    named = docs.drop(*made)
-    kept = [F.col(f"`{c}`") for c in (named.columns if keep else [doc_id])]
+    kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if keep else F.col(doc_id).alias("doc_id")
+    own = "row" if keep else "doc_id"
     hashed = F.xxhash64(F.col(doc_id), F.col(text))
-    rows = named.select(*kept, source_key(F.col(source)).alias("mix_key"), word_count(F.col(text)).alias("mix_size"), hashed.alias("mix_hash")).withColumn("mix_salt", F.pmod(F.col("mix_hash"), F.lit(SALTS)))
+    rows = docs.select(kept, source_key(F.col(source)).alias("mix_key"), word_count(F.col(text)).alias("mix_size"), hashed.alias("mix_hash")).withColumn("mix_salt", F.pmod(F.col("mix_hash"), F.lit(SALTS)))
     if not keep:
         rows = checkpoint(rows)  # narrow; all that follows reads it instead of the texts
     dealt = checkpoint(rows.groupBy("mix_key", "mix_size", "mix_salt").agg(F.count("*").alias("docs")))
@@ -150,8 +149,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     salted = places.join(info, ["mix_key", "mix_size"], "left")
     goals = targets.select(F.col("key").alias("mix_key"), F.col("words").alias("mix_source_size"), F.col("target").alias("mix_target"))
     salted = checkpoint(salted.join(near(goals, few(goals)), "mix_key"))
-    rank = F.row_number().over(Window.partitionBy("mix_key", "mix_size", "mix_salt").orderBy("mix_hash", doc_id)) + F.col("mix_before")
+    rank = F.row_number().over(Window.partitionBy("mix_key", "mix_size", "mix_salt").orderBy("mix_hash")) + F.col("mix_before")
     each = F.expr("mix_all div mix_docs")
     copies = F.coalesce(each + (rank <= F.col("mix_all") - each * F.col("mix_docs")).cast("long"), F.lit(1).cast("long"))
     ranked = rows.join(salted, ["mix_key", "mix_size", "mix_salt"]).withColumn("mix_copies", copies)
-    return ranked.select(*kept, "mix_size", "mix_source_size", "mix_target", "mix_rate", "mix_copies")
+    return ranked.select(own, "mix_size", "mix_source_size", "mix_target", "mix_rate", "mix_copies")
