@@ -57,7 +57,7 @@ def map_file(uri: str, dtype: str) -> np.ndarray:
 
 
 #: Chunks whose ids a worker remembers at most, and how many stay when there are more.
-CACHE, KEPT = 300_000, 200_000
+CACHE, KEPT = 600_000, 400_000
 #: A space that does not stand right before a character other than white space.
 LOOSE = re.compile(r" (?=\s|\Z)")
 
