@@ -208,3 +208,30 @@ def incremental_parse(spark, d):
     new = rows.groupBy("user_id", "event_type").agg(digest(F.when(F.col("value") > 30, "x").otherwise("y")).alias("digest"))
     cached = rows.groupBy("user_id", "event_type").agg(digest(F.lit("x")).alias("digest"))
     return D.parse_plan(new, cached, "user_id", "event_type", "digest")
+
+
+PARSE_STATE = "TIMESTAMP '2024-01-16'"
+
+
+def section_digest_sql(mark: str) -> str:
+    hashed = " || ':' || ".join(f"sum(('0x' || substr(md5(event_id || {mark}), {at}, 15))::BIGINT)" for at in (1, 17))
+    return f"SELECT user_id, event_type || '/' || strftime(ts, '%Y-%m-%d') AS section, count(*) || ':' || {hashed} AS digest FROM events"
+
+
+@query(
+    "incremental_parse_all",
+    f"""WITH n AS ({section_digest_sql("CASE WHEN value > 30 THEN 'x' ELSE 'y' END")} GROUP BY 1, 2), c AS ({section_digest_sql("'x'")} WHERE ts < {PARSE_STATE} GROUP BY 1, 2)
+       SELECT user_id, count(c.digest) AS reused, count(*) AS sections, CASE WHEN count(c.digest) = count(*) THEN 'EXACT_HIT' WHEN count(c.digest) > 0 THEN 'PARTIAL_REUSE' ELSE 'MISS' END AS plan
+       FROM n LEFT JOIN c USING (user_id, section, digest) GROUP BY 1""",
+)
+def incremental_parse_all(spark, d):
+    """Every event is in the new state, by sections of (user, kind, day); the cached state holds the sections of one period before their last change.
+
+    A digest is the count and two sums of hashes of a section's rows, so that no task gathers a section.
+    """
+    rows = table(spark, d, "events").withColumn("section", F.concat("event_type", F.lit("/"), F.date_format("ts", "yyyy-MM-dd")))
+    part = lambda mark, at: F.sum(F.conv(F.substring(F.md5(F.concat(F.col("event_id").cast("string"), mark)), at, 15), 16, 10).cast("decimal(20,0)")).cast("string")
+    digest = lambda mark: F.concat_ws(":", F.count("*").cast("string"), part(mark, 1), part(mark, 17)).alias("digest")
+    new = rows.groupBy("user_id", "section").agg(digest(F.when(F.col("value") > 30, "x").otherwise("y")))
+    cached = rows.filter(f"ts < {PARSE_STATE}").groupBy("user_id", "section").agg(digest(F.lit("x")))
+    return D.parse_plan(new, cached, "user_id", "section", "digest")
