@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone")
 OUTSIDE = len(KINDS)
 MAX_TOKENS = 15
+#: The fewest digits of an admissible segment; those of an address of four octets.
+LEAST_DIGITS = 4
 #: Documents that the field is trained on at most.
 SAMPLE = 300
 
@@ -99,9 +101,9 @@ class Region:
 def regions(text: str) -> list[Region]:
     found = []
     for m in NUMBERS.finditer(text):
-        if sum(map(str.isdigit, m[0])) >= 7:
+        if sum(map(str.isdigit, m[0])) >= LEAST_DIGITS:
             found.append(Region(text, *m.span(), True))
-    if "@" in text or " at " in text or "at" in text.lower() and ("[" in text or "(" in text or "{" in text):
+    if "@" in text or " at " in text or " AT " in text or "at" in text.lower() and ("[" in text or "(" in text or "{" in text):
         found += [Region(text, *m.span(), False) for m in ADDRESS.finditer(text)]
     return found
 
@@ -154,9 +156,9 @@ def lattice(r: Region) -> tuple[int, list[tuple[int, int, int, list[str]]], list
                     segs.append((i, j, 0, span_features(0, t[a:z], "", "")))
                 continue
             digits = sum(map(str.isdigit, t[a:z]))
-            if 4 <= digits <= 19:
+            if LEAST_DIGITS <= digits <= 19:
                 left, right = t[a - 1] if a else "", t[z] if z < len(t) else ""
-                segs += [(i, j, k, span_features(k, t[a:z], left, right)) for k in (1, 2, 3) if digits <= (12, 19, 15)[k - 1] and digits >= (4, 12, 7)[k - 1]]
+                segs += [(i, j, k, span_features(k, t[a:z], left, right)) for k in (1, 2, 3) if digits <= (12, 19, 15)[k - 1] and digits >= (LEAST_DIGITS, 12, 7)[k - 1]]
     have = {s[0] for s in segs}
     segs += [(i, i + 1, OUTSIDE, ["O|p"]) for i in range(n) if i not in have]
     return n, sorted(segs), places
@@ -250,7 +252,8 @@ def examples(rng: random.Random, words: list[str]) -> tuple[str, list[tuple[int,
     a, b, c = str(rng.randint(200, 999)), d(3), d(4)
     card, not_card = card_number(rng, True), card_number(rng, False)
     four = lambda x, sep: sep.join(x[k : k + 4] for k in range(0, 16, 4))
-    o = [str(rng.randint(1, 255)) for _ in range(4)]
+    highest = rng.choice((9, 99, 255))
+    o = [str(rng.randint(0, highest)) for _ in range(4)]
     who, host = rng.choice(words) + rng.choice(["", ".", "_"]) + rng.choice(words), rng.choice(words) + "." + rng.choice(["com", "org", "net", "de", "fr", "es"])
     forms: list[tuple[str, int | None]] = [
         (f"+1 ({a}) {b}-{c}", 3), (f"({a}) {b}-{c}", 3), (f"{a}-{b}-{c}", 3), (f"{a}.{b}.{c}", 3), (f"{a} {b} {c}", 3), (f"001 {a} {b} {c}", 3), (f"1-{a}-{b}-{c}", 3), (f"+{a[:2]} {b} {c}{b}", 3), (f"({a}){b}-{c}", 3),
@@ -258,7 +261,7 @@ def examples(rng: random.Random, words: list[str]) -> tuple[str, list[tuple[int,
         (".".join(o), 1), ("[.]".join(o), 1), (f"{o[0]}.{o[1]}.{o[2]}[.]{o[3]}", 1), ("(.)".join(o), 1),
         (f"{who}@{host}", 0), (f"{who} [at] {host}", 0), (f"{who}(at){host}", 0), (f"{who} at {host.replace('.', ' dot ')}", 0), (f"{who} [at] {host.replace('.', ' [dot] ')}", 0), (f"{who} @ {host}", 0),
         (not_card, None), (four(not_card, " "), None), (four(not_card, "."), None), (f"20{d(2)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}", None), (f"{rng.randint(10, 28)}/{rng.randint(10, 12)}/20{d(2)}", None),
-        (d(7), None), (d(8), None), (d(9), None), (d(10), None), (d(11), None), (d(13), None), (d(20), None), (f"{d(2)} {d(3)} {d(2)} {d(2)} {d(3)}", None), (" ".join(d(rng.randint(1, 4)) for _ in range(8)), None),
+        (d(4), None), (d(5), None), (d(6), None), (f"{d(2)}.{d(2)}", None), (f"{d(1)}.{d(1)}.{d(2)}", None), (f"({d(4)})", None), (f"{d(2)} {d(2)} {d(2)}", None), (f"{o[0]} [{o[1]}] {o[2]} [{o[3]}]", None), (f"[{o[0]}] {o[1]} [{o[2]}] {o[3]}", None), (f"{o[0]} ({o[1]}) {o[2]} ({o[3]})", None), (d(7), None), (d(8), None), (d(9), None), (d(10), None), (d(11), None), (d(13), None), (d(20), None), (f"{d(2)} {d(3)} {d(2)} {d(2)} {d(3)}", None), (" ".join(d(rng.randint(1, 4)) for _ in range(8)), None),
         (f"{d(1)}.{d(3)}.{d(3)}", None), (f"{d(3)}.{d(3)}.{d(3)}.{d(2)}", None), (f"{o[0]}.{o[1]}.{d(4)}.{o[3]}", None), (f"{o[0]}-{o[1]}-{o[2]}-{o[3]}", None), (f"{o[0]} {o[1]} {o[2]} {o[3]}", None), (f"978-{d(1)}-{d(4)}-{d(4)}-{d(1)}", None), (f"{d(4)}-{d(4)}", None), (f"{d(5)}-{d(4)}", None),
         (f"{rng.choice(words)} at {rng.choice(words)}. {rng.choice(words)}", None), (f"{rng.choice(words)} at {rng.choice(words)}.{rng.choice(words).title()}", None),
     ]
