@@ -115,3 +115,31 @@ def diversified(df: DataFrame, source: str, order: Sequence[Column]) -> DataFram
     """Place of each row when the best row of every source comes first, then the others, each in order."""
     first = F.when(F.row_number().over(Window.partitionBy(source).orderBy(*order)) == 1, 0).otherwise(1)
     return df.withColumn("deferred", first)
+
+
+def diversified_places(df: DataFrame, source: str, order: Sequence[Column], parts: int = 64) -> DataFrame:
+    """All rows with their place when the best row of every source comes first, then the others, each in order.
+
+    order: columns from the lowest up, nulls last, the last of them unique. Rows are dealt to ranges by
+    borders from a sample, numbered inside each range, and moved on by the sizes of the ranges before, so
+    that no task orders the whole table; the borders change the work, not the places.
+    """
+    rank = lambda first: F.struct(first.alias("deferred"), *[x for i, c in enumerate(order) for x in (c.isNull().alias(f"n{i}"), c.alias(f"v{i}"))])
+    best = df.groupBy(F.col(source).alias("_source")).agg(F.min(rank(F.lit(0))).alias("_best"))
+    joined = df.join(best, F.col(source).eqNullSafe(F.col("_source")))
+    ranked = joined.withColumn("_rank", rank(F.when(rank(F.lit(0)) == F.col("_best"), 0).otherwise(1))).drop("_source", "_best")
+    keys = ranked.select("_rank")
+    sample = keys.sample(min(1.0, 100.0 * parts / max(1, df.count())), 1).distinct().orderBy("_rank")
+    found = sample.collect()
+    picked = sorted({len(found) * k // parts for k in range(1, parts)}) if found else []
+    if not picked:
+        return ranked.withColumn("place", F.row_number().over(Window.orderBy("_rank")).cast("long")).drop("_rank")
+    borders = df.sparkSession.createDataFrame([([found[i]["_rank"] for i in picked],)], f"_borders array<{keys.schema['_rank'].dataType.simpleString()}>")
+    placed = ranked.crossJoin(F.broadcast(borders)).withColumn("_part", F.size(F.filter("_borders", lambda b: b <= F.col("_rank")))).drop("_borders")
+    sizes = {r[0]: r[1] for r in placed.groupBy("_part").agg(F.count("*")).collect()}
+    base, before = [], 0
+    for k in range(len(picked) + 1):
+        base.append(F.lit(before).cast("long"))
+        before += sizes.get(k, 0)
+    start = F.element_at(F.array(*base), F.col("_part") + 1)
+    return placed.withColumn("place", start + F.row_number().over(Window.partitionBy("_part").orderBy("_rank"))).drop("_part", "_rank")

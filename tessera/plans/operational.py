@@ -222,6 +222,16 @@ def diversified_sources(spark, d):
     return first.select("s_suppkey", "s_nationkey", F.row_number().over(Window.orderBy("deferred", *order)).alias("place"))
 
 
+@query(
+    "diversified_all",
+    """SELECT s_suppkey, s_nationkey, row_number() OVER (ORDER BY deferred, s_acctbal DESC NULLS LAST, s_suppkey) AS place FROM (
+         SELECT *, CASE WHEN row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC NULLS LAST, s_suppkey) = 1 THEN 0 ELSE 1 END AS deferred FROM supplier)""",
+)
+def diversified_all(spark, d):
+    """Every supplier and its place."""
+    return A.diversified_places(table(spark, d, "supplier"), "s_nationkey", [-F.col("s_acctbal"), F.col("s_suppkey")]).select("s_suppkey", "s_nationkey", "place")
+
+
 @query(
     "employment_spans",
     """WITH s AS (SELECT user_id, hour(ts) + 24 * (day(ts) - 1) AS a, hour(ts) + 24 * (day(ts) - 1) + 6 AS z FROM events WHERE event_type <> 'error'),

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import pii
+from tessera.operators import analytics as A
 from tessera.plans import registry
 
 SMALL = "/root/testdata/sf0.001"
@@ -41,3 +42,17 @@ def test_capital_at_is_found(field):
 @pytest.mark.parametrize("text", ["in 2024 we", "v 1.2.3 and", "1999-2004", "page 123456", "1 2 3 4", "1-2-3-4", "3/4/2024", "1 [2] 3 [4]"])
 def test_short_numbers_stay_outside(field, text):
     assert field.spans(text)[1] == []
+
+
+def test_diversified_places_every_row(spark):
+    rows = [(k, k * 7 % 5 if k % 11 else None, None if k % 13 == 0 else float(k * 31 % 17)) for k in range(300)]
+    df = spark.createDataFrame(rows, "id int, source int, score double")
+    best, rest, seen = [], [], set()
+    for r in sorted(rows, key=lambda r: (r[2] is None, -(r[2] or 0), r[0])):
+        (rest if r[1] in seen else best).append(r[0])
+        seen.add(r[1])
+    got = {r.id: r.place for r in A.diversified_places(df, "source", [-F.col("score"), F.col("id")], 8).collect()}
+    assert got == {k: place for place, k in enumerate(best + rest, 1)}
+    assert A.diversified_places(df.limit(0), "source", [F.col("id")]).count() == 0
+    suppliers = spark.read.parquet("/root/testdata/sf0.01/supplier.parquet").count()
+    assert suppliers > 50 and registry.queries()["diversified_all"](spark, "/root/testdata/sf0.01").count() == suppliers
