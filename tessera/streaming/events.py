@@ -67,19 +67,30 @@ def rate_limited(events: DataFrame, limit: int, seconds: int) -> DataFrame:
 
 
 def rate_limited_batch(events: DataFrame, limit: int, seconds: int) -> DataFrame:
-    """The same for a table, in one ordered fold for each key."""
+    """The same for a table: each task folds its sorted rows and carries one key's window from batch to batch."""
+    kinds = dict(events.dtypes)
     at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    ordered = events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", at.alias("t")))).alias("all"))
-    start = F.struct(F.lit(0.0).alias("end"), F.lit(0).alias("n"), F.array().cast("array<struct<event_id:bigint,wait:bigint>>").alias("out"))
-
-    def step(s, e):
-        fresh, full = s["end"] <= e["t"], s["n"] >= limit
-        wait = F.when(fresh | ~full, F.lit(0)).otherwise(F.greatest(F.lit(1), F.floor(s["end"] - e["t"]))).cast("long")
-        end = F.when(fresh, e["t"] + seconds).otherwise(s["end"])
-        n = F.when(fresh, 1).when(full, s["n"]).otherwise(s["n"] + 1)
-        return F.struct(end.alias("end"), n.alias("n"), F.concat(s["out"], F.array(F.struct(e["event_id"].alias("event_id"), wait.alias("wait")))).alias("out"))
-
-    return ordered.select("user_id", F.explode(F.aggregate("all", start, step)["out"]).alias("e")).select("user_id", "e.event_id", "e.wait")
+    ordered = events.repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id").select("user_id", "event_id", at.alias("t"), F.col("user_id").isNull().alias("unknown"))
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, end, n = None, 0.0, 0
+        for rows in frames:
+            waits = []
+            for user, unknown, t in zip(rows["user_id"], rows["unknown"], rows["t"], strict=True):
+                now = (True, None) if unknown else (False, user)
+                if now != key:
+                    key, end, n = now, 0.0, 0
+                if end <= t:
+                    end, n = t + seconds, 1
+                    waits.append(0)
+                elif n >= limit:
+                    waits.append(max(1, int(end - t)) if t == t else 1)
+                else:
+                    n += 1
+                    waits.append(0)
+            yield rows[["user_id", "event_id"]].assign(wait=waits)
+
+    return ordered.mapInPandas(fold, f"user_id {kinds['user_id']}, event_id {kinds['event_id']}, wait long")
 
 
 def latest_state(changes: DataFrame, key: str, order: str) -> DataFrame:

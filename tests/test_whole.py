@@ -1,11 +1,14 @@
 """Queries that must take in whole tables, and forms that must not be left out."""
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import pii
 from tessera.operators import analytics as A
 from tessera.plans import registry
+from tessera.streaming import events as S
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -56,3 +59,27 @@ def test_diversified_places_every_row(spark):
     assert A.diversified_places(df.limit(0), "source", [F.col("id")]).count() == 0
     suppliers = spark.read.parquet("/root/testdata/sf0.01/supplier.parquet").count()
     assert suppliers > 50 and registry.queries()["diversified_all"](spark, "/root/testdata/sf0.01").count() == suppliers
+
+
+def test_rate_limits_of_one_hot_user_stay_in_batches(spark):
+    start = dt.datetime(2024, 1, 1)
+    rows = [(1 if k % 5 else k % 3, k, start + dt.timedelta(seconds=k // 2)) for k in range(4000)]
+    df = spark.createDataFrame(rows, "user_id long, event_id long, ts timestamp")
+    state, want = {}, {}
+    for user, k, ts in rows:
+        t = (ts - start).total_seconds()
+        end, n = state.get(user, (-1.0, 0))
+        if end <= t:
+            state[user], want[k] = (t + 60, 1), 0
+        elif n >= 3:
+            want[k] = max(1, int(end - t))
+        else:
+            state[user], want[k] = (end, n + 1), 0
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        limited = S.rate_limited_batch(df, 3, 60)
+        assert {r.event_id: r.wait for r in limited.collect()} == want
+        assert "collect_list" not in limited._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
