@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import normalize
@@ -69,6 +71,55 @@ def relation(similarity: Column, same_bytes: Column, same_person: Column) -> Col
     )
 
 
+def nearest_hashes(hashed: DataFrame, group: str, key: str, block: int = 8192) -> DataFrame:
+    """(group, h, distance, nearest) of the rows with own = true: the closest other hash h of the group, the lowest key of equals.
+
+    hashed: (group, h, key, own), each h once in a group. Every row meets all others of its group, block
+    against block, and a block gives one row for each hash: no pair is ever a row.
+    """
+    large = hashed.groupBy(group).agg(F.ceil(F.count("*") / block).cast("long").alias("_blocks")).filter("_blocks > 1")  # a row for a block at most
+    dealt = hashed.join(F.broadcast(large), group, "left").withColumn("_block", F.pmod(F.xxhash64("h"), F.coalesce("_blocks", F.lit(1))))
+    packed = lambda df, name: df.groupBy(group, "_block").agg(F.array_sort(F.collect_list(F.struct(key, "h"))).alias("_all")).select(group, F.col("_block").alias(f"_{name}_block"), F.col(f"_all.{key}").alias(f"{name}_keys"), F.col("_all.h").alias(f"{name}_h"))
+    pairs = packed(dealt.filter("own"), "own").join(packed(dealt, "all"), group).select(group, "own_h", "all_keys", "all_h")
+    spread = pairs.repartition(F.xxhash64(F.element_at("own_h", 1), F.element_at("all_h", 1)))
+
+    def closest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in range(b.num_rows):
+                own, keys, every = (np.asarray(b.column(c)[row].values) for c in ("own_h", "all_keys", "all_h"))
+                distance, nearest = np.empty(len(own), np.int32), np.empty(len(own), np.int64)
+                for at in range(0, len(own), 256):
+                    differing = own[at : at + 256, None].view(np.uint64) ^ every[None, :].view(np.uint64)
+                    bits = np.where(differing == 0, np.uint8(255), np.bitwise_count(differing))
+                    first = bits.argmin(axis=1)
+                    distance[at : at + 256], nearest[at : at + 256] = bits[np.arange(len(first)), first], keys[first]
+                kept = distance <= BITS
+                yield pa.RecordBatch.from_arrays([pa.array([b.column(group)[row].as_py()] * int(kept.sum()), b.schema.field(group).type), pa.array(own[kept]), pa.array(distance[kept]), pa.array(nearest[kept])], [group, "h", "distance", "nearest"])
+
+    kind = dict(hashed.dtypes)[group]
+    found = spread.mapInArrow(closest, f"{group} {kind}, h long, distance int, nearest long")
+    best = found.groupBy(group, "h").agg(F.min(F.struct("distance", "nearest")).alias("_b"))
+    return best.select(group, "h", "_b.distance", "_b.nearest")
+
+
+def best_versions(docs: DataFrame, key: str, person: str) -> DataFrame:
+    """(key, previous, similarity): the most similar of all other documents of the same person, the lowest key of equals.
+
+    docs: (key, person, simhash); null where a person has no other document. The relation grows with
+    the similarity, so that the most similar is also the best by relation, then similarity; equal bytes
+    have equal hashes.
+    """
+    docs = docs.select(key, person, F.expr("cast(conv(simhash, 16, -10) as long)").alias("h"))
+    two = docs.withColumn("_place", F.row_number().over(Window.partitionBy(person, "h").orderBy(key))).filter("_place <= 2")
+    groups = two.groupBy(person, "h").agg(F.min(key).alias("_first"), F.max(key).alias("_second"))
+    alone = F.col("_first") == F.col("_second")
+    near = nearest_hashes(groups.select(person, "h", F.col("_first").alias(key), alone.alias("own")), person, key)
+    known = groups.join(near, [person, "h"], "left")
+    previous = F.when(alone, F.col("nearest")).when(F.col(key) == F.col("_first"), F.col("_second")).otherwise(F.col("_first"))
+    similarity = F.when(alone, 1 - F.col("distance") / BITS).otherwise(1.0)
+    return docs.join(known, [person, "h"], "left").select(key, previous.alias("previous"), similarity.alias("similarity")).withColumn("similarity", F.when(F.col("previous").isNotNull(), F.col("similarity")))
+
+
 def person_fingerprint(name: Column, email: Column, phone: Column) -> Column:
     """sha256 of what is known of a person; null when nothing is."""
     digits = F.regexp_replace(F.coalesce(phone, F.lit("")), "[^0-9]", "")

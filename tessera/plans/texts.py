@@ -139,6 +139,24 @@ def document_versions(spark, d):
     return before.select("doc_id", F.col("p_doc_id").alias("previous"), similarity.alias("similarity"), D.relation(similarity, F.col("bytes") == F.col("p_bytes"), F.lit(True)).alias("relation"))
 
 
+@query(
+    "document_best_versions",
+    f"""WITH h AS ({SIMHASH_SQL}), l AS (SELECT doc_id, source, ('0x' || simhash)::UBIGINT AS v FROM documents JOIN h USING (doc_id)),
+          p AS (SELECT a.doc_id, b.doc_id AS other, 1 - bit_count(xor(a.v, b.v)) / 64.0 AS s FROM l AS a JOIN l AS b ON a.source = b.source AND a.doc_id <> b.doc_id),
+          r AS (SELECT *, CASE WHEN s >= 0.995 THEN 4 WHEN s >= 0.82 THEN 3 WHEN s >= 0.72 THEN 2 ELSE 1 END AS rank FROM p),
+          k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rank DESC, s DESC, other) AS place FROM r)
+        SELECT l.doc_id, other AS previous, s::DOUBLE AS similarity, CASE rank WHEN 4 THEN 'exact_duplicate' WHEN 3 THEN 'updated_version' WHEN 2 THEN 'related_variant' WHEN 1 THEN 'unrelated' END AS relation
+        FROM l LEFT JOIN (SELECT * FROM k WHERE place = 1) AS k USING (doc_id)""",
+)
+def document_best_versions(spark, d):
+    """Each document with text against all others of its source, which stands in for a person's uploads."""
+    docs = table(spark, d, "documents").filter(D.content_text(F.col("text")) != "")
+    hashed = docs.select("doc_id", "source").join(D.word_votes(docs, "doc_id", "text"), "doc_id")
+    best = D.best_versions(hashed, "doc_id", "source")
+    relation = D.relation(F.col("similarity"), F.lit(False), F.lit(True))
+    return best.withColumn("relation", F.when(F.col("previous").isNotNull(), relation))
+
+
 # Fixed values of this query: frequent words that mark a language.
 MARKERS = {"en": ("the", "of", "and", "with"), "de": ("der", "die", "und", "nicht"), "fr": ("les", "des", "est", "pour"), "es": ("los", "que", "por", "para")}
 

@@ -1,12 +1,14 @@
 """Queries that must take in whole tables, and forms that must not be left out."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import pii
 from tessera.operators import analytics as A
+from tessera.operators import documents as D
 from tessera.plans import registry
 from tessera.streaming import events as S
 
@@ -61,6 +63,22 @@ def test_diversified_places_every_row(spark):
     assert suppliers > 50 and registry.queries()["diversified_all"](spark, "/root/testdata/sf0.01").count() == suppliers
 
 
+def test_best_version_is_found_behind_other_documents(spark):
+    rng = random.Random(2)
+    bases = [rng.getrandbits(64) for _ in range(6)]
+    rows = [(k, f"s{k % 3}" if k != 77 else "alone", rng.choice(bases) ^ (1 << rng.randrange(64) if k % 4 else 0)) for k in range(200)]
+    df = spark.createDataFrame([(k, s, f"{v:016x}") for k, s, v in rows], "id long, person string, simhash string")
+    got = {r.id: (r.previous, r.similarity) for r in D.best_versions(df, "id", "person").collect()}
+    want = {k: min((((v ^ w).bit_count(), j) for j, t, w in rows if t == s and j != k), default=None) for k, s, v in rows}
+    assert got == {k: (b[1], 1 - b[0] / 64) if b else (None, None) for k, b in want.items()}
+    hashes = sorted({(s, v - (1 << 64) if v >> 63 else v) for _, s, v in rows})
+    distinct = spark.createDataFrame([(s, h, i, True) for i, (s, h) in enumerate(hashes)], "person string, h long, id long, own boolean")
+    near = {(r.person, r.h): (r.distance, r.nearest) for r in D.nearest_hashes(distinct, "person", "id", 7).collect()}
+    bits = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count()
+    want = {(s, h): min(((bits(h, g), j) for j, (t, g) in enumerate(hashes) if t == s and g != h), default=None) for s, h in hashes}
+    assert near == {k: b for k, b in want.items() if b}
+
+
 def test_rate_limits_of_one_hot_user_stay_in_batches(spark):
     start = dt.datetime(2024, 1, 1)
     rows = [(1 if k % 5 else k % 3, k, start + dt.timedelta(seconds=k // 2)) for k in range(4000)]
