@@ -115,6 +115,17 @@ class ChunkEncoder:
         return out
 
 
+_CHUNKERS: dict[tuple[int, int], ChunkEncoder] = {}
+
+
+def chunk_encoder(spec: str, end_id: int) -> ChunkEncoder:
+    """One encoder for each worker, vocabulary and end id; what it remembers outlives a task."""
+    key = hash(spec), end_id
+    if key not in _CHUNKERS:
+        _CHUNKERS[key] = ChunkEncoder(spec, end_id)
+    return _CHUNKERS[key]
+
+
 def write(docs: DataFrame, tokenizer_path: str, end_id: int, where: str | None = None, shards: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode and write all documents; the manifest, one row for each shard, with bases, in document order."""
     spark = docs.sparkSession
@@ -134,7 +145,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, where: str | None =
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from pyspark import TaskContext
 
-        encoder = ChunkEncoder(vocab.value, end_id)
+        encoder = chunk_encoder(vocab.value, end_id)
         width = encoder.width
         shard = TaskContext.get().partitionId()
         name = f"{where}/part-{shard:06d}-{uuid.uuid4().hex}"
