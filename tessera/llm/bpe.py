@@ -30,7 +30,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: Distinct white-space-free chunks, and distinct pieces, whose ids a worker remembers at most, and how many stay when there are more.
-CACHE, KEPT = 150_000, 100_000
+CACHE, KEPT = 120_000, 80_000
 NEVER = 1 << 40
 #: White space as the tokenizer's rule has it; characters that Python alone also takes for white space.
 WHITE = regex.compile(r"\s+")
@@ -52,6 +52,31 @@ def trim(cache: dict, most: int, kept: int) -> None:
             del cache[k]
 
 
+class DecodeTable:
+    """The token of each id of a tokenizer file; all that decoding needs."""
+
+    def __init__(self, spec: dict):
+        token = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+        size = max(token) + 1
+        self.words = pa.array([token.get(i, "") for i in range(size)], pa.string())
+        self.has = np.array([i in token for i in range(size)])
+
+    def decode_all(self, arrays: pa.ListArray) -> pa.Array:
+        """For each array its tokens joined by a space, as a tokenizer file without a decoder has it; unknown ids are left out; null for null."""
+        parts = [self._decode(arrays.slice(k, 500)) for k in range(0, len(arrays), 500)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+    def _decode(self, arrays: pa.ListArray) -> pa.Array:
+        ids = arrays.flatten().to_numpy(zero_copy_only=False)
+        known = (ids >= 0) & (ids < len(self.words)) & self.has[np.clip(ids, 0, len(self.words) - 1)] if len(ids) else np.empty(0, bool)
+        sizes = pc.fill_null(pc.list_value_length(arrays), 0).to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        places = np.concatenate([[0], np.cumsum(known)])[ends]
+        words = self.words.take(pa.array(ids[known]))
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(places, pa.int32()), words), " ")
+        return pc.if_else(arrays.is_valid(), joined, pa.scalar(None, pa.string()))
+
+
 class PrefixEncoder:
     """Encodes and decodes with the vocabulary, merges and text rules of a tokenizer file (word ends, lower case)."""
 
@@ -62,10 +87,7 @@ class PrefixEncoder:
         self.vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in j["added_tokens"]}
         self.rank = {tuple(m): k for k, m in enumerate(m if isinstance(m, list) else m.split(" ") for m in model["merges"])}
-        self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
-        size = max(self.token) + 1
-        self.words = pa.array([self.token.get(i, "") for i in range(size)], pa.string())
-        self.has = np.array([i in self.token for i in range(size)])
+        self.table = DecodeTable(j)
         self.piece = regex.compile(j["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.split_special = regex.compile("(" + "|".join(regex.escape(t) for t in self.special) + ")") if self.special else None
         self.bytes = [byte_symbols()[b] for b in range(256)]
@@ -78,6 +100,7 @@ class PrefixEncoder:
             s = self.symbols(t)
             self.automaton.add_word(s, (i, len(s)))
         self.automaton.make_automaton()
+        del self.made, self.vocab  # the automaton holds what encoding needs
 
     def symbols(self, token: str) -> str:
         """One character for each symbol; the one that ends a word is moved up by END."""
@@ -192,31 +215,27 @@ class PrefixEncoder:
     def encode(self, text: str) -> list[int]:
         return array("i", self.encode_bytes(text)).tolist()
 
-    def decode(self, ids: list[int]) -> str:
-        return self.decode_all(pa.array([ids], pa.list_(pa.int32())))[0].as_py()
+    def encode_all(self, texts: pa.Array) -> pa.ListArray:
+        ends, flat = [0], []
+        for t in texts:
+            ids = self.encode_bytes(t.as_py())
+            flat.append(ids)
+            ends.append(ends[-1] + len(ids) // 4)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(flat), dtype=np.int32)))
 
-    def decode_all(self, arrays: pa.ListArray) -> pa.Array:
-        """For each array its tokens joined by a space, as a tokenizer file without a decoder has it; unknown ids are left out; null for null."""
-        ids = arrays.flatten().to_numpy(zero_copy_only=False)
-        known = (ids >= 0) & (ids < len(self.words)) & self.has[np.clip(ids, 0, len(self.words) - 1)] if len(ids) else np.empty(0, bool)
-        sizes = pc.fill_null(pc.list_value_length(arrays), 0).to_numpy(zero_copy_only=False)
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        places = np.concatenate([[0], np.cumsum(known)])[ends]
-        words = self.words.take(pa.array(ids[known]))
-        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(places, pa.int32()), words), " ")
-        return pc.if_else(arrays.is_valid(), joined, pa.scalar(None, pa.string()))
+    def decode(self, ids: list[int]) -> str:
+        return self.table.decode_all(pa.array([ids], pa.list_(pa.int32())))[0].as_py()
 
 
-_ENCODERS: dict[int, PrefixEncoder] = {}
+_KEPT: dict[tuple, PrefixEncoder | DecodeTable] = {}
 
 
-def _encoder(shared) -> PrefixEncoder:
-    """One encoder for each worker and vocabulary; its cache outlives a task."""
-    spec = shared.value
-    key = hash(spec)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = PrefixEncoder(spec)
-    return _ENCODERS[key]
+def _kept(kind: type, shared):
+    """One encoder or table for each worker and vocabulary; an encoder's cache outlives a task."""
+    key = kind, hash(shared.value)
+    if key not in _KEPT:
+        _KEPT[key] = kind(shared.value) if kind is PrefixEncoder else kind(json.loads(shared.value))
+    return _KEPT[key]
 
 
 def vocabulary(spark: SparkSession, path: str):
@@ -230,13 +249,7 @@ def encode_column(vocab, text: Column) -> Column:
 
     @F.arrow_udf("array<int>")
     def encoded(texts: pa.Array) -> pa.Array:
-        enc = _encoder(vocab)
-        ends, flat = [0], []
-        for t in texts:
-            ids = enc.encode_bytes(t.as_py())
-            flat.append(ids)
-            ends.append(ends[-1] + len(ids) // 4)
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(flat), dtype=np.int32)))
+        return _kept(PrefixEncoder, vocab).encode_all(texts)
 
     # Not folded into the expressions over it, which would encode once for each of them.
     return encoded.asNondeterministic()(F.coalesce(text, F.lit("")))
@@ -247,8 +260,18 @@ def decode_column(vocab, ids: Column) -> Column:
 
     @F.arrow_udf("string")
     def decoded(arrays: pa.Array) -> pa.Array:
-        enc = _encoder(vocab)
-        parts = [enc.decode_all(arrays.slice(k, 500)) for k in range(0, len(arrays), 500)]
-        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+        return _kept(DecodeTable, vocab).decode_all(arrays)
 
     return decoded(ids)
+
+
+def round_trip_column(vocab, text: Column) -> Column:
+    """struct(ids array<int>, decoded string) of a whole text: both directions in one Python evaluation, so one worker and one vocabulary for each core."""
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:string>")
+    def both(texts: pa.Array) -> pa.Array:
+        enc = _kept(PrefixEncoder, vocab)
+        ids = enc.encode_all(texts)
+        return pa.StructArray.from_arrays([ids, enc.table.decode_all(ids)], names=["ids", "decoded"])
+
+    return both.asNondeterministic()(F.coalesce(text, F.lit("")))

@@ -44,8 +44,7 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     vocab = bpe.vocabulary(spark, public_tokenizers.path("word_bpe_49k.json"))
-    ids = docs.select("doc_id", bpe.encode_column(vocab, F.col("text")).alias("ids"))
-    both = ids.select("doc_id", "ids", bpe.decode_column(vocab, F.col("ids")).alias("decoded"))
+    both = docs.select("doc_id", bpe.round_trip_column(vocab, F.col("text")).alias("b")).select("doc_id", "b.ids", "b.decoded")
     joined = F.array_join(F.col("ids"), " ")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
