@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
 
 import numpy as np
@@ -17,11 +16,16 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir of the session, or a fresh one where it is unset."""
+    """Folder that driver and executors share: spark.checkpoint.dir of the session, else the warehouse on one machine.
+
+    On a cluster the setting is needed: no folder of one machine would do.
+    """
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not where and sc.master.startswith("local"):
+        where = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
     if not where:
-        where = tempfile.mkdtemp(prefix="tessera-")
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(where)
     return where
@@ -63,6 +67,21 @@ def most_frequent(counted: DataFrame, count: str, most: int) -> DataFrame:
     return counted.filter(F.lit(False)) if cut is None else counted.filter((F.col(count) > 0) & (level >= cut))
 
 
+def hashed_sample(rows: DataFrame, most: int) -> DataFrame:
+    """At most so many distinct rows, those whose hashes are lowest; rows: columns with a hash, of one type each.
+
+    A threshold on the hash, from one count, leaves a few times ``most`` rows before anything is compared, and
+    equal rows are taken together where they lie, so neither partitions nor copies make the last step grow.
+    """
+    (h,) = free_names(rows, "sample_hash")
+    total = rows.count()
+    kept = rows.withColumn(h, F.xxhash64(*rows.columns))
+    if total > 4 * most:
+        # As many again as are wanted: copies count for one, so more than a half may be such.
+        kept = kept.filter(F.pmod(F.col(h), F.lit(1 << 40)) < max(1, int((1 << 40) * 4 * most / total)))
+    return kept.distinct().orderBy(F.pmod(F.col(h), F.lit(1 << 40)), h, *rows.columns).limit(most).drop(h)
+
+
 def word_count(text: Column) -> Column:
     """Number of maximal runs of non-space characters; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")

@@ -1,12 +1,14 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Learning: at most ``per_class`` labelled texts of each class (the ones whose ids hash lowest) go to
-the driver, where log-count ratios and a logistic regression over the scaled features are fitted.
-Scoring: a pandas UDF over whole texts with the broadcast weights; no shuffle.
+Learning: at most ``per_class`` distinct labelled texts of each class (lowest hashes) go to the
+driver, where log-count ratios and a logistic regression over the scaled features are fitted; the
+classes weigh as all training labels have them. Scoring: a pandas UDF over whole texts with the
+broadcast weights; no shuffle.
 
 Edge cases: a null text scores like an empty one; an empty text scores the intercept alone; rows
 with a null id or label are not learned from; without rows of both classes every text scores 0.
-Repeated rows score alike; extra columns are not looked at.
+Repeated rows score alike; an id that repeats adds its distinct texts to the sample's candidates,
+never more rows to the sample; extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -18,14 +20,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import code_points, hashed_ngrams
+from tessera.llm.common import code_points, hashed_ngrams, hashed_sample
 
 ORDERS = (3, 4, 5)
 BITS = 19
 #: Texts of each class that the classifier is fitted on, at most.
 PER_CLASS = 2000
-#: Share of toxic texts that the intercept assumes, whatever the sample holds.
-PRIOR = 0.2
 
 
 @dataclass(frozen=True)
@@ -36,6 +36,8 @@ class ToxicityModel:
     bias: float
 
     def score(self, text: str | None) -> float:
+        if self.bias == -np.inf:
+            return 0.0
         z = self.bias
         codes = code_points(text or "")
         for n in ORDERS:
@@ -51,20 +53,24 @@ def features(text: str | None) -> np.ndarray:
     return np.concatenate([np.unique(hashed_ngrams(codes, n, BITS)) for n in ORDERS]).astype(np.int64)
 
 
-def sample_labelled(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", per_class: int = PER_CLASS) -> DataFrame:
-    """(text, label) of at most per_class labelled documents of each class; learn: a condition on doc_id."""
-    known = labels.select("doc_id", F.col(label).alias("label")).filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & learn)
-    order = [F.xxhash64("doc_id"), "doc_id"]
-    picked = [known.filter(F.col("label") == v).distinct().orderBy(*order).limit(per_class) for v in (0, 1)]
-    # Both parts have at most per_class rows, so the broadcast is bounded.
-    return docs.select("doc_id", "text").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").select("text", "label")
+def sample_labelled(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", per_class: int = PER_CLASS) -> tuple[list[tuple[str, int]], float]:
+    """(text, label) of at most per_class labelled documents of each class, and the share of label 1 among all labels; learn: a condition on doc_id."""
+    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & learn)
+    held = {r[0]: r[1] for r in known.groupBy("label").count().collect() if r[0] in (0, 1)}
+    sample = []
+    for v in sorted(held):
+        # Both steps leave at most per_class rows, so the broadcast and what comes to the driver are bounded.
+        ids = hashed_sample(known.filter(F.col("label") == v).select("doc_id"), per_class)
+        texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").select("text")
+        sample += [(r[0], v) for r in hashed_sample(texts, per_class).collect()]
+    return sample, held.get(1, 0) / max(1, sum(held.values()))
 
 
-def fit(sample: list[tuple[str | None, int]], prior: float = PRIOR, ridge: float = 1e-3, steps: int = 60) -> ToxicityModel:
-    """Log-count ratios, then logistic regression on the scaled binary features by accelerated gradient steps."""
+def fit(sample: list[tuple[str | None, int]], prior: float = 0.5, ridge: float = 1e-3, steps: int = 60) -> ToxicityModel:
+    """Log-count ratios, then logistic regression on the scaled binary features by accelerated gradient steps; prior: the weight of class 1."""
     y = np.array([int(v) for _, v in sample], dtype=np.float64)
     if not len(y) or y.min() == y.max():
-        return ToxicityModel(np.zeros(1 << BITS), -60.0)
+        return ToxicityModel(np.zeros(1 << BITS), -np.inf)
     rows = [features(t) for t, _ in sample]
     size = 1 << BITS
     pos, neg = np.zeros(size), np.zeros(size)
@@ -112,9 +118,9 @@ def fit(sample: list[tuple[str | None, int]], prior: float = PRIOR, ridge: float
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_CLASS) -> ToxicityModel:
-    rows = sample_labelled(docs, labels, learn, per_class=per_class).collect()
+    sample, share = sample_labelled(docs, labels, learn, per_class=per_class)
     # The order in which rows come back must not matter.
-    return fit(sorted(((r[0] or "", r[1]) for r in rows), key=lambda r: (r[1], r[0])))
+    return fit(sorted(sample, key=lambda r: (r[1], r[0])), share)
 
 
 def score_column(docs: DataFrame, model: ToxicityModel, text: str = "text") -> Column:
