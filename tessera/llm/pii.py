@@ -6,12 +6,12 @@ otherwise (phone numbers without a plus, spelled-out or bracketed e-mail address
 addresses with other separators): features of whole spans (digit groups, shape, Luhn sum, octets,
 separators, neighbours) score every admissible segment, and a dynamic program over segments of at
 most ``MAX_TOKENS`` tokens chooses borders and kinds together. Text that cannot belong to an admissible
-segment can only be outside, at score 0, so the program runs over the regions that can, and is exact
-for the whole text. Added spans never overlap base spans.
+segment can only be outside, at score 0, so the program runs over the regions that can; regions that
+overlap are one lattice, so it is exact for the whole text. Added spans never overlap base spans.
 
-Learning: base matches in at most ``SAMPLE`` documents (lowest id hashes), rewritten in other
-notations, are the positive regions, and other numbers in the same notations the negative ones;
-weights maximise the conditional likelihood by forward-backward over the segment lattice.
+Learning: generated values in many notations between the words of at most ``SAMPLE`` documents, alone or
+next to each other, and at most ``OWN`` regions of those documents themselves with their base
+matches; weights maximise the conditional likelihood by forward-backward over the segment lattice.
 
 Edge cases: a null text is an empty one, without spans; offsets are code points, ends exclusive;
 equal texts have equal spans; extra columns are not looked at; an empty table trains on generated
@@ -30,13 +30,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import hashed_sample
+
 KINDS = ("email", "ip", "card", "phone")
 OUTSIDE = len(KINDS)
 MAX_TOKENS = 15
 #: The fewest digits of an admissible segment; those of an address of four octets.
 LEAST_DIGITS = 4
-#: Documents that the field is trained on at most.
+#: Distinct texts that the field is trained on at most, those with the lowest hashes.
 SAMPLE = 300
+#: Generated lines that the field is trained on, and regions of the sampled texts at most (drawn evenly).
+LINES, OWN = 1200, 600
 
 # The plain forms. Possessive where the written form cannot profit from giving back.
 DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -90,22 +94,30 @@ TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|.", re.S)
 
 @dataclass(frozen=True)
 class Region:
-    """Tokens of a stretch in which segments can lie; kinds: those that are admissible here."""
+    """A stretch in which segments can lie; numbers and addresses: the parts of it where segments of numbers, and an e-mail address, can."""
 
     text: str
     start: int
     end: int
-    numbers: bool
+    numbers: tuple[tuple[int, int], ...]
+    addresses: tuple[tuple[int, int], ...]
 
 
 def regions(text: str) -> list[Region]:
-    found = []
-    for m in NUMBERS.finditer(text):
-        if sum(map(str.isdigit, m[0])) >= LEAST_DIGITS:
-            found.append(Region(text, *m.span(), True))
+    """In text order; stretches that overlap are one region."""
+    found = [(*m.span(), True) for m in NUMBERS.finditer(text) if sum(map(str.isdigit, m[0])) >= LEAST_DIGITS]
     if "@" in text or " at " in text or " AT " in text or "at" in text.lower() and ("[" in text or "(" in text or "{" in text):
-        found += [Region(text, *m.span(), False) for m in ADDRESS.finditer(text)]
-    return found
+        found += [(*m.span(), False) for m in ADDRESS.finditer(text)]
+    out: list[list[tuple[int, int, bool]]] = []
+    end = 0
+    for s in sorted(found):
+        if out and s[0] < end:
+            out[-1].append(s)
+        else:
+            out.append([s])
+        end = max(end, s[1])
+    pick = lambda some, kind: tuple(s[:2] for s in some if s[2] == kind)
+    return [Region(text, some[0][0], max(s[1] for s in some), pick(some, True), pick(some, False)) for some in out]
 
 
 def char_class(c: str) -> str:
@@ -139,28 +151,31 @@ def span_features(kind: int, s: str, left: str, right: str) -> list[str]:
 
 def lattice(r: Region) -> tuple[int, list[tuple[int, int, int, list[str]]], list[int]]:
     """Number of tokens, admissible segments (first token, end token, kind, features), and the tokens' places in the text."""
-    s = r.text[r.start : r.end].rstrip()
+    t = r.text
+    s = t[r.start : r.end].rstrip()
     places = [r.start + m.start() for m in TOKEN.finditer(s)] + [r.start + len(s)]
-    n, segs, t = len(places) - 1, [], r.text
-    for i in range(n):
-        a = places[i]
-        if t[a] not in "+([" and not t[a].isalnum() or a and t[a - 1].isalnum() and t[a].isalnum():
-            continue
-        segs.append((i, i + 1, OUTSIDE, ["O|" + ("d" if t[a].isdigit() else "p")]))
-        for j in range(i + 1, n + 1 if not r.numbers else min(n, i + MAX_TOKENS) + 1):
-            z = places[j]
-            if not t[z - 1].isalnum() or z < len(t) and t[z].isalnum() and t[z - 1].isalnum():
-                continue
-            if not r.numbers:
-                if i == 0 and j == n:
-                    segs.append((i, j, 0, span_features(0, t[a:z], "", "")))
-                continue
-            digits = sum(map(str.isdigit, t[a:z]))
-            if LEAST_DIGITS <= digits <= 19:
-                left, right = t[a - 1] if a else "", t[z] if z < len(t) else ""
-                segs += [(i, j, k, span_features(k, t[a:z], left, right)) for k in (1, 2, 3) if digits <= (12, 19, 15)[k - 1] and digits >= (LEAST_DIGITS, 12, 7)[k - 1]]
-    have = {s[0] for s in segs}
-    segs += [(i, i + 1, OUTSIDE, ["O|p"]) for i in range(n) if i not in have]
+    n, at = len(places) - 1, {p: i for i, p in enumerate(places)}
+    segs = [(i, i + 1, OUTSIDE, ["O|" + char_class(t[places[i]])]) for i in range(n)]
+    segs += [(at[a], at[z], 0, span_features(0, t[a:z], "", "")) for a, z in r.addresses]
+    for low, high in r.numbers:
+        i = at[low]
+        while i < n and places[i] < high:
+            a = places[i]
+            digits = 0
+            if (t[a] in "+([" or t[a].isdigit()) and not (a and t[a - 1].isalnum() and t[a].isdigit()):
+                for j in range(i + 1, min(n, i + MAX_TOKENS) + 1):
+                    z = places[j]
+                    if z > high:
+                        break
+                    if not t[z - 1].isdigit():
+                        continue
+                    digits += z - places[j - 1]
+                    if digits > 19:
+                        break
+                    if digits >= LEAST_DIGITS and not (z < len(t) and t[z].isalnum()):
+                        left, right = t[a - 1] if a else "", t[z] if z < len(t) else ""
+                        segs += [(i, j, k, span_features(k, t[a:z], left, right)) for k in (1, 2, 3) if (LEAST_DIGITS, 12, 7)[k - 1] <= digits <= (12, 19, 15)[k - 1]]
+            i += 1
     return n, sorted(segs), places
 
 
@@ -195,15 +210,11 @@ class SpanField:
         text = text or ""
         base = base_spans(text)
         taken = iter(sorted((a, z) for a, z, _ in base))
-        added: list[tuple[int, int, int]] = []
-        for a, z, k in sorted(s for r in regions(text) for s in self.best(r)):
-            if not added or a >= added[-1][1]:
-                added.append((a, z, k))
-        free, held = [], next(taken, None)
-        for a, z, k in added:
-            while held and held[1] <= a:
-                held = next(taken, None)
-            if not held or held[0] >= z:
+        free, held, reach = [], next(taken, None), 0
+        for a, z, k in (s for r in regions(text) for s in self.best(r)):  # in text order, without overlaps
+            while held and held[0] < z:
+                reach, held = max(reach, held[1]), next(taken, None)
+            if reach <= a:
                 free.append((a, z, k))
         return base, free
 
@@ -246,8 +257,8 @@ def card_number(rng: random.Random, good: bool) -> str:
     return head + (check if good else str((int(check) + rng.randint(1, 9)) % 10))
 
 
-def examples(rng: random.Random, words: list[str]) -> tuple[str, list[tuple[int, int, int]]]:
-    """A line of sampled words around one value, with its gold span; every other value is no personal data."""
+def example(rng: random.Random, words: list[str]) -> tuple[str, int | None]:
+    """A value in some notation, and its kind; None for one that is no personal data."""
     d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
     a, b, c = str(rng.randint(200, 999)), d(3), d(4)
     card, not_card = card_number(rng, True), card_number(rng, False)
@@ -267,29 +278,45 @@ def examples(rng: random.Random, words: list[str]) -> tuple[str, list[tuple[int,
     ]
     value, kind = rng.choice(forms)
     if kind is None and luhn(re.sub("[^0-9]", "", value) or "1") and 12 <= sum(map(str.isdigit, value)) <= 19:
-        return examples(rng, words)
+        return example(rng, words)
+    return value, kind
+
+
+def line(rng: random.Random, words: list[str]) -> tuple[str, list[tuple[int, int, int]]]:
+    """A line of sampled words around a value, or two that stand next to each other, with their gold spans."""
     before, after = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 3))) for _ in range(2)]
-    before += rng.choice([" ", " ", " ", ": ", "\n"]) if before else ""
-    text = before + value + (rng.choice([" ", " ", ". ", ", ", "### ", "\n"]) + after)
-    return text, [] if kind is None else [(len(before), len(before) + len(value), kind)]
+    text, gold = before + (rng.choice([" ", " ", " ", ": ", "\n"]) if before else ""), []
+    for k in range(rng.choice((1, 1, 2))):
+        value, kind = example(rng, words)
+        text += rng.choice([" ", " ", ", ", " / "]) * k
+        if kind is not None:
+            gold.append((len(text), len(text) + len(value), kind))
+        text += value
+    return text + rng.choice([" ", " ", ". ", ", ", "### ", "\n"]) + after, gold
+
+
+def doubtful(r: Region, gold: list[tuple[int, int, int]]) -> bool:
+    """Whether a valid card or address number lies apart from all plain matches: the patterns take digits before it along, so they say nothing about it."""
+    n, segs, places = lattice(r)
+    valid = [(places[i], places[j]) for i, j, _, f in segs if "card|luhn=True" in f or "ip|octets=True" in f]
+    return any(all(z <= x or a >= y for x, y, _ in gold) for a, z in valid)
 
 
-def fit(texts: list[str], seed: int = 7, size: int = 700, epochs: int = 4) -> SpanField:
+def fit(texts: list[str], seed: int = 7, lines: int = LINES, own: int = OWN, epochs: int = 4) -> SpanField:
     """Train on values in many notations between the words of the given texts, and on the regions of those texts themselves."""
     rng = random.Random(seed)
-    words = sorted({w for t in texts for w in re.findall("[A-Za-z]{2,12}", t)} - {"at", "dot"})[:: max(1, len(texts) // 50)] or ["the", "of", "and", "was", "with"]
-    data = []
-    for _ in range(size):
-        text, gold = examples(rng, words)
-        for r in regions(text):
-            data.append((r, [g for g in gold if r.start <= g[0] and g[1] <= r.end]))
+    words = sorted({w for t in texts for w in re.findall("[A-Za-z]{2,12}", t)} - {"at", "dot"}) or ["the", "of", "and", "was", "with"]
+    data, found = [], []
+    for _ in range(lines):
+        text, gold = line(rng, words)
+        data += [(r, [g for g in gold if r.start <= g[0] and g[1] <= r.end]) for r in regions(text)]
     for t in texts:
         base = base_spans(t)
-        for r in regions(t)[:20]:
-            own = [s for s in base if r.start <= s[0] and s[1] <= r.end]
-            if all(x[1] <= y[0] for x, y in zip(own, own[1:], strict=False)):
-                data.append((r, own))
-    data = data[: 2 * size]
+        for r in regions(t):
+            inside = [s for s in base if r.start <= s[0] and s[1] <= r.end]
+            if all(x[1] <= y[0] for x, y in zip(inside, inside[1:], strict=False)) and not doubtful(r, inside):
+                found.append((r, inside))
+    data += rng.sample(found, min(len(found), own))
     weights: dict[str, float] = {}
     square: dict[str, float] = {}
     for _ in range(epochs):
@@ -301,11 +328,10 @@ def fit(texts: list[str], seed: int = 7, size: int = 700, epochs: int = 4) -> Sp
     return SpanField({f: w for f, w in weights.items() if abs(w) > 1e-3})
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text") -> SpanField:
-    """Fit on the texts of the documents whose ids hash lowest."""
-    ids = docs.select(F.col(doc_id).alias("id")).filter(F.col("id").isNotNull()).distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(ids), "id").collect()
-    return fit(sorted(r["text"] for r in rows if r["text"])[:sample])
+def train(docs: DataFrame, sample: int = SAMPLE, text: str = "text") -> SpanField:
+    """Fit on at most so many distinct texts, those whose hashes are lowest."""
+    texts = hashed_sample(docs.select(F.col(text).alias("text")).filter(F.length(text) > 0), sample)
+    return fit(sorted(r["text"] for r in texts.collect()))
 
 
 def spans_column(docs: DataFrame, field: SpanField, text: Column) -> Column:
@@ -339,19 +365,33 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(in_order(spans), lambda s: F.concat_ws(":", s["kind"], s["start"], s["finish"])), ",")
 
 
+def redact(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:
+    """The text with each stretch of (start, end, kind), overlapping ones taken together, replaced by the kind of its first span in brackets."""
+    parts, end = [], 0
+    for a, z, k in sorted(spans, key=lambda s: (s[0], s[2], s[1])) if text else ():
+        if a >= end:
+            parts += [text[end:a], f"[{KINDS[k].upper()}]"]
+        end = max(end, z)
+    return text if text is None else "".join(parts) + text[end:]
+
+
 def redact_column(text: Column, spans: Column) -> Column:
-    """The text with each stretch of spans, overlapping ones taken together, replaced by the kind of its first span in brackets."""
+    """The text with the given spans, an array of struct(start, finish, kind), replaced by their kinds."""
 
     @F.pandas_udf("string")
     def redacted(texts: pd.Series, found: pd.Series) -> pd.Series:
-        out = []
-        for t, some in zip(texts, found, strict=True):
-            parts, end = [], 0
-            for s in some if t else ():
-                if s["start"] >= end:
-                    parts += [t[end : s["start"]], f"[{s['kind'].upper()}]"]
-                end = max(end, s["finish"])
-            out.append(t if t is None else "".join(parts) + t[end:])
-        return pd.Series(out, dtype="object")
-
-    return redacted(text, in_order(spans))
+        own = [[] if some is None else [(s["start"], s["finish"], KINDS.index(s["kind"])) for s in some] for some in found]
+        return pd.Series([redact(t, some) for t, some in zip(texts, own, strict=True)], dtype="object")
+
+    return redacted(text, spans)
+
+
+def redacted_column(docs: DataFrame, field: SpanField, text: Column) -> Column:
+    """The whole text with all its spans replaced by their kinds, found and replaced in one Python evaluation; null for null."""
+    shared = docs.sparkSession.sparkContext.broadcast(field)
+
+    @F.pandas_udf("string")
+    def redacted(texts: pd.Series) -> pd.Series:
+        return pd.Series([redact(t, [s for some in shared.value.spans(t) for s in some]) for t in texts], dtype="object")
+
+    return redacted(text)
