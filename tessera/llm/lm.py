@@ -3,22 +3,24 @@
 The pieces of an existing subword vocabulary span a lattice over each word: every way to cut the word
 into pieces is a path, its probability the product of the pieces' unigram probabilities, and a
 log-space forward recursion sums all paths. Cuts never cross white space, so the marginal of a text is
-the product over its words. A word of the training texts also is an arc of its own. With N training
-tokens of V kinds the arcs mix as in Witten and Bell's estimate:
+the product over its words, each with the probability that the text goes on, and of its end.
 
-    P(word) = (count(word) + V * lattice(word)) / (N + V)
+``score`` weighs the pieces by one round of expectation-maximisation over all training words
+(forward-backward, counts summed by Spark), started from the vocabulary's scores; they are ranks, read as
+a Zipf law. ``vocabulary_score`` is the same marginal by the vocabulary's scores alone. ``mixed_score``
+gives each training word an arc of its own and weighs as Witten and Bell do, for N training tokens
+of V kinds:
 
-The vocabulary's scores are ranks; read as a Zipf law they start one round of
-expectation-maximisation over all training words (forward-backward, counts summed by Spark).
+    P(word) = (count(word) + V * lattice(word)) / (N + V)
 
 Plan: one pass counts words for each task and a shuffle sums them (``word_table``); the words' lattice
-marginals are computed once for each distinct word; the ``COMMON`` most frequent words go to the tasks
-as a bounded broadcast, and only the other words of a document are shuffled to the table. Rows are told
-apart by id and a hash of the text, so a retried task repeats the same keys.
+marginals are computed once for each distinct word; the ``COMMON`` words that occur most often, held-out
+rows included, go to the tasks as a bounded broadcast, so that no word that is shuffled to the table is a
+hot key. Rows are told apart by id and a hash of the text, so a retried task repeats the same keys.
 
 Edge cases: a null text is an empty one (its end token alone); repeated rows each keep a row; words
-that training has not seen have count 0; without training rows N = 0 and the lattice alone scores; a
-word of any length is scored whole.
+that training has not seen have count 0; without training rows N = 0, the vocabulary's scores stay and
+a text ends with probability 1/2; a word of any length is scored whole; ids keep their type.
 """
 
 from __future__ import annotations
@@ -111,11 +113,17 @@ def arcs(words: list[str], m: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarra
         keys, ids = m.keys[k]
         place = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
         piece[:, k:, at] = np.where(keys[place] == want, ids[place], -1)
-    score = np.where(piece >= 0, m.logp[piece], -np.inf)
-    if lengths and lengths[0] == 1:  # characters without a piece are spelled in bytes
+    lengths = np.array(lengths)
+    return weighted(words, piece, lengths, m.logp, m.byte), piece, lengths
+
+
+def weighted(words: list[str], piece: np.ndarray, lengths: np.ndarray, logp: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """Log probability of each arc, by the weights of the pieces."""
+    score = np.where(piece >= 0, logp[piece], -np.inf)
+    if len(lengths) and lengths[0] == 1:  # characters without a piece are spelled in bytes
         for w, j in zip(*np.nonzero(piece[:, 1:, 0] < 0), strict=True):
-            score[w, j + 1, 0] = m.logp[m.byte[list(chr(int(codes[w, j])).encode("utf-8", "surrogatepass"))]].sum()
-    return score, piece, np.array(lengths)
+            score[w, j + 1, 0] = logp[byte[list((MARK + words[w])[j].encode("utf-8", "surrogatepass"))]].sum()
+    return score
 
 
 def log_sum(x: np.ndarray) -> np.ndarray:
@@ -156,12 +164,15 @@ def by_length(words: list[str]) -> Iterator[np.ndarray]:
             yield at[k : k + step]
 
 
-def marginals(words: list[str], m: Pieces) -> np.ndarray:
-    """log10 probability of each word, summed over all its segmentations."""
-    out = np.zeros(len(words))
+def marginals(words: list[str], m: Pieces, *others: np.ndarray) -> list[np.ndarray]:
+    """log10 probability of each word, summed over all its segmentations; by the weights of m, and by other weights of its pieces."""
+    out = [np.zeros(len(words)) for _ in (m.logp, *others)]
     for at in by_length(words):
-        score, _, lengths = arcs([words[i] for i in at], m)
-        out[at] = forward(score, lengths)[:, -1] / math.log(10)
+        own = [words[i] for i in at]
+        score, piece, lengths = arcs(own, m)
+        out[0][at] = forward(score, lengths)[:, -1] / math.log(10)
+        for more, logp in zip(out[1:], others, strict=True):
+            more[at] = forward(weighted(own, piece, lengths, logp, m.byte), lengths)[:, -1] / math.log(10)
     return out
 
 
@@ -186,28 +197,27 @@ def split(text: str | None) -> list[bytes]:
 
 
 def word_table(docs: DataFrame, learn: Column, text: str = "text") -> DataFrame:
-    """(word, count): every word of docs, with its number in the rows that learning may see."""
+    """(word, count, seen): every word of docs, with its number in the rows that learning may see, and in all."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        own_words, others = Counter(), Counter()
 
         def rows():
-            return pa.RecordBatch.from_pydict({"word": pa.array([w.decode("utf-8", "replace") for w in seen], pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
+            words = own_words | others
+            columns = [[w.decode("utf-8", "replace") for w in words], [own_words[w] for w in words], [own_words[w] + others[w] for w in words]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["word", "n", "k"])
 
         for b in batches:
             for t, own in zip(b.column(0), b.column(1), strict=True):
-                words = split(t.as_py())
-                if own.as_py():
-                    seen.update(words)
-                else:
-                    seen.update(dict.fromkeys(words, 0))
-                if len(seen) > HELD:
+                (own_words if own.as_py() else others).update(split(t.as_py()))
+                if len(own_words) + len(others) > HELD:
                     yield rows()
-                    seen.clear()
+                    own_words.clear()
+                    others.clear()
         yield rows()
 
     rows = docs.select(F.col(text), F.coalesce(learn, F.lit(False)).alias("own"))
-    return rows.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("count"))
+    return rows.mapInArrow(count, "word string, n long, k long").groupBy("word").agg(F.sum("n").alias("count"), F.sum("k").alias("seen"))
 
 
 def fit(words: DataFrame, pieces: Pieces) -> Pieces:
@@ -228,74 +238,90 @@ def fit(words: DataFrame, pieces: Pieces) -> Pieces:
     return pieces.with_logp(np.log(new / new.sum())) if new.sum() > FLOOR * len(new) else pieces
 
 
-def with_lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """Add to a word table the log10 of each word's lattice marginal."""
-    shared = words.sparkSession.sparkContext.broadcast(pieces)
+def with_lattice(words: DataFrame, pieces: Pieces, given: Pieces) -> DataFrame:
+    """Add to a word table the log10 of each word's lattice marginal, by the learned pieces and by those that were given."""
+    shared = words.sparkSession.sparkContext.broadcast((pieces, given.logp))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, logp = shared.value
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(marginals(b.column(0).to_pylist(), shared.value))], names=["word", "count", "lattice"])
+            both = marginals(b.column(0).to_pylist(), own, logp)
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(x) for x in both]], names=["word", "count", "seen", "lattice", "given"])
 
-    return words.select("word", "count").mapInArrow(add, "word string, count long, lattice double")
+    return words.select("word", "count", "seen").mapInArrow(add, "word string, count long, seen long, lattice double, given double")
 
 
 def score(docs: DataFrame, learn: Column, vocabulary_path: str, doc_id: str = "doc_id", text: str = "text", common: int = COMMON) -> DataFrame:
-    """One row for each row of docs: (doc_id, n_tokens, n_known, train_tokens, base_score, score)."""
+    """One row for each row of docs: (doc_id, n_tokens, n_known, train_tokens, base_score, score, vocabulary_score, mixed_score)."""
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(learn, F.lit(False)).alias("own"))
     counted = checkpoint(word_table(rows, F.col("own")))
-    pieces = fit(counted, load_pieces(vocabulary_path))
-    words = checkpoint(with_lattice(counted, pieces))
+    given = load_pieces(vocabulary_path)
+    words = checkpoint(with_lattice(counted, fit(counted, given), given))
     ends = rows.filter("own").count()
     r = words.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.count(F.when(F.col("count") > 0, 1)).alias("v")).first()
     total, kinds = r["n"] + ends, r["v"] + (ends > 0)
     spread = max(kinds, 1)
-    end_lattice = math.log10(ends / total) if ends else math.log10(0.5)
+    stop = min(max(ends / total, 1e-6), 1 - 1e-6) if ends else 0.5  # never certain, whatever the training rows are
+    end, on = math.log10(stop), math.log10(1 - stop)
+
+    def mixture(count, lattice, power, log10):
+        return log10(count + spread * power(10.0, lattice)) - math.log10(total + spread)
 
-    def values(count: int, lattice: float) -> tuple[float, float, int]:
-        base = math.log10((count + 1) / (total + kinds + 1))
-        own = math.log10(count + spread * 10.0**lattice) if count else math.log10(spread) + lattice
-        return base, own - math.log10(total + spread), int(count > 0)
+    def values(count: int, lattice: float, given: float) -> tuple[float, float, float, float, int]:
+        mixed = mixture(count, lattice, math.pow, math.log10) if count else math.log10(spread) + lattice - math.log10(total + spread)
+        return math.log10((count + 1) / (total + kinds + 1)), on + lattice, on + given, mixed, int(count > 0)
 
-    frequent = most_frequent(words, "count", common).select("word", "count", "lattice").toArrow()  # at most `common` rows
-    table = {w.encode(): values(c, x) for w, c, x in zip(*(frequent.column(k).to_pylist() for k in range(3)), strict=True)}
-    shared = sc.broadcast((table, values(ends, end_lattice)))
-    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("word", pa.string()), ("k", pa.int64()), ("copies", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+    frequent = most_frequent(words, "seen", common).select("word", "count", "lattice", "given").toArrow()  # at most `common` rows
+    table = {w.encode(): values(*v) for w, *v in zip(*(frequent.column(k).to_pylist() for k in range(4)), strict=True)}
+    shared = sc.broadcast((table, (math.log10((ends + 1) / (total + kinds + 1)), end, end, mixture(ends, end, math.pow, math.log10), int(ends > 0))))
+    sums = ("base_score", "score", "vocabulary_score", "mixed_score")
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, end = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 b = batch.slice(at, 500)
-                out: list[tuple] = []
-                for d, h, t in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                    seen = Counter(split(t))
-                    n, n_known, base, own = 1, end[2], end[0], end[1]
-                    for w, k in seen.items():
+                place, word, times, copies, whole = [], [], [], [], []
+                for i, (h, t) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                    n, own = 1, [*end]
+                    for w, k in Counter(split(t)).items():
                         n += k
                         v = known.get(w)
                         if v is None:
-                            out.append((d, h, w.decode("utf-8", "replace"), k, 0, 0, 0, 0.0, 0.0))
+                            place.append(i)
+                            word.append(w.decode("utf-8", "replace"))
+                            times.append(k)
+                            copies.append(0)
+                            whole.append((0, 0, 0.0, 0.0, 0.0, 0.0))
                         else:
-                            base += k * v[0]
-                            own += k * v[1]
-                            n_known += k * v[2]
+                            own = [x + k * y for x, y in zip(own, v, strict=True)]
                     # No word holds a space, so this key meets no word of the table and does not make one hot task.
-                    out.append((d, h, f" {h}", 0, 1, n, n_known, base, own))
-                cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
-
-    parts = rows.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), "text").mapInArrow(part, "doc_id long, h long, word string, k long, copies long, n_tokens long, n_known long, base_score double, score double")
+                    place.append(i)
+                    word.append(f" {h}")
+                    times.append(0)
+                    copies.append(1)
+                    whole.append((n, own[4], *own[:4]))
+                to = pa.array(place, pa.int32())
+                numbers = [pa.array(c, pa.int64() if j < 2 else pa.float64()) for j, c in enumerate(zip(*whole, strict=True))]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(to), b.column(1).take(to), pa.array(word, pa.string()), pa.array(times, pa.int64()), pa.array(copies, pa.int64()), *numbers], names=names)
+
+    names = ["doc_id", "h", "word", "k", "copies", "n_tokens", "n_known", *sums]
+    parts = rows.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(part, f"doc_id {kind}, h long, word string, k long, copies long, n_tokens long, n_known long, " + ", ".join(f"{x} double" for x in sums))
     c, lat = F.coalesce(F.col("count"), F.lit(0)), F.col("lattice")
-    base = F.log10((c + 1) / F.lit(float(total + kinds + 1)))
-    own = F.when(c > 0, F.log10(c + spread * F.pow(F.lit(10.0), lat))).otherwise(math.log10(spread) + lat) - math.log10(total + spread)
-    rare = F.col("k") > 0
+    rare = {
+        "base_score": F.log10((c + 1) / F.lit(float(total + kinds + 1))),
+        "score": on + lat,
+        "vocabulary_score": on + F.col("given"),
+        "mixed_score": F.when(c > 0, mixture(c, lat, lambda x, y: F.pow(F.lit(x), y), F.log10)).otherwise(math.log10(spread) + lat - math.log10(total + spread)),
+    }
+    one = F.col("k") > 0
     joined = parts.join(words, "word", "left").select(
         "doc_id", "h", "copies", "n_tokens",
-        (F.col("n_known") + F.when(rare & (c > 0), F.col("k")).otherwise(0)).alias("n_known"),
-        (F.col("base_score") + F.when(rare, F.col("k") * base).otherwise(0.0)).alias("base_score"),
-        (F.col("score") + F.when(rare, F.col("k") * own).otherwise(0.0)).alias("score"),
+        (F.col("n_known") + F.when(one & (c > 0), F.col("k")).otherwise(0)).alias("n_known"),
+        *[(F.col(x) + F.when(one, F.col("k") * v).otherwise(0.0)).alias(x) for x, v in rare.items()],
     )
-    sums = joined.groupBy("doc_id", "h").agg(*[F.sum(x).alias(x) for x in ("copies", "n_tokens", "n_known", "base_score", "score")])
-    each = sums.select("doc_id", F.expr("n_tokens div copies").alias("n_tokens"), F.expr("n_known div copies").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base_score") / F.col("copies")).alias("base_score"), (F.col("score") / F.col("copies")).alias("score"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
-    return each.drop("copy")
+    by_row = joined.groupBy("doc_id", "h").agg(*[F.sum(x).alias(x) for x in ("copies", "n_tokens", "n_known", *sums)])
+    each = [F.expr("n_tokens div copies").alias("n_tokens"), F.expr("n_known div copies").alias("n_known"), F.lit(total).cast("long").alias("train_tokens")]
+    return by_row.select("doc_id", *each, *[(F.col(x) / F.col("copies")).alias(x) for x in sums], F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
