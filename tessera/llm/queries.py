@@ -22,13 +22,13 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = docs.select("doc_id", pii.spans_column(docs, field, F.col("text")).alias("s")).select("doc_id", "s.base", "s.added")
     counts = [F.size(F.filter("base", pii.of_kind(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
     spans = pii.written(F.concat("base", "added"))
-    return found.select("doc_id", *counts, F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), spans.alias("spans"), F.size("added").cast("long").alias("n_added"))
+    return found.select("doc_id", *counts, F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), spans.alias("spans"), F.size("added").cast("long").alias("n_added"), (F.size("base") + F.size("added")).cast("long").alias("n_spans"))
 
 
 def op2_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = lm.score(docs, ~held_out(F.col("doc_id"), 7, 2), public_tokenizers.path("piece_bpe_32k.model"))
-    return scored.select("doc_id", held_out(F.col("doc_id"), 7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.select("doc_id", held_out(F.col("doc_id"), 7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "vocabulary_score", "mixed_score")
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +78,19 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+#: Every pair of documents that shares a shingle, and the closure of the links by recursion.
+OP8_SQL = r"""WITH RECURSIVE w AS (SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+  t AS (SELECT rid, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM w),
+  s AS (SELECT rid, len(s) AS n, unnest(s) AS shingle FROM t),
+  links AS (SELECT a.rid AS a, b.rid AS b FROM s a JOIN s b ON a.shingle = b.shingle AND a.rid <> b.rid AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+    GROUP BY a.rid, b.rid, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+  reach AS (SELECT rid, rid AS other FROM t UNION SELECT r.rid, l.b FROM reach r JOIN links l ON r.other = l.a)
+  SELECT t.doc_id, len(t.s)::BIGINT AS n_shingles, min(o.doc_id) AS component_id
+  FROM t JOIN reach r ON t.rid = r.rid JOIN t o ON o.rid = r.other GROUP BY t.rid, t.doc_id, len(t.s)"""
+
+
 def op9_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     media = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), jpeg.media_column(F.col("text")).alias("media"))
@@ -109,4 +122,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_balltree": OP5_SQL}
+    return {"op5_balltree": OP5_SQL, "op8_jaccard": OP8_SQL}

@@ -9,8 +9,11 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tessera.llm import lm
+from tessera.llm.common import held_out
 from tessera.llm.queries import queries
 
 BAD_WORDS = ("vile", "nasty", "rotten")
@@ -216,3 +219,33 @@ def test_op10_scores(run, documents):
     assert sum(r["predicted"] == (r["doc_id"] % 10 == 7) for r in held) >= 0.9 * len(held)
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got.values())
     assert got[208]["score"] == got[209]["score"]
+
+
+def test_op2_scores_are_the_lattice_marginals_of_whole_texts(spark, table_dir, run, documents):
+    held = lambda d: d is None or zlib.crc32(str(d).encode()) % 7 == 2
+    given = lm.load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    tokens = [(d, held(d), [w.decode("utf-8", "replace") for w in lm.split(t)]) for d, t, *_ in documents]
+    c = Counter(w for _, h, ws in tokens if not h for w in ws)
+    uses = np.full(len(given.logp), lm.FLOOR) + lm.expected(list(c), np.array(list(c.values()), dtype=float), given)
+    learned = given.with_logp(np.log(uses / uses.sum()))
+    words = sorted({w for _, _, ws in tokens for w in ws})
+    lattice = [dict(zip(words, v, strict=True)) for v in lm.marginals(words, learned, given.logp)]
+    ends = sum(not h for _, h, _ in tokens)
+    n, v = sum(c.values()) + ends, len(c) + 1
+    stop = ends / n
+    got = run("op2_")
+    for name, table in zip(("score", "vocabulary_score"), lattice, strict=True):
+        want = [(d, round(sum(table[w] + math.log10(1 - stop) for w in ws) + math.log10(stop), 4)) for d, _, ws in tokens]
+        same([(r["doc_id"], round(r[name], 4)) for r in got], want)
+    mixed = lambda k, x: math.log10((k + v * 10.0**x) / (n + v)) if k else math.log10(v) + x - math.log10(n + v)
+    want = [(d, round(sum(mixed(c[w], lattice[0][w]) for w in ws) + mixed(ends, math.log10(stop)), 4)) for d, _, ws in tokens]
+    same([(r["doc_id"], round(r["mixed_score"], 4)) for r in got], want)
+    # All that is not among the two most frequent words goes through the join; the sums are the same.
+    few = lm.score(spark.read.parquet(f"{table_dir}/documents.parquet"), ~held_out(F.col("doc_id"), 7, 2), public_tokenizers.path("piece_bpe_32k.model"), common=2)
+    same([(r["doc_id"], round(r["score"], 4), r["n_known"]) for r in few.collect()], [(r["doc_id"], round(r["score"], 4), r["n_known"]) for r in got])
+
+
+def test_op8_all_documents_of_a_table_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = brute_components([(r["doc_id"], r["text"]) for r in docs.collect()], 4, 85, 100)
+    same([tuple(r)[:3] for r in queries()["op8_jaccard"](spark, "/root/testdata/sf0.01").collect()], [x[:3] for x in want])
