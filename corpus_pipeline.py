@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, jaccard, mixing, pii, toxicity
-from tessera.llm.common import fresh_dir
+from tessera.llm.common import fresh_dir, word_count
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -22,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose toxicity score is below one half; texts without words are kept."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(docs, labels, F.lit(True))
-    return docs.filter(toxicity.score_column(docs, model) < 0.5)
+    return docs.filter((toxicity.score_column(docs, model) < 0.5) | (word_count(F.col("text")) == 0))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +33,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data in the texts by its kind; n_chars follows the text."""
     field = pii.train(docs)
-    spans = pii.spans_column(docs, field, F.col("text"))
-    found = docs.withColumn("text", pii.redact_column(F.col("text"), F.concat(spans["base"], spans["added"])))
+    found = docs.withColumn("text", pii.redacted_column(docs, field, F.col("text")))
     return found.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else found
 
 
@@ -47,8 +46,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each row's text, their number, and the text that they decode to."""
     vocab = bpe.vocabulary(spark, public_tokenizers.path(TOKENIZER))
-    ids = docs.select("doc_id", "source", bpe.encode_column(vocab, F.col("text")).alias("ids"))
-    return ids.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", bpe.decode_column(vocab, F.col("ids")).alias("decoded"))
+    both = docs.select("doc_id", "source", bpe.round_trip_column(vocab, F.col("text")).alias("b"))
+    return both.select("doc_id", "source", F.size("b.ids").cast("long").alias("n_tokens"), "b.ids", "b.decoded")
 
 
 STAGES = [
