@@ -6,13 +6,16 @@ follows each block. ``decode`` reads any baseline JPEG: it parses the markers an
 entropy-coded segments between restart markers side by side, one numpy lane for each segment, with
 the file's own Huffman tables. The thumbnail takes the luminance blocks' DC values only.
 
-Edge cases: a null or empty text is 64 bytes 0; what is not a baseline JPEG gives null features and
-a reason in ``error``; equal texts give equal stored bytes.
+Edge cases: a null or empty text is 64 bytes 0; what is not a baseline JPEG, or lacks a table that its
+thumbnail needs, gives null features and a reason in ``error``, and never fails the others of its task;
+a comment that only looks like a stored payload's is none; equal texts give equal stored bytes. Restart
+segments are decoded ``LANES`` at a time, so a very long text needs a few times its own size at most.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from dataclasses import dataclass
 
@@ -33,6 +36,10 @@ class NotBaseline(ValueError):
     """The bytes are not a JPEG of the baseline kind."""
 
 
+#: What broken bytes can raise; each becomes a reason in ``error``.
+BROKEN = (ValueError, IndexError, StopIteration, KeyError, ZeroDivisionError, OverflowError)
+
+
 @dataclass
 class Component:
     ident: int
@@ -124,6 +131,8 @@ def parse(data: bytes) -> Picture:
                 raise NotBaseline("samples are not of 8 bits")
             parts = [body[6 + 3 * k : 9 + 3 * k] for k in range(body[5])]
             frame = (int.from_bytes(body[3:5], "big"), int.from_bytes(body[1:3], "big"), [Component(p[0], p[1] >> 4, p[1] & 15, p[2]) for p in parts])
+            if not frame[0] or not frame[1] or not parts or not all(1 <= x <= 4 for c in frame[2] for x in (c.across, c.down)):
+                raise NotBaseline("sizes or sampling factors out of range")
         elif 0xC2 <= marker <= 0xCF and marker != 0xC8 and marker != 0xCC:
             raise NotBaseline("not a sequential Huffman frame")
         elif marker == 0xDD:
@@ -188,17 +197,26 @@ def decode_all(pics: list[Picture]) -> list[list[np.ndarray]]:
         owner.append(np.full(need, i))
         first.append(np.arange(need) * each)
         base += len(body) + 8
-    data = np.concatenate(pieces).astype(np.uint64)
-    limit = len(data) - 5
-    win = np.zeros(limit, dtype=np.uint64)
-    for k in range(5):  # 40 bits from every byte on
-        win |= data[k : limit + k] << np.uint64(32 - 8 * k)
-    win = win.astype(np.int64)
+    data = np.concatenate(pieces)
     pos, left, owner, first = (np.concatenate(x) for x in (starts, todo, owner, first))
     units = [c.across * c.down if len(comps) > 1 else 1 for c in comps]
     sizes = [pic.mcus[0] * pic.mcus[1] if len(comps) > 1 else -(-pic.width // 8) * -(-pic.height // 8) for pic in pics]
     shift = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     out = [np.zeros((shift[-1] * u, 64), dtype=np.int16) for u in units]
+    for a in range(0, len(pos), LANES):
+        z = min(a + LANES, len(pos))
+        low, high = int(pos[a]) >> 3, (int(pos[z]) >> 3) + 8 if z < len(pos) else len(data)
+        run_lanes(data[low:high], pos[a:z] - low * 8, left[a:z], shift[owner[a:z]] + first[a:z], comps, units, luts, out)
+    return [[out[c][shift[i] * units[c] : shift[i + 1] * units[c]] for c in range(len(comps))] for i in range(len(pics))]
+
+
+def run_lanes(data: np.ndarray, pos: np.ndarray, left: np.ndarray, first: np.ndarray, comps: list[Component], units: list[int], luts: dict[int, np.ndarray], out: list[np.ndarray]) -> None:
+    """Decode restart segments side by side: pos, where each starts in bits; left, its number of units; first, the first of them in the picture; into out."""
+    limit = len(data) - 5
+    win = np.zeros(limit, dtype=np.uint64)
+    for k in range(5):  # 40 bits from every byte on
+        win |= data[k : limit + k].astype(np.uint64) << np.uint64(32 - 8 * k)
+    win = win.astype(np.int64)
     pred = [np.zeros(len(pos), dtype=np.int64) for _ in comps]
 
     def read(pos, lut):
@@ -219,7 +237,7 @@ def decode_all(pics: list[Picture]) -> list[list[np.ndarray]]:
         for c, comp in enumerate(comps):
             dc, ac = luts[comp.dc], luts[0x10 | comp.ac]
             for u in range(units[c]):
-                row = (shift[owner[live]] + first[live] + mcu) * units[c] + u
+                row = (first[live] + mcu) * units[c] + u
                 at, _, _, diff = read(pos[live], dc)
                 pred[c][live] += diff
                 block = np.zeros((64, len(live)), dtype=np.int16)
@@ -243,7 +261,6 @@ def decode_all(pics: list[Picture]) -> list[list[np.ndarray]]:
                     act = act[~((s == 0) & (run < 15) | (k[act] > 63))]
                 pos[live] = at
                 out[c][row] = block.T
-    return [[out[c][shift[i] * units[c] : shift[i + 1] * units[c]] for c in range(len(comps))] for i in range(len(pics))]
 
 
 def thumbnail(pic: Picture, luma: np.ndarray) -> np.ndarray:
@@ -273,7 +290,7 @@ def decode(blobs: list[bytes | None]) -> list[tuple[Picture, list[np.ndarray]] |
     for i, b in enumerate(blobs):
         try:
             pic = parse(bytes(b or b""))
-        except (NotBaseline, IndexError, StopIteration, KeyError) as e:
+        except BROKEN as e:
             out[i] = str(e) or "broken header"
         else:
             groups.setdefault(pic.tables(), []).append((i, pic))
@@ -281,7 +298,7 @@ def decode(blobs: list[bytes | None]) -> list[tuple[Picture, list[np.ndarray]] |
         try:
             for (i, pic), coefs in zip(some, decode_all([p for _, p in some]), strict=True):
                 out[i] = (pic, coefs)
-        except (NotBaseline, IndexError, KeyError) as e:
+        except BROKEN as e:
             if len(some) == 1:
                 out[some[0][0]] = str(e) or "broken scan"
             else:
@@ -292,6 +309,8 @@ def decode(blobs: list[bytes | None]) -> list[tuple[Picture, list[np.ndarray]] |
 
 def stored(pic: Picture, coefs: np.ndarray) -> bytes:
     """The payload that encode() has put into the coefficients."""
+    if not 0 < int(pic.comment.split()[-1]) <= coefs.size:
+        raise NotBaseline("the comment does not name the payload's size")
     v = coefs.reshape(-1)
     data = np.where(v >= 0, v - 128, -v).astype(np.uint8)
     return data.tobytes()[: int(pic.comment.split()[-1])]
@@ -335,8 +354,12 @@ def features_column(media: Column) -> Column:
                     rows.append((None,) * 10 + (got,))
                     continue
                 pic, coefs = got
-                thumb = thumbnail(pic, coefs[0])
-                own = stored(pic, coefs[0]) if pic.comment.startswith(b"payload ") else None
+                try:
+                    thumb = thumbnail(pic, coefs[0])
+                    own = stored(pic, coefs[0]) if re.fullmatch(rb"payload [0-9]{1,18}", pic.comment) else None
+                except BROKEN as e:
+                    rows.append((None,) * 10 + (str(e) or "broken tables",))
+                    continue
                 digest = (None, None, None) if own is None else (len(own), hashlib.sha256(own).hexdigest(), zlib.crc32(own[-64:]))
                 rows.append((pic.width, pic.height, thumb.shape[1], thumb.tobytes(), thumb_hash(thumb), *digest, len(b), hashlib.sha256(b).hexdigest(), None))
         names = ["width", "height", "thumb_width", "thumb", "thumb_hash", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "error"]
