@@ -6,10 +6,11 @@ they are exponentially tilted, r = min(CAP, exp(lambda * size / scale)), one mul
 source's token constraint. The dual is convex and its gradient in lambda is the constraint's error;
 Newton steps, kept inside a bracket, solve it for all sources at once, each step one distributed sum.
 A rate depends on source and size alone, so the steps run over the histogram (source, size, documents).
-Rates are then rounded into whole copies: within a source, sizes in falling order pass the words
-that rounding leaves over on to the next smaller size, so that a source ends within about half of
-its smallest document of its target where its smaller documents can take up what the larger leave; a size's copies go evenly to its documents, the remainder to
-those whose hashes are lowest.
+Rates are then rounded into whole copies: within a source and a block of ``WIDTH`` sizes, sizes in
+falling order pass the words that rounding leaves over on to the next smaller size; what a block leaves
+over goes to the source's block of smallest sizes, so that a source ends within about half of its
+smallest document of its target where its small documents can take up what the others leave. A size's
+copies go evenly to its documents, the remainder to those whose hashes are lowest.
 
 Targets: sources by code point, null last, weigh ``WEIGHTS`` in turn, and share all words in
 proportion; a target stops at CAP times its source's words and the excess is shared out again by
@@ -34,6 +35,8 @@ STEPS = 40
 CLOSE = 1e-9
 #: Parts into which the documents of one source and size are dealt for ranking.
 SALTS = 64
+#: Sizes that are rounded together; a fold's array is no longer than this.
+WIDTH = 256
 #: Sources up to which their multipliers are sent to every task; beyond, they are joined by a shuffle.
 FEW = 100_000
 
@@ -52,24 +55,34 @@ def near(rows: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(rows) if small else rows
 
 
+def running(rows: DataFrame, order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Add to each row the sums over the rows before it in order: inside ranges, moved on by the totals of the ranges before, so no task orders all rows."""
+    dealt = checkpoint(rows.withColumns({f"{k}_own": v for k, v in sums.items()}).repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
+    totals = dealt.groupBy("range").agg(*[F.sum(f"{k}_own").alias(f"{k}_all") for k in sums])  # a row for each range
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.select("range", *[F.coalesce(F.sum(f"{k}_all").over(earlier), F.lit(0)).alias(f"{k}_base") for k in sums])
+    inside = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = dealt.join(F.broadcast(base), "range")
+    return joined.select(*rows.columns, *[(F.col(f"{k}_base") + F.coalesce(F.sum(f"{k}_own").over(inside), F.lit(0))).alias(k) for k in sums])
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """From (key, words), a row for each source: (key, words, target). One task orders the sources."""
-    place = (F.row_number().over(Window.orderBy("key")) - 1) % len(weights)
-    weight = F.element_at(F.array(*map(F.lit, weights)), (place + 1).cast("int")).cast("double")
+    """From (key, words), a row for each source: (key, words, target)."""
+    placed = running(sizes.select("key", "words"), ["key"], {"place": F.lit(1).cast("long")})
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int")).cast("double")
     # Sources reach their caps in the order of cap per weight: the share of a weight at which they do.
-    level = F.when(F.col("words") > 0, cap * F.col("words") / F.col("weight")).otherwise(0.0)
-    rising = Window.orderBy("level", "key")
-    before, every = rising.rowsBetween(Window.unboundedPreceding, -1), rising.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    run = (
-        sizes.withColumn("weight", weight)
-        .withColumn("level", level)
-        .withColumn("left", F.sum("words").over(every) - F.coalesce(F.sum(cap * F.col("words")).over(before), F.lit(0)))
-        .withColumn("share", F.col("left") / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
-        # The first source whose cap lies above the share of what is left fixes the level of those after it.
-        .withColumn("first", F.min(F.when(F.col("share") <= F.col("level"), F.struct("level", "key", "share"))).over(every))
-    )
-    at_cap = F.col("first").isNull() | (F.struct("level", "key") < F.struct(F.col("first.level").alias("level"), F.col("first.key").alias("key")))
-    return run.select("key", "words", F.when(at_cap, (cap * F.col("words")).cast("double")).otherwise(F.col("weight") * F.col("first.share")).alias("target"))
+    level = F.when(F.col("words") > 0, cap * F.col("words") / weight).otherwise(0.0)
+    levels = placed.select("key", "words", weight.alias("weight"), level.alias("level"))
+    ordered = checkpoint(running(levels, ["level", "key"], {"capped": F.col("words") * cap, "weighed": F.col("weight")}))
+    every = ordered.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("words"), F.coalesce(F.sum("weight"), F.lit(0.0)).alias("weight")).first()
+    share = (F.lit(every["words"]) - F.col("capped")) / (F.lit(every["weight"]) - F.col("weighed"))
+    # The first source whose cap lies above the share of what is left fixes the level of those after it.
+    first = ordered.withColumn("share", share).filter("share <= level").agg(F.min(F.struct("level", "key", "share")).alias("f")).first()["f"]
+    whole = (cap * F.col("words")).cast("double")
+    if first is None:
+        return ordered.select("key", "words", whole.alias("target"))
+    at_cap = (F.col("level") < first["level"]) | ((F.col("level") == first["level"]) & (F.col("key") < first["key"]))
+    return ordered.select("key", "words", F.when(at_cap, whole).otherwise(F.col("weight") * first["share"]).alias("target"))
 
 
 def tilted(lam: Column, size: Column, scale: Column, cap: int) -> Column:
@@ -108,22 +121,31 @@ def multipliers(hist: DataFrame, targets: DataFrame, cap: int = CAP, steps: int
 def class_copies(hist: DataFrame, solved: DataFrame, cap: int = CAP) -> DataFrame:
     """(key, size, docs, rate, copies): whole copies for all documents of a source and size together.
 
-    A fold over a source's distinct sizes, largest first, carries the words by which rounding has fallen
-    short; its array is as long as the source has distinct sizes, whatever the number of documents.
+    A fold over a block's sizes, largest first, carries the words by which rounding has fallen short; the
+    block of a source's smallest sizes is folded last and starts with what its other blocks leave over.
     """
     rate = tilted(F.col("lam"), F.col("size"), F.col("scale"), cap)
-    rated = hist.join(near(solved, few(solved)), "key").select("key", (-F.col("size")).alias("order"), "docs", rate.alias("rate"))
-    folded = rated.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("order", "docs", "rate"))).alias("every"))
-    start = F.struct(F.lit(0.0).alias("carry"), F.array().cast("array<struct<size:bigint,docs:bigint,rate:double,copies:bigint>>").alias("out"))
-
-    def pass_on(state, c):
-        size = -c["order"]
-        due = state["carry"] + c["rate"] * c["docs"] * size
-        copies = F.greatest(F.lit(0).cast("long"), F.least(c["docs"] * cap, F.round(due / size).cast("long")))
-        made = F.array(F.struct(size.alias("size"), c["docs"].alias("docs"), c["rate"].alias("rate"), copies.alias("copies")))
-        return F.struct((due - copies * size).alias("carry"), F.concat(state["out"], made).alias("out"))
-
-    return folded.select("key", F.explode(F.aggregate("every", start, pass_on)["out"]).alias("c")).select("key", "c.size", "c.docs", "c.rate", "c.copies")
+    rated = hist.join(near(solved, few(solved)), "key").select("key", F.floor(F.col("size") / WIDTH).alias("block"), (-F.col("size")).alias("order"), "docs", rate.alias("rate"))
+    packed = checkpoint(rated.groupBy("key", "block").agg(F.array_sort(F.collect_list(F.struct("order", "docs", "rate"))).alias("sizes")))
+    last = packed.groupBy("key").agg(F.min("block").alias("block")).withColumn("last", F.lit(True))
+    marked = packed.join(last, ["key", "block"], "left")
+
+    def folded(rows: DataFrame, carry: Column) -> DataFrame:
+        start = F.struct(carry.cast("double").alias("carry"), F.array().cast("array<struct<size:bigint,docs:bigint,rate:double,copies:bigint>>").alias("out"))
+
+        def pass_on(state, c):
+            size = -c["order"]
+            due = state["carry"] + c["rate"] * c["docs"] * size
+            copies = F.greatest(F.lit(0).cast("long"), F.least(c["docs"] * cap, F.round(due / size).cast("long")))
+            made = F.array(F.struct(size.alias("size"), c["docs"].alias("docs"), c["rate"].alias("rate"), copies.alias("copies")))
+            return F.struct((due - copies * size).alias("carry"), F.concat(state["out"], made).alias("out"))
+
+        return rows.select("key", F.aggregate("sizes", start, pass_on).alias("f"))
+
+    large = checkpoint(folded(marked.filter("last is null"), F.lit(0.0)))
+    over = large.groupBy("key").agg(F.sum("f.carry").alias("over"))
+    small = folded(marked.filter("last").join(near(over, few(over)), "key", "left"), F.coalesce("over", F.lit(0.0)))
+    return large.unionByName(small).select("key", F.explode("f.out").alias("c")).select("key", "c.size", "c.docs", "c.rate", "c.copies")
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, keep: bool = False) -> DataFrame:
