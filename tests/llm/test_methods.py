@@ -256,3 +256,95 @@ def test_most_frequent_keeps_the_top_within_its_bound(spark):
         kept = {r.n for r in most_frequent(counted, "n", most).collect()}
         assert len(kept) <= most and kept == set(range(200 - len(kept), 200))
     assert len(most_frequent(counted, "n", 1000).collect()) == 199
+
+
+def test_broken_files_become_reasons(spark):
+    from pyspark.sql import functions as F
+
+    whole = jpeg.encode(bytes(range(64)) * 3)
+    quant = whole.index(b"\xff\xdb")
+    frame = whole.index(b"\xff\xc0")
+    files = [
+        whole,
+        whole[:quant] + whole[quant + 69 :],  # no quantisation table
+        whole.replace(b"payload 192", b"payload xxx", 1),
+        whole.replace(b"payload 192", b"payload 999", 1),
+        whole[: frame + 11] + b"\0" + whole[frame + 12 :],  # sampling factors 0
+        whole[: frame + 5] + b"\0\0" + whole[frame + 7 :],  # no height
+        whole[:-40], b"", None,
+    ]
+    got = [r["f"] for r in spark.createDataFrame([(i, f) for i, f in enumerate(files)], "i int, media binary").coalesce(1).select("i", jpeg.features_column(F.col("media")).alias("f")).orderBy("i").collect()]
+    assert got[0]["error"] is None and got[0]["payload_bytes"] == 192
+    assert got[2]["error"] is None and got[2]["payload_bytes"] is None and got[2]["width"] == got[0]["width"]
+    assert all(got[k]["error"] and got[k]["width"] is None for k in (1, 3, 4, 5, 6, 7, 8))
+
+
+def test_segments_are_decoded_some_at_a_time(monkeypatch):
+    payloads = [random.Random(k).randbytes(64 * n) for k, n in enumerate((1, 50, 7, 200))]
+    monkeypatch.setattr(jpeg, "LANES", 16)
+    for p, got in zip(payloads, jpeg.decode([jpeg.encode(p) for p in payloads]), strict=True):
+        assert jpeg.stored(got[0], got[1][0]) == p
+
+
+def test_toxicity_scores_equal_a_dense_recomputation():
+    rng = random.Random(9)
+    words = ["alpha", "beta", "gamma", "delta", "vile", "rotten"]
+    sample = [(" ".join(rng.choices(words[:4], k=9)) + (" vile rotten" if k % 3 == 0 else ""), int(k % 3 == 0)) for k in range(90)]
+    model = toxicity.fit(sample, 1 / 3)
+
+    def dense(text):
+        codes = [ord(c) for c in text.lower()]
+        z, mask = model.bias, (1 << 32) - 1
+        for n in toxicity.ORDERS:
+            seen = set()
+            for i in range(len(codes) - n + 1):
+                h = codes[i]
+                for c in codes[i + 1 : i + n]:
+                    h = (h * 0x01000193 + c) & mask
+                h = ((h + n) & mask) * 0x9E3779B1 & mask
+                h ^= h >> 15
+                seen.add((h * 0x85EBCA77 & mask) >> (32 - toxicity.BITS))
+            z += sum(float(model.weights[k]) for k in seen)
+        return 1 / (1 + math.exp(-z))
+
+    for text in ("alpha vile beta", "gamma", "", "rotten rotten rotten"):
+        assert model.score(text) == pytest.approx(dense(text), rel=1e-6)
+    assert model.score("alpha vile rotten") > 0.5 > model.score("alpha beta gamma") and toxicity.fit([("a", 1)]).score("a") == 0.0
+
+
+def test_mixture_equals_an_independent_expectation_maximisation():
+    rng = np.random.default_rng(4)
+    p = rng.random((3, 40)).astype(np.float64)
+    p /= p.sum(axis=1, keepdims=True)
+    count = rng.integers(1, 9, 40).astype(np.float64)
+    share, like = language.mixture(p, count, np.full(3, 1 / 3))
+    own = [1 / 3] * 3
+    for _ in range(language.ROUNDS):
+        new = [0.0] * 3
+        for g in range(40):
+            total = sum(own[k] * p[k, g] for k in range(3))
+            for k in range(3):
+                new[k] += count[g] * own[k] * p[k, g] / total
+        own = [x / count.sum() for x in new]
+    assert share == pytest.approx(own) and like == pytest.approx(sum(count[g] * math.log(sum(own[k] * p[k, g] for k in range(3))) for g in range(40)))
+
+
+def test_multipliers_solve_each_source_as_bisection_does(spark):
+    from tessera.llm import mixing
+
+    rng = random.Random(2)
+    hist = [(f"s{k}", size, rng.randint(1, 30)) for k in range(4) for size in rng.sample(range(1, 2000), 40)]
+    words = {f"s{k}": sum(z * d for s, z, d in hist if s == f"s{k}") for k in range(4)}
+    goal = {"s0": 0.2, "s1": 1.0, "s2": 2.5, "s3": 3.0}
+    made = mixing.multipliers(spark.createDataFrame(hist, "key string, size long, docs long"), spark.createDataFrame([(k, w, goal[k] * w) for k, w in words.items()], "key string, words long, target double"))
+    for r in made.collect():
+        own = [(z, d) for s, z, d in hist if s == r["key"]]
+        got = lambda lam: sum(z * d * min(3.0, math.exp(min(50.0, lam * z / r["scale"]))) for z, d in own)  # noqa: B023, E731
+        if r["key"] == "s3":
+            assert r["lam"] is None
+            continue
+        low, high = -1e3, 1e3
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (middle, high) if got(middle) < goal[r["key"]] * words[r["key"]] else (low, middle)
+        assert got(r["lam"]) == pytest.approx(goal[r["key"]] * words[r["key"]], rel=1e-6) and r["lam"] == pytest.approx(low, rel=1e-4, abs=1e-4)
