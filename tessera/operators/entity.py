@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import affinity, fold, normalize_url
@@ -20,13 +20,18 @@ def group_trust(trust: Column, kind: Column, url: Column) -> Column:
     return F.round(F.least(F.lit(1.0), F.round(F.max(trust), 4) + F.greatest(F.lit(0.0), several) + agreed), 4)
 
 
-def merge_reason(members: Column, urls: Column, titles: Column, companies: Column, locations: Column) -> Column:
-    """From the numbers of members and of distinct values among them."""
+def all_equal(value: Column) -> Column:
+    """Aggregate: whether all values that are not null are one; false where there is none."""
+    return F.coalesce(F.min(value) == F.max(value), F.lit(False))
+
+
+def merge_reason(members: Column, one_url: Column, one_title: Column, one_company: Column, one_location: Column) -> Column:
+    """From the number of members and from what is the same in all of them."""
     return (
         F.when(members == 1, "single_source_record")
-        .when((urls == 1) & (titles == 1), "exact_apply_url_and_title")
-        .when(urls == 1, "exact_apply_url")
-        .when((companies == 1) & (titles == 1) & (locations == 1), "normalized_company_title_location")
+        .when(one_url & one_title, "exact_apply_url_and_title")
+        .when(one_url, "exact_apply_url")
+        .when(one_company & one_title & one_location, "normalized_company_title_location")
         .otherwise("title_company_cluster")
     )
 
@@ -37,22 +42,20 @@ def link_confidence(reason: Column, members: Column) -> Column:
 
 
 def resolve(records: DataFrame, order: Sequence[Column]) -> DataFrame:
-    """One row for each key: its primary record (first in order), members, why they were merged, and how sure that is.
+    """One row for each key: its primary record, members, why they were merged, and how sure that is.
 
-    records: key, record, company, title, location, url. Groups are summed on the map side before the
-    shuffle, and the primary record is chosen by a window, so no group is ever collected.
+    records: key, record, company, title, location, url. order: values of which the greatest, first by first,
+    make the primary record; the last of them should be unique. One aggregate without windows or distinct
+    counts: groups are reduced on the map side, none is ever collected.
     """
-    primary = records.withColumn("_k", F.row_number().over(Window.partitionBy("key").orderBy(*order))).filter("_k = 1").select("key", F.col("record").alias("primary_record"))
     link = normalize_url(F.col("url"))
-    counted = records.groupBy("key").agg(
+    best = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
+    named = records.groupBy("key").agg(
+        F.max_by("record", best).alias("primary_record"),
         F.count("*").alias("members"),
-        F.count_distinct(F.when(link != "", link)).alias("urls"),
-        F.count_distinct(fold(F.col("title"))).alias("titles"),
-        F.count_distinct(fold(F.col("company"))).alias("companies"),
-        F.count_distinct(fold(F.col("location"))).alias("locations"),
+        merge_reason(F.count("*"), all_equal(F.when(link != "", link)), *[all_equal(fold(F.col(c))) for c in ("title", "company", "location")]).alias("merge_reason"),
     )
-    named = counted.withColumn("merge_reason", merge_reason(*[F.col(c) for c in ("members", "urls", "titles", "companies", "locations")]))
-    return named.join(primary, "key").withColumn("confidence", link_confidence(F.col("merge_reason"), F.col("members")))
+    return named.withColumn("confidence", link_confidence(F.col("merge_reason"), F.col("members")))
 
 
 def interaction_counts(events: DataFrame, key: Sequence[str] = ("user_id",)) -> DataFrame:

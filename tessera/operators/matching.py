@@ -1,15 +1,19 @@
 """Scores of a profile against postings: components, their weighted sum, and the ranking.
 
-Profiles and postings carry array and scalar columns; a score is one projection over their join, so
-Catalyst keeps it in generated code and only the columns that it names are read. Unknown values get a
-neutral score of their component and never make a sum null.
+Profiles and postings carry array and scalar columns; a score is a few projections over their join, so
+Catalyst keeps it in generated code and only the columns that it names are read. What several
+components need (skills in common, strength of evidence) is computed once, in a struct of its own.
+Unknown values get a neutral score of their component and never make a sum null.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.names import free
 from tessera.functions.text import SENIORITY_RANK, jaccard, rank_of
 
 # What each component counts, and the ranks of its levels.
@@ -45,27 +49,41 @@ def evidence(p) -> Column:
     return clamp(capped(p("evidence_terms"), 0.5, 0.025) + capped(p("ownership_signals"), 0.25, 0.08) + capped(p("impact_signals"), 0.25, 0.08))
 
 
-def skill(p, j) -> Column:
-    required = F.when(count(j("required_skills")) > 0, j("required_skills")).otherwise(j("skills"))
-    n_req, n_pref = count(required), count(j("preferred_skills"))
-    hit = both(required, p("skills"))
-    hits = F.size(hit)
-    base = F.when(n_req > 0, 0.10 + 0.90 * hits / F.least(F.lit(10), n_req)).otherwise(0.50)
-    base = F.when(n_pref > 0, F.least(F.lit(1.0), base + 0.08 * F.size(both(j("preferred_skills"), p("skills"))) / F.least(F.lit(6), n_pref))).otherwise(base)
-    base = F.when(hits > 7, F.least(F.lit(1.0), base + 0.04)).otherwise(base)
-    strength = evidence(p)
-    proven = F.size(both(hit, p("evidence_terms"))) / F.greatest(F.lit(1), hits)
+def lacking(left: Column, right: Column) -> Column:
+    """Terms of left that right has not, in the order and number of left."""
+    return F.filter(F.coalesce(left, F.array().cast("array<string>")), lambda t: ~F.coalesce(F.array_contains(right, t), F.lit(False)))
+
+
+def common(p, j) -> tuple[dict[str, Column], dict[str, Column]]:
+    """What several components read of a pair: first from the pair, then also from the first ones (named w_)."""
+    none = F.array().cast("array<string>")
+    required = F.when(count(j("required_skills")) > 0, j("required_skills")).otherwise(F.coalesce(j("skills"), none))
+    return (
+        {"required": required, "preferred": F.coalesce(j("preferred_skills"), none), "strength": evidence(p)},
+        {"hit": lambda w: both(w("required"), p("skills")), "nice": lambda w: both(w("preferred"), p("skills"))},
+    )
+
+
+def skill(p, j, w) -> Column:
+    """w: what common() gives."""
+    n_req, n_pref, hits = F.size(w("required")), F.size(w("preferred")), F.size(w("hit"))
     up = lambda x: F.least(F.lit(1.0), x)
-    shown = (
-        F.when(proven >= 0.75, F.when(strength >= 0.55, up(up(base + 0.06) + 0.02)).otherwise(up(base + 0.06)))
-        .when(proven >= 0.45, F.when(strength >= 0.65, up(up(base + 0.03) + 0.01)).otherwise(up(base + 0.03)))
-        .when((proven == 0) & (hits >= 2), F.greatest(F.lit(0.0), base - F.when(strength >= 0.3, 0.05).otherwise(0.08)))
-        .otherwise(base)
+    base = F.when(n_req > 0, 0.10 + 0.90 * hits / F.least(F.lit(10), n_req)).otherwise(0.50)
+    base = up(base + F.when(n_pref > 0, 0.08 * F.size(w("nice")) / F.least(F.lit(6), n_pref)).otherwise(0.0))
+    base = up(base + F.when(hits > 7, 0.04).otherwise(0.0))
+    strength = w("strength")
+    proven = F.size(both(w("hit"), p("evidence_terms"))) / F.greatest(F.lit(1), hits)
+    more = (
+        F.when(proven >= 0.75, F.when(strength >= 0.55, 0.08).otherwise(0.06))
+        .when(proven >= 0.45, F.when(strength >= 0.65, 0.04).otherwise(0.03))
+        .when((proven == 0) & (hits >= 2), F.when(strength >= 0.3, -0.05).otherwise(-0.08))
+        .otherwise(0.0)
     )
-    base = F.when((hits > 0) & (count(p("evidence_terms")) > 0), shown).when((hits >= 2) & (strength < 0.2), F.greatest(F.lit(0.0), base - 0.04)).otherwise(base)
+    change = F.when((hits > 0) & (count(p("evidence_terms")) > 0), more).when((hits >= 2) & (strength < 0.2), -0.04).otherwise(0.0)
     missing = F.when(n_req > 0, n_req - hits).otherwise(0)
     ceiling = F.when(missing >= 3, 0.30).when(missing == 2, 0.52).otherwise(1.0)
-    return F.when((n_req == 0) & (n_pref == 0), 0.50).when(count(p("skills")) == 0, 0.08).otherwise(F.least(base, ceiling))
+    score = F.least(clamp(base + change), ceiling)
+    return F.when((n_req == 0) & (n_pref == 0), 0.50).when(count(p("skills")) == 0, 0.08).otherwise(score)
 
 
 def one_of(value: Column, wanted: Column, neutral: float, sparse: float, miss: float) -> Column:
@@ -98,8 +116,8 @@ def workplace(p, j) -> Column:
     return F.when((wish == "") | (have == ""), 0.55).when(wish == have, 1.0).when(near, 0.68).otherwise(0.18)
 
 
-def experience(p, j) -> Column:
-    strength, delta = evidence(p), p("years") - j("years_min")
+def experience(p, j, w) -> Column:
+    strength, delta = w("strength"), p("years") - j("years_min")
     score = F.when(delta >= 3, 1.0).when(delta >= 1, 0.90).when(delta == 0, 0.80).when(delta == -1, 0.52).when(delta == -2, 0.30).otherwise(0.14)
     score = (
         F.when((strength >= 0.6) & (delta >= 0), F.least(F.lit(1.0), score + 0.03))
@@ -142,25 +160,32 @@ def education(p, j) -> Column:
     return F.when(j("education").isNull(), 0.62).when(p("education").isNull(), 0.32).when(have >= want, 1.0).when(have + 1 == want, 0.52).otherwise(0.18)
 
 
-def components(p, j) -> dict[str, Column]:
-    """Raw score of every component; p and j give a column of the profile and of the posting by name."""
+def components(p, j, w) -> dict[str, Column]:
+    """Raw score of every component; p and j give a column of the profile and of the posting by name, w one of common()."""
     return {
-        "skill": skill(p, j), "role": one_of(j("role"), p("roles"), 0.52, 0.42, 0.16), "seniority": seniority(p, j), "discipline": one_of(j("discipline"), p("disciplines"), 0.50, 0.40, 0.20),
-        "domain": domain(p, j), "location": location(p, j), "experience": experience(p, j), "title": title(p, j), "scope": scope(p, j), "workplace": workplace(p, j), "language": language(p, j), "education": education(p, j),
+        "skill": skill(p, j, w), "role": one_of(j("role"), p("roles"), 0.52, 0.42, 0.16), "seniority": seniority(p, j), "discipline": one_of(j("discipline"), p("disciplines"), 0.50, 0.40, 0.20),
+        "domain": domain(p, j), "location": location(p, j), "experience": experience(p, j, w), "title": title(p, j), "scope": scope(p, j), "workplace": workplace(p, j), "language": language(p, j), "education": education(p, j),
     }
 
 
+def external(j) -> Column:
+    return ~F.lower(F.coalesce(j("external_status"), F.lit(""))).isin("", "unavailable", "error")
+
+
 def content_strength(j) -> Column:
     """How much structured content a posting offers to be judged by."""
     skills = F.when(count(j("required_skills")) > 0, capped(j("required_skills"), 0.28, 0.035)).otherwise(capped(j("skills"), 0.18, 0.02))
     rest = F.when(j("scope").isNotNull(), 0.12).otherwise(0.0) + F.when(j("years_min").isNotNull(), 0.08).otherwise(0.0)
-    return clamp(skills + capped(j("preferred_skills"), 0.10, 0.025) + capped(j("domains"), 0.10, 0.04) + rest + capped(j("languages"), 0.06, 0.03))
+    page = 0.10 + capped(j("external_requirements"), 0.08, 0.02) + capped(j("external_technologies"), 0.10, 0.025) + capped(j("external_responsibilities"), 0.08, 0.02)
+    return clamp(skills + capped(j("preferred_skills"), 0.10, 0.025) + capped(j("domains"), 0.10, 0.04) + rest + capped(j("languages"), 0.06, 0.03) + F.when(external(j), page).otherwise(0.0))
 
 
 def analysis_score(j) -> Column:
-    """How well a posting could be analysed, by the length of its description and what was found in it."""
+    """How well a posting could be analysed, by the length of its description and what was found in it and on its page."""
     n = j("description_chars")
     score = F.when(n >= 1200, 0.28).when(n >= 700, 0.24).when(n >= 350, 0.20).when(n >= 180, 0.14).when(n >= 80, 0.08).otherwise(0.0)
+    page = 0.20 + capped(j("external_requirements"), 0.08, 0.02) + capped(j("external_technologies"), 0.06, 0.015) + capped(j("external_responsibilities"), 0.06, 0.02)
+    score = score + F.when(external(j), page).otherwise(0.0)
     score = score + F.when(count(j("required_skills")) > 0, capped(j("required_skills"), 0.14, 0.02)).otherwise(capped(j("skills"), 0.08, 0.01))
     score = score + capped(j("preferred_skills"), 0.05, 0.0125) + capped(j("languages"), 0.04, 0.02) + capped(j("domains"), 0.04, 0.015)
     for name, value in (("scope", 0.05), ("years_min", 0.04), ("role", 0.03), ("discipline", 0.03)):
@@ -169,28 +194,95 @@ def analysis_score(j) -> Column:
 
 
 def scores(pairs: DataFrame, profile: str, posting: str, affinity: Column | None = None) -> DataFrame:
-    """Add fit, catalog, final and matched, and each component's raw score, to pairs of two struct columns."""
+    """Add fit, catalog, final, matched, analysis and blockers, and each component's raw score (raw_...), to pairs of two struct columns.
+
+    The names of what is added must not be among the columns of pairs.
+    """
     p, j = (lambda name: F.col(f"{profile}.{name}")), (lambda name: F.col(f"{posting}.{name}"))
-    raw = pairs.withColumns({f"raw_{k}": F.round(clamp(v), 4) for k, v in components(p, j).items()})
+    one, two, work = free(pairs, "match_one", "match_two", "match_sum")
+    w = lambda name: F.col(f"{two}.{name}") if name in second else F.col(f"{one}.{name}")
+    first, second = common(p, j)
+    rows = pairs.withColumn(one, F.struct(*[v.alias(k) for k, v in first.items()]))
+    rows = rows.withColumn(two, F.struct(*[v(lambda name: F.col(f"{one}.{name}")).alias(k) for k, v in second.items()]))
+    rows = rows.withColumns({f"raw_{k}": F.round(clamp(v), 4) for k, v in components(p, j, w).items()})
     # Components are rounded before they are added up.
     fit = F.lit(0.0)
-    for k, w in WEIGHTS.items():
-        fit = fit + F.round(F.col(f"raw_{k}") * w, 4)
-    with_fit = raw.withColumns({"fit": F.round(fit, 4), "_analysis": analysis_score(j)})
-    catalog = F.round(clamp(j("trust") * 0.22 + j("freshness") * 0.18 + j("readiness") * 0.33 + content_strength(j) * 0.12 + F.col("_analysis") * 0.15), 4)
-    with_catalog = with_fit.withColumn("catalog", catalog)
+    for k, weight in WEIGHTS.items():
+        fit = fit + F.round(F.col(f"raw_{k}") * weight, 4)
+    rows = rows.withColumns({"fit": F.round(fit, 4), "analysis": analysis_score(j)})
+    catalog = F.round(clamp(j("trust") * 0.22 + j("freshness") * 0.18 + j("readiness") * 0.33 + content_strength(j) * 0.12 + F.col("analysis") * 0.15), 4)
+    rows = rows.withColumn("catalog", catalog)
     plain = F.round(F.col("fit") * 0.91 + F.col("catalog") * 0.09, 4)
-    final = plain if affinity is None else F.when(affinity.isNull(), plain).otherwise(F.round(F.col("fit") * 0.86 + F.col("catalog") * 0.09 + clamp(affinity) * 0.05, 4))
-    a = F.col("_analysis")
-    with_final = with_catalog.withColumn("final", final)
-    adjusted = F.when(a < 0.38, F.round(F.col("final") * 0.92, 4)).when(a < 0.52, F.round(F.col("final") * 0.97, 4)).when(a >= 0.82, F.round(F.least(F.lit(1.0), F.col("final") + 0.01), 4)).otherwise(F.col("final"))
-    return with_final.withColumn("final", adjusted).withColumn("matched", F.col("final") >= MATCHED).withColumnRenamed("_analysis", "analysis")
+    total = plain if affinity is None else F.when(affinity.isNull(), plain).otherwise(F.round(F.col("fit") * 0.86 + F.col("catalog") * 0.09 + clamp(affinity) * 0.05, 4))
+    a, t = F.col("analysis"), F.col(work)
+    final = F.when(a < 0.38, F.round(t * 0.92, 4)).when(a < 0.52, F.round(t * 0.97, 4)).when(a >= 0.82, F.round(F.least(F.lit(1.0), t + 0.01), 4)).otherwise(t)
+    stuck = F.when(F.col("raw_skill") <= 0.30, F.slice(F.when(count(p("skills")) > 0, lacking(w("required"), p("skills"))).otherwise(w("required")), 1, 6))
+    rows = rows.withColumn(work, total).withColumns({"final": final, "blockers": F.coalesce(stuck, F.array().cast("array<string>"))})
+    return rows.withColumn("matched", F.col("final") >= MATCHED).drop(one, two, work)
+
+
+def best_first(posting: str, key: str, updated: Column | None = None) -> list[Column]:
+    """The order of matches: final, fit, readiness, trust, freshness, last change, key; all from the highest down."""
+    j = lambda name: F.col(f"{posting}.{name}")
+    return [F.desc("final"), F.desc("fit"), j("readiness").desc(), j("trust").desc(), j("freshness").desc(), *([F.coalesce(updated, F.lit("")).desc()] if updated is not None else []), F.desc(key)]
+
+
+def ranked(scored: DataFrame, profile_key: str, posting_key: str, posting: str, limit: int, least: float = 0.0, updated: Column | None = None) -> DataFrame:
+    """The best postings of each profile with their place, best first; the limit is the feature."""
+    # The score leads the order, so rows below the least one come last: it is asked for after the places, which keeps
+    # the optimizer from copying the whole score into a filter below them.
+    order = Window.partitionBy(profile_key).orderBy(*best_first(posting, posting_key, updated))
+    return scored.withColumn("place", F.row_number().over(order)).filter((F.col("place") <= limit) & (F.col("final") >= least))
+
+
+def match_of(pairs: DataFrame, key: str, value, profile: str = "profile", posting: str = "posting") -> DataFrame:
+    """The scores of one posting; only its pair is scored."""
+    return scores(pairs.filter(F.col(key) == F.lit(value)), profile, posting)
+
+
+def saved_snapshots(saved: DataFrame, pairs: DataFrame, key: Sequence[str], profile: str = "profile", posting: str = "posting") -> DataFrame:
+    """The scores of saved postings alone, as they are now."""
+    return scores(pairs.join(saved.select(*key).distinct(), list(key), "left_semi"), profile, posting).select(*key, "fit", "catalog", "final", "matched", "blockers")
+
+
+def display_score(hits: Column, asked: Column) -> Column:
+    """Score shown where only key words could be compared: 42 to 74."""
+    ratio = F.when(asked > 0, hits / asked).otherwise(0.0)
+    return F.least(F.lit(74), F.greatest(F.lit(42), 42 + F.bround(32 * ratio).cast("int")))
+
+
+# Terms too common to be shown, and the words for them.
+GENERIC = (
+    "engineer", "developer", "manager", "specialist", "lead", "intern", "analyst", "software", "platform", "cloud", "backend", "frontend",
+    "fullstack", "full-stack", "senior", "junior", "mid", "staff", "principal", "associate", "consultant",
+)
+
+
+def shown_terms(terms: Column, limit: int = 8) -> Column:
+    """Terms as they are displayed: spaces for underscores, lower case, distinct, generic ones left out."""
+    clean = F.transform(F.coalesce(terms, F.array().cast("array<string>")), lambda t: F.lower(F.trim(F.replace(t, F.lit("_"), F.lit(" ")))))
+    return F.slice(F.array_distinct(F.filter(clean, lambda t: (t != "") & ~t.isin(*GENERIC))), 1, limit)
+
 
+def insights(scored: DataFrame, posting: str, skill_terms: tuple[Column, Column], order: list[Column], considered: int = 40, for_gaps: int = 20, top: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From one profile's scored postings: (matched, remote) counts, (term, items, total) strengths, (term, weight, percent) gaps.
 
-def ranked(scored: DataFrame, profile_key: str, posting_key: str, limit: int, least: float = 0.0) -> DataFrame:
-    """The best postings of each profile, best first; the limit is the feature."""
-    order = Window.partitionBy(profile_key).orderBy(F.desc("final"), F.desc("fit"), F.desc("catalog"), posting_key)
-    return scored.filter(F.col("final") >= least).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
+    skill_terms: terms that a posting and the profile share, and those that the profile lacks. The best postings
+    considered are the feature: 40, and 20 of at least 0.45 for gaps, where blockers count twice.
+    """
+    best = scored.withColumns({"shared_terms": skill_terms[0], "lacked_terms": skill_terms[1]}).orderBy(*order).limit(considered)
+    matched = best.filter("matched")
+    remote = F.coalesce(F.lower(F.col(f"{posting}.workplace")).isin("remote", "hybrid"), F.lit(False))
+    counts = matched.agg(F.count("*").alias("matched"), F.count_if(remote).alias("remote"))
+    strong = matched.select(F.explode(shown_terms(F.col("shared_terms"))).alias("term")).groupBy("term").agg(F.count("*").alias("items"))
+    strengths = strong.orderBy(F.desc("items"), "term").limit(top).crossJoin(counts.select(F.col("matched").alias("total")))  # a row
+    weak = best.filter("final >= 0.45").orderBy(*order).limit(for_gaps)
+    blocked = shown_terms(F.col("blockers"))
+    rows = weak.select(F.explode(F.when(F.size(blocked) > 0, F.transform(blocked, lambda t: F.struct(t.alias("term"), F.lit(2).alias("weight")))).otherwise(F.transform(shown_terms(F.col("lacked_terms"), 6), lambda t: F.struct(t.alias("term"), F.lit(1).alias("weight"))))).alias("g"))
+    summed = rows.groupBy("g.term").agg(F.sum("g.weight").alias("weight")).orderBy(F.desc("weight"), "term").limit(top)
+    share = F.least(F.lit(100), F.bround(F.col("weight") * 100 / F.greatest(F.lit(1), F.col("n"))).cast("int"))
+    lacking_terms = summed.crossJoin(weak.agg(F.count("*").alias("n"))).select("term", "weight", share.alias("percent"))  # a row
+    return counts, strengths, lacking_terms
 
 
 def gaps(scored: DataFrame, required: Column, have: Column, top: int = 5) -> DataFrame:

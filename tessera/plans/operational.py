@@ -308,20 +308,26 @@ def reinforced_memory(spark, d):
     return M.reinforce(memory, late, key)
 
 
-RESOLVED_SQL = """WITH r AS (SELECT p_partkey AS record, p_brand, p_name, p_type, p_size, p_retailprice,
-      lower(p_brand) || '|' || lower(p_name) || '|' || lower(p_type) AS key FROM part),
-    q AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY p_size DESC, p_retailprice DESC, record) AS k FROM r)
-  SELECT key, max(CASE WHEN k = 1 THEN record END) AS primary_record, count(*) AS members,
-    CASE WHEN count(*) = 1 THEN 'single_source_record' ELSE 'normalized_company_title_location' END AS merge_reason,
-    CASE WHEN count(*) = 1 THEN 0.9 WHEN count(*) >= 3 THEN 0.95 ELSE 0.94 END::DOUBLE AS confidence FROM q GROUP BY key"""
+RESOLVED_SQL = """WITH g AS (SELECT p_partkey AS record, p_partkey // 3 AS g, p_partkey // 3 % 5 AS c, p_brand, p_name, p_type, p_size, p_retailprice FROM part),
+    r AS (SELECT record, p_size, p_retailprice, CASE WHEN c = 4 THEN 'p' || record ELSE 'g' || g END AS key, CASE WHEN c IN (0, 2) THEN 'title ' || g ELSE lower(p_name) END AS title,
+      CASE WHEN c = 2 THEN 'company' ELSE lower(p_brand) END AS company, CASE WHEN c = 2 THEN 'berlin' ELSE lower(p_type) END AS place, CASE WHEN c = 0 THEN 'https://x.example/' || g WHEN c = 1 THEN 'https://x.example/jobs/' || g END AS url FROM g),
+    q AS (SELECT key, arg_max(record, (p_size, p_retailprice, -record)) AS primary_record, count(*) AS members, count(DISTINCT url) AS urls, count(DISTINCT title) AS titles, count(DISTINCT company) AS companies, count(DISTINCT place) AS places FROM r GROUP BY key),
+    m AS (SELECT key, primary_record, members, CASE WHEN members = 1 THEN 'single_source_record' WHEN urls = 1 AND titles = 1 THEN 'exact_apply_url_and_title' WHEN urls = 1 THEN 'exact_apply_url'
+      WHEN companies = 1 AND titles = 1 AND places = 1 THEN 'normalized_company_title_location' ELSE 'title_company_cluster' END AS merge_reason FROM q)
+  SELECT *, least(0.995, CASE merge_reason WHEN 'single_source_record' THEN 0.9 WHEN 'exact_apply_url_and_title' THEN 0.99 WHEN 'exact_apply_url' THEN 0.97 WHEN 'normalized_company_title_location' THEN 0.94 ELSE 0.88 END
+    + CASE WHEN members >= 3 THEN 0.01 ELSE 0 END)::DOUBLE AS confidence FROM m"""
 
 
 @query("resolved_postings", RESOLVED_SQL)
 def resolved_postings(spark, d):
-    part = table(spark, d, "part")
-    records = part.select(F.col("p_partkey").alias("record"), F.col("p_brand").alias("company"), F.col("p_name").alias("title"), F.col("p_type").alias("location"), F.lit(None).cast("string").alias("url"), "p_size", "p_retailprice")
-    key = F.concat_ws("|", X.fold(F.col("company")), X.fold(F.col("title")), X.fold(F.col("location")))
-    return E.resolve(records.withColumn("key", key), [F.desc("p_size"), F.desc("p_retailprice"), F.col("record")]).select("key", "primary_record", "members", "merge_reason", "confidence")
+    """Groups of three parts, each made alike in other ways, so that every reason to merge occurs."""
+    g, c = F.expr("p_partkey div 3"), F.expr("p_partkey div 3 % 5")
+    records = table(spark, d, "part").select(
+        F.col("p_partkey").alias("record"), "p_size", "p_retailprice", F.when(c == 4, F.concat(F.lit("p"), "p_partkey")).otherwise(F.concat(F.lit("g"), g)).alias("key"),
+        F.when(c.isin(0, 2), F.concat(F.lit("Title  "), g)).otherwise(F.col("p_name")).alias("title"), F.when(c == 2, "Company ").otherwise(F.col("p_brand")).alias("company"), F.when(c == 2, "BERLIN").otherwise(F.col("p_type")).alias("location"),
+        F.when(c == 0, F.concat(F.lit("https://x.example/"), g)).when(c == 1, F.concat(F.lit("HTTPS://X.example//jobs/"), g, F.lit("/?from="), "p_partkey")).alias("url"),
+    )
+    return E.resolve(records, [F.col("p_size"), F.col("p_retailprice"), -F.col("record")]).select("key", "primary_record", "members", "merge_reason", "confidence")
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -40,14 +40,18 @@ def windowed(events: DataFrame, width: str = "1 hour", late: str = "10 minutes")
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("items"), F.sum("value").alias("value"))
 
 
-def rate_limited(events: DataFrame, limit: int, seconds: int) -> DataFrame:
+def rate_limited(events: DataFrame, limit: int, seconds: int, late: str = "10 minutes") -> DataFrame:
     """(user_id, event_id, wait): 0 for an event that passes, else the whole seconds to wait.
 
     A window opens with a key's first event and not at a round time; batches of a key are taken in order
-    of time. State is the window's end and its count, so memory follows the number of live keys.
+    of time. State is the window's end and its count; it goes when the watermark passes the end, so
+    memory follows the number of live keys. Events later than the watermark are left out.
     """
 
     def check(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
         end, n = state.get if state.exists else (0.0, 0)
         waits = []
@@ -60,10 +64,15 @@ def rate_limited(events: DataFrame, limit: int, seconds: int) -> DataFrame:
             else:
                 n += 1
                 waits.append(0)
-        state.update((float(end), int(n)))
+        if end * 1000 > state.getCurrentWatermarkMs():
+            state.update((float(end), int(n)))
+            state.setTimeoutTimestamp(int(end * 1000) + 1)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"], "wait": waits})
 
-    return events.groupBy("user_id").applyInPandasWithState(check, "user_id long, event_id long, wait long", "end double, n long", "append", GroupStateTimeout.NoTimeout)
+    live = events.withWatermark("ts", late)
+    return live.groupBy("user_id").applyInPandasWithState(check, "user_id long, event_id long, wait long", "end double, n long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def rate_limited_batch(events: DataFrame, limit: int, seconds: int) -> DataFrame:
@@ -94,5 +103,6 @@ def rate_limited_batch(events: DataFrame, limit: int, seconds: int) -> DataFrame
 
 
 def latest_state(changes: DataFrame, key: str, order: str) -> DataFrame:
-    """The last row of each key in a log of changes."""
-    return changes.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).filter("_k = 1").drop("_k")
+    """The last row of each key in a log of changes, reduced on the map side."""
+    last = changes.groupBy(key).agg(F.max_by(F.struct(*changes.columns), order).alias("last"))
+    return last.select("last.*")
