@@ -124,7 +124,9 @@ def test_component_scores(spark):
     row = ((base["skills"], base["evidence_terms"], base["ownership_signals"], base["impact_signals"], None, "lead", True), ([], base["required_skills"], base["preferred_skills"], "architect"))
     df = spark.createDataFrame([row], schema)
     p, j = (lambda n: F.col(f"p.{n}")), (lambda n: F.col(f"j.{n}"))
-    skill, scope = df.select(M.skill(p, j), M.scope(p, j)).first()
+    first, second = M.common(p, j)
+    w = lambda n: first[n] if n in first else second[n](lambda m: first[m])
+    skill, scope = df.select(M.skill(p, j, w), M.scope(p, j)).first()
     assert skill == pytest.approx(0.30)  # three required skills are missing: the ceiling holds
     assert scope == pytest.approx(0.82)  # a manager by seniority, one above an architect
 
