@@ -3,10 +3,8 @@
 import datetime as dt
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import pii
 from tessera.operators import analytics as A
 from tessera.operators import documents as D
 from tessera.plans import registry
@@ -29,26 +27,6 @@ def test_incremental_parse_reaches_every_day(spark):
     assert max(str(k[2]) for k in sections) > "2024-01-02" and len({r.reused for r in got.values()}) > 1
 
 
-@pytest.fixture(scope="module")
-def field():
-    return pii.fit(["Some plain words of a text that trains the field, with numbers 12 and 345."])
-
-
-@pytest.mark.parametrize("value", ["8[.]8[.]8[.]8", "1(.)0(.)0(.)1", "10[.]0[.]0[.]5", "10(.)0(.)0(.)5", "8.8.8[.]8", "10[.]10[.]0[.]5", "10(.)10(.)0(.)5", "10.10.0[.]5"])
-def test_short_bracketed_addresses_are_found(field, value):
-    text = f"see {value} now"
-    assert field.spans(text)[1] == [(4, 4 + len(value), 1)]
-
-
-def test_capital_at_is_found(field):
-    assert field.spans("mail JANE AT EXAMPLE DOT COM")[1] == [(5, 28, 0)] or field.spans("JANE AT EXAMPLE DOT COM")[1] == [(0, 23, 0)]
-
-
-@pytest.mark.parametrize("text", ["in 2024 we", "v 1.2.3 and", "1999-2004", "page 123456", "1 2 3 4", "1-2-3-4", "3/4/2024", "1 [2] 3 [4]"])
-def test_short_numbers_stay_outside(field, text):
-    assert field.spans(text)[1] == []
-
-
 def test_diversified_places_every_row(spark):
     rows = [(k, k * 7 % 5 if k % 11 else None, None if k % 13 == 0 else float(k * 31 % 17)) for k in range(300)]
     df = spark.createDataFrame(rows, "id int, source int, score double")
