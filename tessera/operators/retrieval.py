@@ -11,6 +11,8 @@ from tessera.functions.text import token_estimate
 
 #: Largest chunk in characters, and paragraphs that the next chunk repeats.
 CHUNK, OVERLAP = 1200, 1
+# Characters that neighbouring chunks share, at least and at most, to be joined without a repeat.
+SHARED = (32, 240)
 #: What a context holds at most: items, characters, tokens, characters of an item; and the least characters of an item.
 ITEMS, CHARACTERS, TOKENS, PER_ITEM, LEAST = 5, 4000, 800, 1200, 32
 
@@ -95,13 +97,31 @@ def merged(hits: DataFrame, document: str, index: str, content: str, window: int
     runs = adjacent(hits, document, index, window)
     parts = F.array_sort(F.collect_list(F.struct(index, content)))
     grouped = runs.groupBy(document, "run").agg(F.max("similarity").alias("best"), F.avg("similarity").alias("mean"), F.count("*").alias("chunks"), F.min(index).alias("first"), parts.alias("_parts"))
-    return grouped.withColumn("content", F.array_join(F.transform("_parts", lambda p: p[content]), "\n\n")).drop("_parts")
+    return grouped.withColumn("content", F.aggregate("_parts", F.lit(""), lambda s, p: joined_text(s, F.coalesce(p[content], F.lit(""))))).drop("_parts")
+
+
+def signature(content: Column) -> Column:
+    """A content without case and spacing."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(content, F.lit(""))), r"\s+", " "))
+
+
+def joined_text(left: Column, right: Column) -> Column:
+    """Two texts as one: what the first ends and the second begins with stands once, the longest such part of SHARED; else a blank line between them."""
+    pair = F.struct(F.regexp_replace(left, r"\s+$", "").alias("a"), F.regexp_replace(right, r"^\s+", "").alias("b"))
+
+    def join(p):
+        a, b = p["a"], p["b"]
+        both = F.filter(F.sequence(F.lit(SHARED[1]), F.lit(SHARED[0]), F.lit(-1)), lambda n: (n <= F.length(a)) & (n <= F.length(b)) & (F.right(a, n) == F.left(b, n)))
+        rest = F.substr(b, F.coalesce(F.get(both, F.lit(0)), F.lit(0)) + 1)
+        return F.when(a == "", b).when((b == "") | (signature(a) == signature(b)), a).when(F.size(both) > 0, F.concat(a, rest)).otherwise(F.concat(a, F.lit("\n\n"), b))
+
+    return bound(pair, join)
 
 
 def without_repeats(items: DataFrame, content: str, order: Sequence[Column]) -> DataFrame:
     """The first item in order of each content, compared without case and spacing."""
-    signature = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(content), F.lit(""))), r"\s+", " "))
-    placed = items.withColumn("_k", F.row_number().over(Window.partitionBy(signature).orderBy(*order))).filter(signature != "")
+    same = signature(F.col(content))
+    placed = items.withColumn("_k", F.row_number().over(Window.partitionBy(same).orderBy(*order))).filter(same != "")
     return placed.filter("_k = 1").drop("_k")
 
 

@@ -103,6 +103,13 @@ def test_runs_repeats_and_packing(spark):
     assert all(len(r.content) <= R.PER_ITEM for r in packed) and sum(int(len(r.content.split()) * 1.25) for r in packed) <= R.TOKENS + 2
 
 
+def test_shared_text_of_neighbours_stands_once(spark):
+    shared = "a paragraph of more than thirty-two characters"
+    pairs = [("x " + shared + " \n", "  " + shared + "\n\ny"), ("one", "two"), ("", " b"), ("a ", ""), ("Same  text", "same text"), ("ab" * 10, "ab" * 10 + "c"), ("q" + "z" * 300, "z" * 300 + "r")]
+    got = [r[0] for r in spark.createDataFrame(pairs, "a string, b string").select(R.joined_text(F.col("a"), F.col("b"))).collect()]
+    assert got == ["x " + shared + "\n\ny", "one\n\ntwo", "b", "a", "Same  text", "ab" * 10 + "\n\n" + "ab" * 10 + "c", "q" + "z" * 360 + "r"]
+
+
 def test_simhash_forms_agree(spark):
     import hashlib
 
