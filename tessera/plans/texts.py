@@ -212,28 +212,18 @@ def retention_plan(spark, d):
     return plan.select("o_orderkey", "kind", "r.expires_at", "r.disposition", "r.remaining_days")
 
 
-@query(
-    "incremental_parse",
-    """WITH n AS (SELECT user_id, event_type, md5(string_agg(CASE WHEN value > 30 THEN 'x' ELSE 'y' END, '' ORDER BY event_id)) AS digest FROM events WHERE ts < TIMESTAMP '2024-01-03' GROUP BY 1, 2),
-         c AS (SELECT user_id, event_type, md5(string_agg('x', '' ORDER BY event_id)) AS digest FROM events WHERE ts < TIMESTAMP '2024-01-03' GROUP BY 1, 2)
-       SELECT user_id, count(c.digest) AS reused, count(*) AS sections, CASE WHEN count(c.digest) = count(*) THEN 'EXACT_HIT' WHEN count(c.digest) > 0 THEN 'PARTIAL_REUSE' ELSE 'MISS' END AS plan
-       FROM n LEFT JOIN c USING (user_id, event_type, digest) GROUP BY 1""",
-)
-def incremental_parse(spark, d):
-    """A user's events of one kind stand in for a section, whose digest decides whether its parse is reused; the first two days are the state."""
-    rows = table(spark, d, "events").filter("ts < TIMESTAMP '2024-01-03'")
-    digest = lambda mark: F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", mark.alias("m")))), lambda x: x["m"]), ""))
-    new = rows.groupBy("user_id", "event_type").agg(digest(F.when(F.col("value") > 30, "x").otherwise("y")).alias("digest"))
-    cached = rows.groupBy("user_id", "event_type").agg(digest(F.lit("x")).alias("digest"))
-    return D.parse_plan(new, cached, "user_id", "event_type", "digest")
-
-
 PARSE_STATE = "TIMESTAMP '2024-01-16'"
 
 
-def section_digest_sql(mark: str) -> str:
+def section_digest_sql(mark: str, section: str = "event_type || '/' || strftime(ts, '%Y-%m-%d')") -> str:
     hashed = " || ':' || ".join(f"sum(('0x' || substr(md5(event_id || {mark}), {at}, 15))::BIGINT)" for at in (1, 17))
-    return f"SELECT user_id, event_type || '/' || strftime(ts, '%Y-%m-%d') AS section, count(*) || ':' || {hashed} AS digest FROM events"
+    return f"SELECT user_id, {section} AS section, count(*) || ':' || {hashed} AS digest FROM events"
+
+
+def section_digest(mark):
+    """Count and two sums of hashes of a section's rows, each with its mark."""
+    part = lambda at: F.sum(F.conv(F.substring(F.md5(F.concat(F.col("event_id").cast("string"), mark)), at, 15), 16, 10).cast("decimal(20,0)")).cast("string")
+    return F.concat_ws(":", F.count("*").cast("string"), part(1), part(17)).alias("digest")
 
 
 @query(
@@ -248,8 +238,19 @@ def incremental_parse_all(spark, d):
     A digest is the count and two sums of hashes of a section's rows, so that no task gathers a section.
     """
     rows = table(spark, d, "events").withColumn("section", F.concat("event_type", F.lit("/"), F.date_format("ts", "yyyy-MM-dd")))
-    part = lambda mark, at: F.sum(F.conv(F.substring(F.md5(F.concat(F.col("event_id").cast("string"), mark)), at, 15), 16, 10).cast("decimal(20,0)")).cast("string")
-    digest = lambda mark: F.concat_ws(":", F.count("*").cast("string"), part(mark, 1), part(mark, 17)).alias("digest")
-    new = rows.groupBy("user_id", "section").agg(digest(F.when(F.col("value") > 30, "x").otherwise("y")))
-    cached = rows.filter(f"ts < {PARSE_STATE}").groupBy("user_id", "section").agg(digest(F.lit("x")))
+    new = rows.groupBy("user_id", "section").agg(section_digest(F.when(F.col("value") > 30, "x").otherwise("y")))
+    cached = rows.filter(f"ts < {PARSE_STATE}").groupBy("user_id", "section").agg(section_digest(F.lit("x")))
+    return D.parse_plan(new, cached, "user_id", "section", "digest")
+
+
+@query(
+    "incremental_parse",
+    f"""WITH n AS ({section_digest_sql("CASE WHEN value > 30 THEN 'x' ELSE 'y' END", "event_type")} GROUP BY 1, 2), c AS ({section_digest_sql("'x'", "event_type")} GROUP BY 1, 2)
+       SELECT user_id, count(c.digest) AS reused, count(*) AS sections, CASE WHEN count(c.digest) = count(*) THEN 'EXACT_HIT' WHEN count(c.digest) > 0 THEN 'PARTIAL_REUSE' ELSE 'MISS' END AS plan
+       FROM n LEFT JOIN c USING (user_id, section, digest) GROUP BY 1""",
+)
+def incremental_parse(spark, d):
+    """All of a user's events of one kind stand in for a section; a section whose rows have all kept their mark is reused."""
+    rows = table(spark, d, "events").withColumn("section", F.col("event_type"))
+    new, cached = (rows.groupBy("user_id", "section").agg(section_digest(mark)) for mark in (F.when(F.col("value") > 30, "x").otherwise("y"), F.lit("x")))
     return D.parse_plan(new, cached, "user_id", "section", "digest")
