@@ -85,6 +85,13 @@ def search(items: DataFrame, query: Column, vector: str, key: str, k: int, least
     return scored.orderBy(F.desc("similarity"), key).limit(k)
 
 
+def filtered_search(items: DataFrame, query: Column, vector: str, key: str, k: int, least: float, where: Column) -> DataFrame:
+    """The k items most similar to a query vector among those that meet a condition, with the number of such items before the least similarity counts."""
+    candidates = items.filter(where)
+    total = candidates.count()
+    return search(candidates, query, vector, key, k, least).withColumn("total_candidates", F.lit(total).cast("long"))
+
+
 def adjacent(hits: DataFrame, document: str, index: str, window: int = 1) -> DataFrame:
     """Hits with the number of their run: neighbours in a document at most window apart belong together."""
     order = Window.partitionBy(document).orderBy(index)

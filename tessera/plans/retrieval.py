@@ -8,6 +8,12 @@ from tessera.operators import retrieval as R
 from tessera.plans.base import query, table
 
 
+def query_vector(items):
+    """The vector of item 0; an empty one, to which nothing is similar, where it is absent or null."""
+    row = items.filter("vec_id = 0").select("embedding").first()
+    return F.array(*[F.lit(float(x)) for x in (row and row["embedding"]) or ()]).cast("array<double>")
+
+
 @query(
     "vector_search",
     """WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0)
@@ -17,11 +23,22 @@ from tessera.plans.base import query, table
 def vector_search(spark, d):
     """The twelve nearest are the feature."""
     items = table(spark, d, "embeddings")
-    wanted = items.filter("vec_id = 0").select("embedding").first()["embedding"]
-    found = R.search(items.filter("vec_id <> 0"), F.array(*[F.lit(float(x)) for x in wanted]), "embedding", "vec_id", 12)
+    found = R.search(items.filter("vec_id <> 0"), query_vector(items), "embedding", "vec_id", 12)
     return found.select("vec_id", "label", F.round("similarity", 6).alias("similarity"))
 
 
+@query(
+    "filtered_search",
+    """WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0), c AS (SELECT vec_id, label, list_cosine_similarity(embedding::DOUBLE[], q.e) AS s FROM embeddings, q WHERE vec_id <> 0 AND label <= 4)
+       SELECT vec_id, label, round(s, 6) AS similarity, (SELECT count(*) FROM c) AS total_candidates FROM c WHERE s >= 0.05 ORDER BY s DESC, vec_id LIMIT 12""",
+)
+def filtered_search(spark, d):
+    """The twelve nearest of the wanted labels are the feature."""
+    items = table(spark, d, "embeddings")
+    found = R.filtered_search(items, query_vector(items), "embedding", "vec_id", 12, 0.05, F.expr("vec_id <> 0 and label <= 4"))
+    return found.select("vec_id", "label", F.round("similarity", 6).alias("similarity"), "total_candidates")
+
+
 def vector_sql() -> str:
     word = lambda i: f"('0x' || substr(sha256('{i // 8}:' || text), {8 * (i % 8) + 1}, 8))::UBIGINT / 4294967295.0 * 2.0 - 1.0"
     return f"""WITH v AS (SELECT doc_id, CASE WHEN trim(coalesce(text, '')) = '' THEN list_transform(range(16), lambda x: 0.0::DOUBLE) ELSE [{', '.join(word(i) + '::DOUBLE' for i in range(16))}] END AS e FROM documents),

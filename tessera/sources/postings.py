@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from tessera.functions.text import normalize, normalize_url, strip_html
 
@@ -57,8 +58,30 @@ def fresh(cache: DataFrame, requests: DataFrame, key: str, now: Column) -> tuple
     return alive.join(requests.select(key), key, "left_semi"), requests.join(alive.select(key), key, "left_anti")
 
 
+def sorted_keys(value: Column, kind: DataType) -> Column:
+    """A nested value with the keys of its maps and the fields of its structs in order, at every depth."""
+    if isinstance(kind, StructType):
+        fields = [sorted_keys(value[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)]
+        return F.when(value.isNotNull(), F.struct(*fields)) if fields else value
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: sorted_keys(x, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.map_from_entries(F.transform(F.array_sort(F.map_keys(value)), lambda k: F.struct(k, sorted_keys(value[k], kind.valueType))))
+    return value
+
+
+def payload_json(value: Column, kind: DataType) -> Column:
+    """Compact JSON of a nested value with sorted keys, nulls written out."""
+    return F.to_json(sorted_keys(value, kind), {"ignoreNullFields": "false"})
+
+
+def payload_hash(value: Column, kind: DataType) -> Column:
+    """sha256 of a payload's JSON with sorted keys, so that the order of keys does not count; null for a null payload."""
+    return F.sha2(payload_json(value, kind), 256)
+
+
 def write_csv(df: DataFrame, where: str, columns: Sequence[str]) -> None:
     """CSV with a header: null as empty, booleans as true and false, nested values as JSON with sorted keys."""
-    kinds = dict(df.dtypes)
-    cell = lambda c: F.to_json(F.col(c)) if kinds[c].startswith(("struct", "array", "map")) else F.col(c).cast("string")
+    kinds = {f.name: f.dataType for f in df.schema}
+    cell = lambda c: payload_json(F.col(c), kinds[c]) if isinstance(kinds[c], StructType | ArrayType | MapType) else F.col(c).cast("string")
     df.select(*[F.coalesce(cell(c), F.lit("")).alias(c) for c in columns]).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(where)
