@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: Characters that separate words in every operator of this subpackage.
 SPACE = r"\x20\x09-\x0D"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Spark's setting by which the shuffle files of a query go when it ends.
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -32,9 +34,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared folder and cut its lineage; survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise df in the shared folder and cut its lineage; survives lost executors.
+
+    The shuffle files of its plan serve nothing once it is written: Spark removes them at the end of the action
+    instead of when the driver happens to collect garbage. The setting counts when a plan is built, so df is
+    selected anew under it.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    before = spark.conf.get(RELEASE, "false")
+    spark.conf.set(RELEASE, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(RELEASE, before)
 
 
 def free_names(df: DataFrame, *names: str) -> list[str]:
