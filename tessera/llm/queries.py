@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, jaccard, jpeg, language, lm, mixing, pii, token_files, topk, toxicity
+from tessera.llm import alignment, bpe, divergence, jaccard, jpeg, language, lm, mixing, pii, simhash, token_files, topk, toxicity
 from tessera.llm.common import held_out
 
 
@@ -106,6 +106,41 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    made = alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), keep=lambda groups: F.sha2(groups, 256))
+    return made.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.when(F.col("n_a") > 0, F.col("groups")).otherwise("").alias("groups_sha256"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+#: Every pair of sources by every kept term, in integers of 128 bits.
+OP13_SQL = r"""WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+  t AS (SELECT rid, lang, source, unnest(w) AS term FROM d),
+  kept AS (SELECT lang, term, count(*)::HUGEINT AS n FROM t GROUP BY lang, term HAVING count(DISTINCT rid) >= 10),
+  groups AS (SELECT DISTINCT lang, source FROM d),
+  v AS (SELECT lang, count(term)::HUGEINT AS v, sum(n)::HUGEINT AS n FROM kept GROUP BY lang),
+  own AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM t JOIN kept USING (lang, term) GROUP BY lang, source, term),
+  size AS (SELECT lang, source, sum(n)::HUGEINT AS n FROM own GROUP BY lang, source),
+  p AS (SELECT g.lang, g.source, k.term, coalesce(o.n, 0) AS n, 1 + 1000000000 * (coalesce(o.n, 0) + 2) // (coalesce(s.n, 0) + 2 * v.v) AS p, 1 + 1000000000 * (k.n + 2) // (v.n + 2 * v.v) AS q
+    FROM groups g JOIN kept k ON k.lang = g.lang JOIN v ON v.lang = g.lang LEFT JOIN size s ON s.lang = g.lang AND s.source = g.source
+    LEFT JOIN own o ON o.lang = g.lang AND o.source = g.source AND o.term = k.term),
+  f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+  parts AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value
+      FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+    UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM p WHERE n > 0 AND p > q),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM parts)
+  SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10"""
+
+
 def queries() -> dict:
     return {
         "op1_pii": op1_pii,
@@ -118,8 +153,11 @@ def queries() -> dict:
         "op8_jaccard": op8_jaccard,
         "op9_jpeg": op9_jpeg,
         "op10_toxicity": op10_toxicity,
+        "op11_alignment": op11_alignment,
+        "op12_simhash": op12_simhash,
+        "op13_divergence": op13_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_balltree": OP5_SQL, "op8_jaccard": OP8_SQL}
+    return {"op5_balltree": OP5_SQL, "op8_jaccard": OP8_SQL, "op13_divergence": OP13_SQL}

@@ -9,10 +9,11 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm import lm
+from tessera.llm import alignment, divergence, lm, simhash
 from tessera.llm.common import held_out
 from tessera.llm.queries import queries
 
@@ -249,3 +250,142 @@ def test_op8_all_documents_of_a_table_against_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     want = brute_components([(r["doc_id"], r["text"]) for r in docs.collect()], 4, 85, 100)
     same([tuple(r)[:3] for r in queries()["op8_jaccard"](spark, "/root/testdata/sf0.01").collect()], [x[:3] for x in want])
+
+
+def test_op11_alignment_of_whole_texts(run, documents):
+    import sentencepiece
+
+    a = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    a.encode_special_tokens = True
+    b = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    letters = {c: i for i, c in byte_letters().items()}
+    spell_a = lambda i: bytes(letters[c] for c in a.id_to_token(i))
+    spell_b = lambda i: bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode()
+    made, count = [], Counter()
+    for d, t, *_ in documents:
+        x, y = (a.encode(" " + t, add_special_tokens=False).ids, b.encode(t)) if t else ([], [])
+        if t and any(b"".join(map(spell, ids)) != (" " + t).encode() for ids, spell in ((x, spell_a), (y, spell_b))):
+            x = y = []
+        ends = lambda ids, spell: np.cumsum([len(spell(i)) for i in ids]).tolist()
+        ex, ey = ends(x, spell_a), ends(y, spell_b)
+        pairs, i, j = [], 0, 0
+        while i < len(x) and j < len(y):
+            pairs.append((x[i], y[j]))
+            end = min(ex[i], ey[j])
+            i, j = i + (ex[i] == end), j + (ey[j] == end)
+        both = sorted(set(ex) & set(ey))
+        made.append((d, x, y, ex, ey, both, pairs))
+        count.update(pairs)
+    top = Counter()
+    for (p, q), n in count.items():
+        top[q] = max(top[q], n)
+    want = []
+    for d, x, y, ex, ey, both, pairs in made:
+        text, i, j = [], 0, 0
+        for end in both:
+            p, q = ex.index(end, i) + 1, ey.index(end, j) + 1
+            text.append(",".join(map(str, x[i:p])) + "|" + ",".join(map(str, y[j:q])))
+            i, j = p, q
+        sha = hashlib.sha256(";".join(text).encode()).hexdigest() if x else ""
+        want.append((d, len(x), len(y), len(both), len(pairs), sum(count[p] == top[p[1]] for p in pairs), sum(count[p] for p in pairs), sha))
+    assert sum(w[1] > 0 for w in want) > 100
+    same([tuple(r.values()) for r in run("op11_")], want)
+
+
+def byte_letters():
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    made = {b: chr(b) for b in own}
+    for b in range(256):
+        made.setdefault(b, chr(256 + len(made) - len(own)))
+    return made
+
+
+def test_op11_pairs_that_are_not_told(spark, table_dir, run):
+    docs = spark.read.parquet(f"{table_dir}/documents.parquet")
+    for told in (0, 50):
+        made = alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), told=told)
+        same([(r.doc_id, r.n_links, r.n_best, r.count_sum) for r in made.collect()], [(r["doc_id"], r["n_links"], r["n_best"], r["count_sum"]) for r in run("op11_")])
+
+
+def test_op12_fingerprints_and_components(run, documents):
+    found = []
+    for d, t, *_ in documents:
+        words = WORD.findall(lower(t))
+        shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) > 2 else [" ".join(words)] if words else []
+        hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+        found.append((d, sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))))
+    label = list(range(len(found)))
+    for i in range(len(found)):
+        for j in range(i):
+            if (found[i][1] ^ found[j][1]).bit_count() <= 2 and label[i] != label[j]:
+                label = [label[j] if x == label[i] else x for x in label]
+    least = {}
+    for (d, _), x in zip(found, label, strict=True):
+        if d is not None:
+            least[x] = min(d, least.get(x, d))
+    same([tuple(r.values()) for r in run("op12_")], [(d, f"{fp:016x}", least.get(x)) for (d, fp), x in zip(found, label, strict=True)])
+
+
+def test_op12_links_are_all_pairs_within_the_radius(spark):
+    rng = np.random.default_rng(7)
+    seeds = rng.integers(-(1 << 63), 1 << 63, 12)
+    fps = {int(s) for s in seeds}
+    for s in seeds:  # chains of single and double flips around each seed
+        for _ in range(25):
+            fps.add(int(s) ^ int(np.bitwise_xor.reduce(np.int64(1) << rng.integers(0, 63, rng.integers(1, 4)))))
+    fps = sorted(fps)
+    for radius in (0, 2, 4):
+        pairs = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), radius).collect()
+        assert all(((r.a ^ r.b) & (1 << 64) - 1).bit_count() <= radius for r in pairs)
+        up = {f: f for f in fps}
+        of = lambda f: f if up[f] == f else of(up[f])
+        for r in pairs:
+            up[of(r.a)] = of(r.b)
+        assert all((((a ^ b) & (1 << 64) - 1).bit_count() > radius) or of(a) == of(b) for a in fps for b in fps)
+
+
+def test_op12_long_texts_are_read_in_pieces():
+    data = b" ".join(b"w%d" % (i % 977) for i in range(5000)) + b" " + b"x" * 3000
+    whole = simhash.fingerprint(data, 3)
+    before, simhash.pieces.__defaults__ = simhash.pieces.__defaults__, (37,)
+    try:
+        assert simhash.fingerprint(data, 3) == whole
+    finally:
+        simhash.pieces.__defaults__ = before
+
+
+def test_op13_integers(run, documents, monkeypatch):
+    docs = [(lang or "", source or "", [lower(w) for w in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", t or "")]) for _, t, lang, source, *_ in documents]
+    df = Counter((lang, w) for lang, _, ws in docs for w in set(ws))
+    n = Counter((lang, s, w) for lang, s, ws in docs for w in ws)
+    groups = sorted({(lang, s) for lang, s, _ in docs})
+    want = []
+    for lang, s in groups:
+        kept = [w for (x, w), k in df.items() if x == lang and k >= 10]
+        near = [o for x, o in groups if x == lang]
+
+        def p(counts, kept=kept):
+            size = sum(counts)
+            return [1 + 1000000000 * (c + 2) // (size + 2 * len(kept)) for c in counts]
+
+        own = [n[lang, s, w] for w in kept]
+        whole = p([sum(n[lang, o, w] for o in near) for w in kept])
+        f = lambda a, b: (a - b) ** 2 // (a + b)
+        found = sorted((-sum(map(f, p(own), p([n[lang, o, w] for w in kept]))), o.encode()) for o in near if o != s)
+        want += [(lang, s, "pair", o.decode(), -v, k) for k, (v, o) in enumerate(found, 1)]
+        found = sorted((-f(a, b), w.encode()) for w, c, a, b in zip(kept, own, p(own), whole, strict=True) if c and a > b)[:10]
+        want += [(lang, s, "term", w.decode(), -v, k) for k, (v, w) in enumerate(found, 1)]
+    assert {w[2] for w in want} == {"pair", "term"}
+    same([tuple(r.values()) for r in run("op13_")], want)
+
+
+def test_op13_blocks_and_chunks_change_nothing(spark, table_dir, run, monkeypatch):
+    for name, size in (("CHUNK", 7), ("BLOCK", 2), ("SPAN", 2)):
+        monkeypatch.setattr(divergence, name, size)
+    got = divergence.audit(spark.read.parquet(f"{table_dir}/documents.parquet"))
+    same([tuple(r) for r in got.collect()], [tuple(r.values()) for r in run("op13_")])
+
+
+def test_op13_large_counts_divide_exactly():
+    counts, total = [0, 5, 10**13, 7 * 10**14], 10**15 - 1
+    assert divergence.probability(np.array(counts), total).tolist() == [1 + 10**9 * c // total for c in counts]
