@@ -5,7 +5,8 @@ addresses, card and phone numbers in their plain forms. The random field adds wh
 otherwise (phone numbers without a plus, spelled-out or bracketed e-mail addresses, cards and
 addresses with other separators): features of whole spans (digit groups, shape, Luhn sum, octets,
 separators, neighbours) score every admissible segment, and a dynamic program over segments of at
-most ``MAX_TOKENS`` tokens chooses borders and kinds together. Text that cannot belong to an admissible
+most ``MAX_TOKENS`` tokens (of an address: between any of its possible beginnings and ends) chooses borders
+and kinds together. Text that cannot belong to an admissible
 segment can only be outside, at score 0, so the program runs over the regions that can; regions that
 overlap are one lattice, so it is exact for the whole text. Added spans never overlap base spans.
 
@@ -37,6 +38,8 @@ OUTSIDE = len(KINDS)
 MAX_TOKENS = 15
 #: The fewest digits of an admissible segment; those of an address of four octets.
 LEAST_DIGITS = 4
+#: Places at which an address can begin or end that are offered, besides the outermost one.
+BORDERS = 12
 #: Distinct texts that the field is trained on at most, those with the lowest hashes.
 SAMPLE = 300
 #: Generated lines that the field is trained on, and regions of the sampled texts at most (drawn evenly).
@@ -86,9 +89,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 #: Where admissible segments of numbers, and of e-mail addresses, can lie.
 NUMBERS = re.compile(r"[0-9+(\[](?:[0-9 ().+/\[\]-]*+)")
+DOT = r" ?(?:\.|[\[({] ?(?:dot|DOT) ?[\])}]| (?:dot|DOT) ) ?"
 ADDRESS = re.compile(
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:@|[\[({] ?(?:at|AT) ?[\])}]| (?:at|AT) ) ?[A-Za-z0-9-]++(?: ?(?:\.|[\[({] ?(?:dot|DOT) ?[\])}]| (?:dot|DOT) ) ?[A-Za-z0-9-]++)+"
+    r"(?<![A-Za-z0-9._%+-])(?P<local>[A-Za-z0-9._%+-]++) ?(?:@|[\[({] ?(?:at|AT) ?[\])}]| (?:at|AT) ) ?(?P<first>[A-Za-z0-9-]++)(?:" + DOT + "[A-Za-z0-9-]++)+"
 )
+LABEL = re.compile(f"({DOT})([A-Za-z0-9-]+)")
 TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|.", re.S)
 
 
@@ -120,6 +125,15 @@ def regions(text: str) -> list[Region]:
     return [Region(text, some[0][0], max(s[1] for s in some), pick(some, True), pick(some, False)) for some in out]
 
 
+def address_borders(text: str, start: int, end: int) -> tuple[list[int], list[int]]:
+    """Where an address in a stretch can begin, nearest to its at-sign last, and where it can end: after its second label, its third and so on."""
+    m = ADDRESS.match(text, start)
+    stop = m.end("local")
+    begins = [p for p in range(start, stop) if text[p].isalnum() and (p == start or text[p - 1] in "._%+-")] or [start]
+    ends = [x.end() for x in LABEL.finditer(text, m.end("first"), end)]
+    return begins[:1] + begins[1:][-BORDERS:], ends[:BORDERS] + ends[BORDERS:][-1:]
+
+
 def char_class(c: str) -> str:
     return "d" if c.isdigit() else "a" if c.isalpha() else "_" if c.isspace() or not c else "p"
 
@@ -129,9 +143,14 @@ def span_features(kind: int, s: str, left: str, right: str) -> list[str]:
     k = KINDS[kind]
     if kind == 0:
         at = "@" if "@" in s else "br" if re.search(r"[\[({] ?at ?[\])}]", s, re.I) else "w"
-        dot = "br" if re.search(r"[\[({] ?dot ?[\])}]", s, re.I) else "w" if re.search(r" dot ", s, re.I) else "."
-        tail = re.split(r"[^A-Za-z0-9]+", s)[-1]
-        return [f"{k}|1", f"{k}|at={at}", f"{k}|dot={dot}", f"{k}|at={at},dot={dot}", f"{k}|tail={min(len(tail), 7)},{tail.isalpha()}", f"{k}|gap={' @' in s or '@ ' in s}"]
+        labels = LABEL.findall(s, ADDRESS.match(s).end("first"))
+        dots = ["br" if re.search(r"[\[({]", d) else "w" if d[-2:-1].lower() == "t" else d for d, _ in labels]
+        tail = labels[-1][1]
+        case = "T" if tail[0].isupper() and not tail.isupper() else "U" if tail.isupper() else "l"
+        after = "".join(c if c in ".,[(" else char_class(c) for c in right[:2])
+        out = [f"{k}|1", f"{k}|at={at}", f"{k}|dot={dots[0]}", f"{k}|at={at},dot={dots[0]}", f"{k}|tail={min(len(tail), 7)},{tail.isalpha()}", f"{k}|gap={' @' in s or '@ ' in s}"]
+        out += [f"{k}|case={case}", f"{k}|last={dots[-1]},{case}", f"{k}|last={dots[-1]},{min(len(tail), 7)}", f"{k}|mixed={len(set(dots)) > 1}", f"{k}|labels={min(len(labels), 5)}", f"{k}|R={after}", f"{k}|L={left if left in '._%+-' else char_class(left)}"]
+        return out + [f"{k}|word={tail.lower()}"] * (len(tail) < 6)
     groups = re.findall("[0-9]+", s)
     digits = "".join(groups)
     n = len(digits)
@@ -156,7 +175,9 @@ def lattice(r: Region) -> tuple[int, list[tuple[int, int, int, list[str]]], list
     places = [r.start + m.start() for m in TOKEN.finditer(s)] + [r.start + len(s)]
     n, at = len(places) - 1, {p: i for i, p in enumerate(places)}
     segs = [(i, i + 1, OUTSIDE, ["O|" + char_class(t[places[i]])]) for i in range(n)]
-    segs += [(at[a], at[z], 0, span_features(0, t[a:z], "", "")) for a, z in r.addresses]
+    for a, z in r.addresses:
+        first, last = address_borders(t, a, z)
+        segs += [(at[x], at[y], 0, span_features(0, t[x:y], t[x - 1] if x else "", t[y : y + 2])) for x in first for y in last]
     for low, high in r.numbers:
         i = at[low]
         while i < n and places[i] < high:
@@ -265,7 +286,8 @@ def example(rng: random.Random, words: list[str]) -> tuple[str, int | None]:
     four = lambda x, sep: sep.join(x[k : k + 4] for k in range(0, 16, 4))
     highest = rng.choice((9, 99, 255))
     o = [str(rng.randint(0, highest)) for _ in range(4)]
-    who, host = rng.choice(words) + rng.choice(["", ".", "_"]) + rng.choice(words), rng.choice(words) + "." + rng.choice(["com", "org", "net", "de", "fr", "es"])
+    who = rng.choice(words) + rng.choice(["", ".", "_"]) + rng.choice(words)
+    host = rng.choice(["", "", "", "mail.", rng.choice(words) + "."]) + rng.choice(words) + "." + rng.choice(["com", "com", "com", "org", "net", "de", "fr", "es", "it", "eu", "io", "edu", "info", "co.uk"])
     forms: list[tuple[str, int | None]] = [
         (f"+1 ({a}) {b}-{c}", 3), (f"({a}) {b}-{c}", 3), (f"{a}-{b}-{c}", 3), (f"{a}.{b}.{c}", 3), (f"{a} {b} {c}", 3), (f"001 {a} {b} {c}", 3), (f"1-{a}-{b}-{c}", 3), (f"+{a[:2]} {b} {c}{b}", 3), (f"({a}){b}-{c}", 3),
         (card, 2), (four(card, " "), 2), (four(card, "-"), 2), (four(card, "."), 2), (four(card, "/"), 2),
@@ -285,14 +307,15 @@ def example(rng: random.Random, words: list[str]) -> tuple[str, int | None]:
 def line(rng: random.Random, words: list[str]) -> tuple[str, list[tuple[int, int, int]]]:
     """A line of sampled words around a value, or two that stand next to each other, with their gold spans."""
     before, after = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 3))) for _ in range(2)]
+    after = after[:1].upper() + after[1:] if rng.random() < 0.5 else after
     text, gold = before + (rng.choice([" ", " ", " ", ": ", "\n"]) if before else ""), []
     for k in range(rng.choice((1, 1, 2))):
         value, kind = example(rng, words)
-        text += rng.choice([" ", " ", ", ", " / "]) * k
+        text += rng.choice([" ", " ", ", ", " / ", ". ", " and "]) * k
         if kind is not None:
             gold.append((len(text), len(text) + len(value), kind))
         text += value
-    return text + rng.choice([" ", " ", ". ", ", ", "### ", "\n"]) + after, gold
+    return text + rng.choice([" ", " ", ". ", ". ", ".\n", ", ", "### ", "\n", ") "]) + after, gold
 
 
 def doubtful(r: Region, gold: list[tuple[int, int, int]]) -> bool:
