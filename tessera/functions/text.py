@@ -31,8 +31,12 @@ WORKPLACE_RULES: Rules = (
     ("remote", ("remote",)),
     ("onsite", ("on-site", "onsite", "office", "in person", "sahada", "yerinde")),
 )
+# Ranks of seniority, words that are no key words, and the shares that a description's length counts.
 SENIORITY_RANK = {"intern": 1, "junior": 2, "mid": 3, "senior": 4, "lead": 5, "principal": 6, "director": 7, "executive": 8}
-STOPWORDS = ("a an and at be by for from in into of on or the to with role position job team teams work working lead senior junior mid level full time part remote hybrid").split()
+STOPWORDS = (
+    "a", "an", "and", "at", "be", "by", "for", "from", "in", "into", "of", "on", "or", "the", "to", "with", "role", "position", "job", "team", "teams", "work", "working",
+    "lead", "senior", "junior", "mid", "level", "full", "time", "part", "remote", "hybrid",
+)
 COMPLETENESS_STEPS = ((1200, 1.0), (700, 0.92), (350, 0.82), (180, 0.68), (80, 0.52), (1, 0.35))
 
 
@@ -127,7 +131,7 @@ def keywords(*texts: Column, limit: int = 24) -> Column:
     """Distinct key words of the texts in order, without stop words and numbers."""
     every = F.flatten(F.array(*[F.regexp_extract_all(F.lower(F.coalesce(strip_html(t), normalize(t))), F.lit("([a-zA-Z0-9.+#-]{2,})"), F.lit(1)) for t in texts]))
     clean = F.transform(every, lambda w: F.regexp_replace(w, "^[.-]+|[.-]+$", ""))
-    kept = F.filter(clean, lambda w: (w != "") & ~w.isin(STOPWORDS) & ~w.rlike("^[0-9]+$"))
+    kept = F.filter(clean, lambda w: (w != "") & ~w.isin(*STOPWORDS) & ~w.rlike("^[0-9]+$"))
     return F.slice(F.array_distinct(kept), 1, limit)
 
 

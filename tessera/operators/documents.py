@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -102,6 +103,49 @@ def nearest_hashes(hashed: DataFrame, group: str, key: str, block: int = 8192) -
     return best.select(group, "h", "_b.distance", "_b.nearest")
 
 
+def band_ranges(radius: int, spare: int = 1) -> list[list[tuple[int, int]]]:
+    """Combinations of bands of a hash's bits, (first bit, bits), of which at least one agrees for any two hashes within the radius.
+
+    The bits are cut into radius + spare bands; at most radius of them differ, so ``spare`` of them agree.
+    """
+    n = radius + spare
+    borders = [BITS * k // n for k in range(n + 1)]
+    bands = [(a, z - a) for a, z in zip(borders, borders[1:], strict=False)]
+    return [list(c) for c in combinations(bands, spare)]
+
+
+def near_pairs(hashed: DataFrame, group: str, key: str, radius: int, meet: int = 2048) -> DataFrame:
+    """(group, left_hash, right_hash, left_<doc>, right_<doc>, document_pairs, distance): all pairs of different hashes of a group within the radius.
+
+    hashed: (group, key, simhash as 16 hex digits). Equal hashes are one row, with their number and least key, so a
+    group of copies of any size adds nothing. Two hashes within the radius agree in at least two of radius + 2 bands
+    of bits (pigeonhole), so they meet by an equal join on (group, bands, their values); of all the bands on which a pair
+    agrees only the first one gives the pair, so none comes twice and nothing is shuffled again. A value that more than
+    ``meet`` hashes hold is met in as many parts as its number asks for: one side is dealt to the parts, the other
+    goes to each of them.
+    """
+    name = key.removesuffix("_id")
+    rows = hashed.groupBy(group, "simhash").agg(F.count("*").alias("documents"), F.min(key).alias("first"))
+    rows = rows.withColumn("h", F.expr("cast(conv(simhash, 16, -10) as long)"))
+    bits = lambda h, band: F.shiftrightunsigned(h, band[0]).bitwiseAND(F.lit((1 << band[1]) - 1))
+    keys = band_ranges(radius, 2)
+    value = lambda h, bands: (bits(h, bands[0]) * (1 << bands[1][1])) + bits(h, bands[1])
+    dealt = rows.select("*", F.posexplode(F.array(*[value(F.col("h"), b) for b in keys])).alias("band", "value"))
+    crowds = dealt.groupBy(group, "band", "value").agg(F.count("*").alias("holders")).filter("holders > 1")
+    parts = crowds.select(F.col(group).alias("of"), F.col("band").alias("b"), F.col("value").alias("v"), F.ceil(F.col("holders") / meet).cast("int").alias("parts"))
+    met = dealt.join(parts, (dealt[group] == parts["of"]) & (dealt["band"] == parts["b"]) & (dealt["value"] == parts["v"])).select("of", "b", "v", "parts", "simhash", "h", "documents", "first")
+    left = met.withColumn("part", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int"))
+    right = met.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("of", "b", "v", "part", *[F.col(c).alias(f"{c}2") for c in ("simhash", "h", "documents", "first")])
+    both = left.join(right, ["of", "b", "v", "part"]).filter("simhash < simhash2")
+    differing = F.col("h").bitwiseXOR(F.col("h2"))
+    agree = F.array(*[(bits(differing, a) == 0) & (bits(differing, z) == 0) for a, z in keys])
+    pairs = both.withColumn("distance", F.bit_count(differing).cast("int")).filter(F.col("distance") <= radius).filter(F.array_position(agree, True) == F.col("b") + 1)
+    return pairs.select(
+        F.col("of").alias(group), F.col("simhash").alias("left_hash"), F.col("simhash2").alias("right_hash"), F.col("first").alias(f"left_{name}"), F.col("first2").alias(f"right_{name}"),
+        (F.col("documents") * F.col("documents2")).alias("document_pairs"), "distance",
+    )
+
+
 def best_versions(docs: DataFrame, key: str, person: str) -> DataFrame:
     """(key, previous, similarity): the most similar of all other documents of the same person, the lowest key of equals.
 

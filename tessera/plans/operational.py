@@ -209,19 +209,6 @@ def weighted_rank(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", weight.alias("weight")).orderBy(F.desc("weight"), "s_suppkey").limit(20)
 
 
-@query(
-    "diversified_sources",
-    """SELECT s_suppkey, s_nationkey, row_number() OVER (ORDER BY deferred, s_acctbal DESC NULLS LAST, s_suppkey)::INTEGER AS place FROM (
-         SELECT *, CASE WHEN row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC NULLS LAST, s_suppkey) = 1 THEN 0 ELSE 1 END AS deferred FROM supplier)
-       ORDER BY place LIMIT 50""",
-)
-def diversified_sources(spark, d):
-    """The first fifty places are the feature, so that no task orders the whole table."""
-    order = [F.desc("s_acctbal"), F.col("s_suppkey")]
-    first = A.diversified(table(spark, d, "supplier"), "s_nationkey", order).orderBy("deferred", *order).limit(50)
-    return first.select("s_suppkey", "s_nationkey", F.row_number().over(Window.orderBy("deferred", *order)).alias("place"))
-
-
 @query(
     "diversified_all",
     """SELECT s_suppkey, s_nationkey, row_number() OVER (ORDER BY deferred, s_acctbal DESC NULLS LAST, s_suppkey) AS place FROM (
@@ -234,13 +221,13 @@ def diversified_all(spark, d):
 
 @query(
     "employment_spans",
-    """WITH s AS (SELECT user_id, hour(ts) + 24 * (day(ts) - 1) AS a, hour(ts) + 24 * (day(ts) - 1) + 6 AS z FROM events WHERE event_type <> 'error'),
+    """WITH s AS (SELECT user_id, date_diff('hour', TIMESTAMP '1970-01-01', ts)::INTEGER AS a, date_diff('hour', TIMESTAMP '1970-01-01', ts)::INTEGER + 6 AS z FROM events WHERE event_type <> 'error'),
          f AS (SELECT *, CASE WHEN a <= max(z) OVER (PARTITION BY user_id ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM s),
          g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY a, z ROWS UNBOUNDED PRECEDING) AS island FROM f)
        SELECT user_id, min(a)::INTEGER AS a, max(z)::INTEGER AS z FROM g GROUP BY user_id, island""",
 )
 def employment_spans(spark, d):
-    hours = F.hour("ts") + 24 * (F.dayofmonth("ts") - 1)
+    hours = 24 * F.datediff("ts", F.lit("1970-01-01").cast("date")) + F.hour("ts")
     spans = table(spark, d, "events").filter("event_type <> 'error'").select("user_id", hours.alias("a"), (hours + 6).alias("z"))
     return A.merged_intervals(spans, ["user_id"], "a", "z")
 

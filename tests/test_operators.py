@@ -6,8 +6,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import dates, vocabulary
 from tessera.functions import text as X
 from tessera.operators import analytics as A
+from tessera.operators import documents, sections
 from tessera.operators import documents as D
 from tessera.operators import matching as M
 from tessera.operators import merge as U
@@ -192,3 +194,115 @@ def test_csv_sink(spark, tmp_path):
     rows = spark.createDataFrame([(1, None, True, {"b": 1, "a": 2})], "id int, t string, f boolean, m map<string,int>")
     P.write_csv(rows, f"{tmp_path}/out", ["id", "t", "f", "m"])
     assert spark.read.option("header", True).csv(f"{tmp_path}/out").columns == ["id", "t", "f", "m"]
+
+
+RANGES = [
+    ("Jan 2020 - March 2021", "en", (2020, 1, 2021, 3, False, 0.9)), ("03/2019 – Present", "en", (2019, 3, None, None, True, 0.91)), ("2018 to 2020", "en", (2018, None, 2020, None, False, 0.7)),
+    ("2018", "en", (2018, None, None, None, False, 0.7)), ("Mar 2020 bis heute", "de", (2020, 3, None, None, True, 0.92)), ("Mai 2020 bis Okt 2021", "de", (2020, 5, 2021, 10, False, 0.9)),
+    ("Şubat 2019 - devam ediyor", "tr", (2019, 2, None, None, True, 0.92)), ("October 2020", "en", (2020, 10, None, None, False, 0.9)), ("03-2019", "en", (2019, 3, None, None, False, 0.88)),
+    ("• 2015 — halen |", "tr", (2015, None, None, None, True, 0.82)), ("January 12019", "en", None), ("none", "en", None), ("", "en", None), (None, "en", None), ("Mayıs 2020", "fr", (2020, None, None, None, False, 0.7)), ("today", None, (None, None, None, None, True, 0.94)),
+]
+
+
+def test_date_ranges_in_every_notation(spark):
+    rows = spark.createDataFrame([(k, t, x) for k, (t, x, _) in enumerate(RANGES)], "k int, t string, x string").select("k", dates.date_range(F.col("t"), F.col("x")).alias("r")).orderBy("k").collect()
+    assert [r.r and tuple(r.r) for r in rows] == [want for *_, want in RANGES]
+
+
+def test_month_intervals(spark):
+    row = spark.sql("SELECT 1").select(*[dates.month_interval(dates.date_range(F.lit(t), F.lit("en")), F.lit(2022 * 12)).alias(f"c{k}") for k, t in enumerate(("2018 to 2018", "Jan 2020 - Mar 2020", "2021 - now", "May 2020", "2020 - 2018", "now"))]).first()
+    assert [r and tuple(r) for r in row] == [(2018 * 12, 2019 * 12), (2020 * 12, 2020 * 12 + 3), (2021 * 12, 2022 * 12 + 1), (2020 * 12 + 4, 2020 * 12 + 5), None, None]
+
+
+PAPER = """Jane Roe
+jane@example.com
+
+EXPERIENCE
+
+Built things at Acme
+2019 - 2021
+
+Education:
+Some school
+
+TECHNICAL SKILS
+python, sql
+I like to write about code and people, every day of the week."""
+
+
+def plain_sections(text, language):
+    """The rules of a section, line by line: no bound on the comparison, no running counts."""
+    from difflib import SequenceMatcher
+
+    out, current, before = [], None, []
+    for line in ([" ".join(x.split()) for x in text.split("\n")] if text else []):
+        if not line:
+            if current and current[3]:
+                current[3].append("")
+            continue
+        p, best, found = sections.plain(line), 0.0, None
+        words = {w for w in sections.SPLIT.split(p) if w}
+        for section, aliases in sections.ALIASES.get(language, sections.ALIASES["en"]).items():
+            for a in map(sections.plain, aliases):
+                own = {w for w in sections.SPLIT.split(a) if w}
+                near = 0.0 if not p else 1.0 if p == a else 0.95 if a in p else max(SequenceMatcher(a=p, b=a).ratio(), len(words & own) / max(len(own), 1))
+                if near > best:
+                    best, found = near, section
+        n, letters = len(line.split()), [c for c in line if c.isalpha()]
+        score = 0.62 * best + 0.22 * (sum(c.isupper() for c in letters) / len(letters) if letters else 0) + 0.08 * (min(1.0, 0.45 + (7 - n) / 7) if n <= 7 else 0)
+        score = min(1.0, score + 0.05 * (0.25 if line[-1] in ":;.," else 1) + 0.03 * (1.0 if n == 1 else 0.9 if n == 2 else 0.7 if n <= 4 else 0.45 if n <= 6 else 0.1))
+        if found and best >= 0.72 and score >= 0.58:
+            current = [found, line, round(score, 6), []]
+            out.append(current)
+        elif current is None:
+            before.append(line)
+        else:
+            current[3].append(line)
+    for s in out:
+        while s[3] and not s[3][-1]:
+            s[3].pop()
+    if not out:
+        return [(0, "other", None, 0.35, before)] if before else []
+    head = [(0, "header", None, 0.82, before)] if before else []
+    return head + [(k, *s) for k, s in enumerate(out, 1)]
+
+
+def test_sections_equal_the_rules_line_by_line(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").collect()
+    rows = [(r.doc_id, r.text, r.lang) for r in docs] + [(-1, PAPER, "en"), (-2, None, "en"), (-3, "", "de"), (-4, "\n\n", None), (-5, "BERUFSERFAHRUNG\n\nx\n\n\ny\n\nSprachen\nDeutsch", "de"), (-6, "Skills\nSkills\nSkills", "fr"), (-7, "Profil özeti:\nmetin", "tr")]
+    got = sections.sections(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang").collect()
+    want = [(k, *s) for k, t, x in rows for s in plain_sections(t, x or "en")]
+    assert sorted([(r.doc_id, r.place, r.section, r.heading, r.confidence, r.lines) for r in got]) == sorted(want)
+    assert [r[2] for r in sorted(want) if r[0] == -1] == ["header", "experience", "education", "skills", "summary"]
+
+
+@pytest.mark.parametrize("meet", [2048, 3])
+def test_near_pairs_are_all_pairs_within_the_radius(spark, meet):
+    import random
+
+    rng, rows = random.Random(3), []
+    for g in ("a", "b"):
+        for _ in range(6):
+            seed = rng.getrandbits(64)
+            for _ in range(20):
+                h = seed
+                for _ in range(rng.randint(0, 5)):
+                    h ^= 1 << rng.randrange(64)
+                rows += [(g, len(rows), f"{h:016x}")] * rng.randint(1, 2)
+    got = documents.near_pairs(spark.createDataFrame(rows, "g string, doc_id long, simhash string"), "g", "doc_id", 5, meet).collect()
+    kinds = sorted({(g, h) for g, _, h in rows})
+    want = {(g, a, b, (int(a, 16) ^ int(b, 16)).bit_count()) for g, a in kinds for o, b in kinds if g == o and a < b and (int(a, 16) ^ int(b, 16)).bit_count() <= 5}
+    assert len(got) == len(want) and {(r.g, r.left_hash, r.right_hash, r.distance) for r in got} == want
+    count = lambda g, h: sum(x == (g, h) for x in ((g_, h_) for g_, _, h_ in rows))
+    assert all(r.document_pairs == count(r.g, r.left_hash) * count(r.g, r.right_hash) and r.left_doc == min(d for g, d, h in rows if (g, h) == (r.g, r.left_hash)) for r in got)
+
+
+def test_lenient_times(spark):
+    texts = ["2024-01-01T10:00", "2024-01-01T10:00Z", "2024-01-01 10:00:30", "2024-01-01T10:00:30.5+02:00", "2024-01-01T10:00+0200", "2024-01-01", " 2024-01-01 ", "x", "", None]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", vocabulary.lenient_time(F.col("t")).cast("string").alias("v")).orderBy("k").collect()
+    assert [r.v for r in rows] == ["2024-01-01 10:00:00"] * 2 + ["2024-01-01 10:00:30", "2024-01-01 08:00:30.5", "2024-01-01 08:00:00", "2024-01-01 00:00:00", "2024-01-01 00:00:00", None, None, None]
+
+
+def test_skills_in_order_with_both_rules_of_graphql(spark):
+    row = spark.sql("SELECT 1").select(vocabulary.skills(F.lit("html rest api apollo")).alias("a"), vocabulary.skills(F.lit("graphql")).alias("b"), vocabulary.skills(F.lit("graphql html"), limit=2).alias("c")).first()
+    assert (row.a, row.b, row.c) == (["html", "rest api", "graphql"], ["graphql", "graphql"], ["graphql", "html"])
