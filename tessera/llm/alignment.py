@@ -27,6 +27,7 @@ import json
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain
 from uuid import uuid4
 
 import numpy as np
@@ -40,9 +41,9 @@ from tessera.llm.common import checkpoint, most_frequent
 #: Pairs of ids whose counts are sent to every task, at most (17 bytes each).
 TOLD = 1_000_000
 #: Chunks that a worker remembers, and how many stay when there are more; chunks of more characters are not remembered.
-CACHE, KEPT, SHORT = 200_000, 130_000, 64
-#: Texts worked on at a time, distinct chunks that are counted before they are handed on.
-TEXTS, HELD = 64, 200_000
+CACHE, KEPT, SHORT = 350_000, 250_000, 64
+#: Texts worked on at a time, pairs that are counted before they are handed on.
+TEXTS, HELD = 128, 1_000_000
 #: A pair of ids is one number: A's id times this, and B's id.
 B_IDS = 1 << 20
 CUT = re.compile(r"(?<=[^ ]) (?=\S)")
@@ -59,17 +60,12 @@ def byte_values() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Chunk:
-    """Tokens of a chunk: their numbers, the groups as text, and the linked pairs of ids (with repeats)."""
-
-    __slots__ = ("a", "b", "groups", "text", "pairs")
-
-    def __init__(self, a: int, b: int, groups: int, text: str, pairs: np.ndarray):
-        self.a, self.b, self.groups, self.text, self.pairs = a, b, groups, text, pairs
-
-
 class Aligner:
-    """Both tokenizers, the bytes of their tokens, and the chunks met so far (None: its tokens spell something else)."""
+    """Both tokenizers, the bytes of their tokens, and the chunks met so far.
+
+    Of a chunk is known (A tokens, B tokens, groups, groups as text, linked pairs as bytes of 64-bit integers), or None
+    where its tokens spell something else.
+    """
 
     def __init__(self, a_spec: str, b_model: bytes):
         import sentencepiece
@@ -85,10 +81,12 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in t], dtype=np.int64) for t in (self.a_bytes, self.b_bytes))
-        self.a_names, self.b_names = ([str(i) for i in range(len(t))] for t in (self.a_bytes, self.b_bytes))
+        #: Ids with what follows them: within a group, and at the end of its A or B side.
+        self.names = [f"{i}{mark}" for t, marks in ((self.a_bytes, ",|"), (self.b_bytes, ",;")) for mark in marks for i in range(len(t))]
         pre = spec["pre_tokenizer"]
         self.whole = spec["normalizer"] is not None or pre["type"] != "ByteLevel" or not pre["use_regex"] or any(re.search("[^▁]▁", p) for p in pieces)
-        self.known: dict[str, Chunk | None] = {}
+        self.known: dict[str, tuple | None] = {}
+        self.long: list[str] = []
 
     def cut(self, text: str) -> list[str]:
         """The chunks of a text, each without the space that it starts with."""
@@ -102,46 +100,59 @@ class Aligner:
         cut = [self.cut(t) if t else [] for t in texts]
         new = list(set().union(*cut).difference(self.known))
         self.known.update(zip(new, self.labelled(new), strict=True))
+        self.long = [c for c in new if len(c) > SHORT]
         return [[] if None in map(self.known.__getitem__, c) else c for c in cut]
 
     def forget_long(self) -> None:
-        for c in [c for c in self.known if len(c) > SHORT]:
+        for c in self.long:
             del self.known[c]
+        self.long = []
 
-    def labelled(self, chunks: list[str]) -> list[Chunk | None]:
+    def labelled(self, chunks: list[str]) -> list[tuple | None]:
         """Label and scan chunks, all in one string."""
-        a_ids = [e.ids for e in self.a.encode_batch_fast([" " + c for c in chunks], add_special_tokens=False)]
-        b_ids = self.b.encode(chunks, num_threads=1)
-        out: list[Chunk | None] = [None] * len(chunks)
-        good = []
-        for k, c in enumerate(chunks):
-            data = b" " + c.encode("utf-8", "surrogatepass")
-            if b"".join(map(self.a_bytes.__getitem__, a_ids[k])) == data == b"".join(map(self.b_bytes.__getitem__, b_ids[k])):
-                good.append(k)
-        if not good:
-            return out
-        a, b = (np.fromiter((i for k in good for i in ids[k]), dtype=np.int64) for ids in (a_ids, b_ids))
+        if not chunks:
+            return []
+        ids = [e.ids for e in self.a.encode_batch_fast([" " + c for c in chunks], add_special_tokens=False)], self.b.encode(chunks, num_threads=1)
+        counts = [np.fromiter(map(len, x), dtype=np.int64, count=len(chunks)) for x in ids]
+        a, b = (np.fromiter(chain.from_iterable(x), dtype=np.int64, count=int(n.sum())) for x, n in zip(ids, counts, strict=True))
+        data = [b" " + c.encode("utf-8", "surrogatepass") for c in chunks]
+        size, whole = np.fromiter(map(len, data), dtype=np.int64, count=len(data)), b"".join(data)
+
+        def spelt(own: np.ndarray, count: np.ndarray, sizes: np.ndarray, table: list[bytes]) -> bool:
+            ends = np.concatenate([[0], np.cumsum(sizes[own])])[np.cumsum(count)]
+            return bool((count > 0).all()) and np.array_equal(ends, np.cumsum(size)) and b"".join(map(table.__getitem__, own.tolist())) == whole
+
+        if not (spelt(a, counts[0], self.a_sizes, self.a_bytes) and spelt(b, counts[1], self.b_sizes, self.b_bytes)):
+            if len(chunks) == 1:
+                return [None]
+            half = len(chunks) // 2
+            return self.labelled(chunks[:half]) + self.labelled(chunks[half:])
         a_end, b_end = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
-        ends = np.zeros(int(a_end[-1]), dtype=np.uint8)
+        ends = np.zeros(len(whole), dtype=np.uint8)
         ends[a_end - 1] |= 1
         ends[b_end - 1] |= 2
-        at = np.flatnonzero(ends)
-        marks = ends[at]
+        marks = ends[ends > 0]
         is_a, is_b = marks & 1, marks >> 1
-        pairs = a[np.cumsum(is_a) - is_a] * B_IDS + b[np.cumsum(is_b) - is_b]
+        pairs = (a[np.cumsum(is_a) - is_a] * B_IDS + b[np.cumsum(is_b) - is_b]).tobytes()
         spans = SPAN.findall(LABELS[ends].tobytes())
-        s = link = 0
-        for k in good:
-            i = j = 0
-            x, y, parts = list(map(self.a_names.__getitem__, a_ids[k])), list(map(self.b_names.__getitem__, b_ids[k])), []
-            while i < len(x):
-                span = spans[s]
-                na, nb = span.count(b"a") + 1, span.count(b"b") + 1
-                parts.append(f"{','.join(x[i : i + na])}|{','.join(y[j : j + nb])}")
-                i, j, s = i + na, j + nb, s + 1
-            n = len(x) + len(y) - len(parts)
-            out[k] = Chunk(len(x), len(y), len(parts), ";".join(parts), pairs[link : link + n].copy())
-            link += n
+        in_a, in_b = (np.fromiter((s.count(mark) for s in spans), dtype=np.int64, count=len(spans)) + 1 for mark in (b"a", b"b"))
+        # Written group by group, its A ids before its B ids.
+        order = np.empty(len(a) + len(b), dtype=np.int64)
+        start, base = np.cumsum(in_a + in_b) - in_a - in_b, 0
+        for own, count, at, table in ((a, in_a, start, self.a_bytes), (b, in_b, start + in_a, self.b_bytes)):
+            last = np.cumsum(count)
+            place = np.arange(len(own)) + np.repeat(at - last + count, count)
+            order[place] = own + base
+            order[place[last - 1]] += len(table)
+            base += 2 * len(table)
+        words = list(map(self.names.__getitem__, order.tolist()))
+        end = np.cumsum(counts[0] + counts[1])
+        groups = np.diff(np.searchsorted(start, end), prepend=0)
+        links = np.cumsum(counts[0] + counts[1] - groups) * 8
+        out, w, p = [], 0, 0
+        for n_a, n_b, n, w_end, p_end in zip(counts[0].tolist(), counts[1].tolist(), groups.tolist(), end.tolist(), links.tolist(), strict=True):
+            out.append((n_a, n_b, n, "".join(words[w:w_end])[:-1], pairs[p:p_end]))
+            w, p = w_end, p_end
         return out
 
 
@@ -171,16 +182,22 @@ class Told:
             Told._last = (self.run, {})
         return Told._last[1]
 
-    def sums(self, chunk: Chunk) -> tuple:
-        """(A tokens, B tokens, groups, links, best links, sum of counts, groups as text, pairs that are not told)."""
+    def sums(self, chunks: list[tuple]) -> list[tuple]:
+        """(A tokens, B tokens, groups, links, best links, sum of counts, groups as text, pairs that are not told) of each chunk."""
+        if not chunks:
+            return []
+        pairs = np.frombuffer(b"".join(c[4] for c in chunks), dtype=np.int64)
+        end = np.cumsum([len(c[4]) // 8 for c in chunks])
         if len(self.pair):
-            at = np.minimum(np.searchsorted(self.pair, chunk.pairs), len(self.pair) - 1)
-            known = self.pair[at] == chunk.pairs
-            at = at[known]
-            sums, other = (int(self.best[at].sum()), int(self.count[at].sum())), chunk.pairs[~known].tolist()
+            at = np.minimum(np.searchsorted(self.pair, pairs), len(self.pair) - 1)
+            known = self.pair[at] == pairs
+            values = [np.where(known, x[at], 0) for x in (self.best, self.count)]
         else:
-            sums, other = (0, 0), chunk.pairs.tolist()
-        return chunk.a, chunk.b, chunk.groups, len(chunk.pairs), *sums, chunk.text, other
+            known, values = np.zeros(len(pairs), dtype=bool), [np.zeros(len(pairs), dtype=np.int64)] * 2
+        best, count, other = (np.diff(np.concatenate([[0], np.cumsum(x)])[end], prepend=0).tolist() for x in (*values, ~known))
+        start = [0, *end.tolist()]
+        rest = [pairs[start[k] : start[k + 1]][~known[start[k] : start[k + 1]]].tolist() if n else () for k, n in enumerate(other)]
+        return [(c[0], c[1], c[2], len(c[4]) // 8, x, y, c[3], r) for c, x, y, r in zip(chunks, best, count, rest, strict=True)]
 
 
 def read_vocabularies(a_path: str, b_path: str) -> tuple[str, bytes]:
@@ -193,33 +210,29 @@ def pair_counts(docs: DataFrame, vocabularies, text: str) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         al = aligner(*vocabularies.value)
-        sums: dict[int, int] = Counter()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def add(seen: Counter) -> None:
-            pairs = np.concatenate([al.known[c].pairs for c in seen])
-            times = np.repeat(np.fromiter(seen.values(), dtype=np.int64), [len(al.known[c].pairs) for c in seen])
-            kinds, at = np.unique(pairs, return_inverse=True)
-            total = np.zeros(len(kinds), dtype=np.int64)
-            np.add.at(total, at, times)
-            for k, v in zip(kinds.tolist(), total.tolist(), strict=True):
-                sums[k] += v
+        def merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+            kinds, at = np.unique(np.concatenate([p for p, _ in parts]), return_inverse=True)
+            return kinds, np.bincount(at, weights=np.concatenate([n for _, n in parts]), minlength=len(kinds)).astype(np.int64)
 
-        def out() -> Iterator[pa.RecordBatch]:
-            yield pa.RecordBatch.from_pydict({"pair": pa.array(sums.keys(), pa.int64()), "n": pa.array(sums.values(), pa.int64())})
-            sums.clear()
+        def out() -> pa.RecordBatch:
+            pair, n = merge(held)
+            held.clear()
+            return pa.RecordBatch.from_pydict({"pair": pa.array(pair), "n": pa.array(n)})
 
         for whole in batches:
-            # Chunks are counted while they are known: those of one batch, in slices of TEXTS.
             for at in range(0, whole.num_rows, TEXTS):
-                seen = Counter()
-                for c in al.chunks(whole.column(0).slice(at, TEXTS).to_pylist()):
-                    seen.update(c)
+                seen = Counter(chain.from_iterable(al.chunks(whole.column(0).slice(at, TEXTS).to_pylist())))
                 if seen:
-                    add(seen)
+                    found = [al.known[c][4] for c in seen]
+                    times = np.repeat(np.fromiter(seen.values(), dtype=np.int64), [len(p) // 8 for p in found])
+                    held.append(merge([(np.frombuffer(b"".join(found), dtype=np.int64), times)]))
                 al.forget_long()
-                if len(sums) > HELD:
-                    yield from out()
-        yield from out()
+                if sum(len(p) for p, _ in held) > HELD:
+                    yield out()
+        if held:
+            yield out()
 
     return docs.select(F.col(text).alias("text")).mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
@@ -250,7 +263,8 @@ def align(docs: DataFrame, a_path: str, b_path: str, keep: Callable[[Column], Co
                 place, pair, times, own = [], [], [], []
                 cut = al.chunks(b.column(2).to_pylist())
                 trim(of, CACHE, KEPT)
-                of.update((c, table.sums(al.known[c])) for c in set().union(*cut).difference(of))
+                new = list(set().union(*cut).difference(of))
+                of.update(zip(new, table.sums([al.known[c] for c in new]), strict=True))
                 for i, chunks in enumerate(cut):
                     *sums, texts, others = zip(*map(of.__getitem__, chunks)) if chunks else ((),) * 8
                     for p, k in Counter(x for o in others for x in o).items():
@@ -264,8 +278,9 @@ def align(docs: DataFrame, a_path: str, b_path: str, keep: Callable[[Column], Co
                     times.append(0)
                     own.append((1, *map(sum, sums), ";".join(texts)))
                 al.forget_long()
-                for c in [c for c in of if len(c) > SHORT]:
-                    del of[c]
+                for c in new:
+                    if len(c) > SHORT:
+                        del of[c]
                 to = pa.array(place, pa.int32())
                 columns = [pa.array(c, pa.int64() if j < 7 else pa.string()) for j, c in enumerate(zip(*own, strict=True))]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(to), b.column(1).take(to), pa.array(pair, pa.int64()), pa.array(times, pa.int64()), *columns], names=names)
