@@ -32,6 +32,8 @@ from tessera.llm.common import checkpoint
 CHUNK, BLOCK, SPAN = 4096, 16, 8
 #: Distinct terms that a task counts before it hands them on.
 HELD = 400_000
+#: Languages or groups up to which a table of them is sent to every task; beyond, it is joined by a shuffle.
+FEW = 100_000
 SCALE_STEPS, STEP = 3, 1000
 #: Bytes of UTF-8 to themselves where they belong to terms (capitals to small letters), all others to a space.
 TERMS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -112,6 +114,11 @@ def tile_sums(table: pa.Table) -> pa.Table:
     return pa.table({"lang": lang, "a": pa.array(left, pa.string()), "b": pa.array(right, pa.string()), "value": pa.array(sums[a, b], pa.int64())})
 
 
+def few(df: DataFrame) -> DataFrame:
+    """A table of languages or groups, marked to be sent to every task if its counted rows are few."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
 class Counts:
     """What the texts of a table say of its groups; every table written once."""
 
@@ -124,7 +131,7 @@ class Counts:
         langs = langs.fillna(0).withColumn("chunks", F.greatest(F.lit(1), F.ceil(F.col("v") / CHUNK)).cast("long"))
         #: (lang, v, lang_n, chunks): kept terms, their occurrences, chunks of the vocabulary.
         self.langs = checkpoint(langs)
-        dealt = kept.join(self.langs.select("lang", "chunks"), "lang").withColumn("chunk", F.pmod(F.xxhash64("term"), "chunks"))
+        dealt = kept.join(few(self.langs.select("lang", "chunks")), "lang").withColumn("chunk", F.pmod(F.xxhash64("term"), "chunks"))
         #: (lang, term, in_lang, chunk, place): kept terms and their places.
         self.kept = checkpoint(dealt.withColumn("place", F.row_number().over(Window.partitionBy("lang", "chunk").orderBy("term")) - 1).drop("chunks"))
         own = counted.filter("source is not null").select("lang", "source", "term", "n")
@@ -158,7 +165,7 @@ def pair_divergence(c: Counts) -> DataFrame:
 def term_divergence(c: Counts, most: int) -> DataFrame:
     """(lang, source, item, value, rank): the terms that a source has more of than its language, the most different first."""
     p, q = (F.expr(f"1 + cast((cast({n} as decimal(20, 0)) + 2) * 1000000000 div {t} as long)") for n, t in (("n", "total"), ("in_lang", "lang_total")))
-    cells = c.cells.filter("n > 0").join(c.groups.drop("block"), GROUP).select("lang", "source", F.col("term").alias("item"), p.alias("p"), q.alias("q"))
+    cells = c.cells.filter("n > 0").join(few(c.groups.drop("block")), GROUP).select("lang", "source", F.col("term").alias("item"), p.alias("p"), q.alias("q"))
     found = cells.filter("p > q").select("lang", "source", "item", F.expr("(p - q) * (p - q) div (p + q)").alias("value"))
     rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= most)
