@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from itertools import combinations
+from string import ascii_letters, digits
 
 import numpy as np
 import pyarrow as pa
@@ -52,9 +53,14 @@ def word_votes(docs: DataFrame, key: str, text: str) -> DataFrame:
     digest = F.unhex(F.substring(F.sha2("w", 256), 49, 16))
     as_long = F.conv(F.hex(digest), 16, -10).cast("long")
     hashed = words.select(key, as_long.alias("h"))
-    votes = [F.sum(F.when(F.col("h").isNull(), 0).when(F.shiftrightunsigned("h", b).bitwiseAND(F.lit(1)) == 1, 1).otherwise(-1)).alias(f"b{b}") for b in range(BITS)]
-    summed = hashed.groupBy(key).agg(*votes)
-    return summed.select(key, F.concat(*[_nibble([F.col(f"b{b}") for b in range(BITS - 1 - 4 * k, BITS - 5 - 4 * k, -1)]) for k in range(BITS // 4)]).alias("simhash"))
+    # Two counters of ones in each sum, 32 bits apart: those of bit b and of bit b + 32.
+    both = F.lit((1 << 32) + 1)
+    ones = [F.sum(F.shiftrightunsigned("h", b).bitwiseAND(both)).alias(f"s{b}") for b in range(BITS // 2)]
+    summed = hashed.groupBy(key).agg(F.count("h").alias("n"), *ones)
+    low = lambda b: F.coalesce(F.col(f"s{b}"), F.lit(0)).bitwiseAND(F.lit((1 << 32) - 1))
+    high = lambda b: F.shiftrightunsigned(F.coalesce(F.col(f"s{b}"), F.lit(0)), 32)
+    vote = lambda b: 2 * (low(b) if b < BITS // 2 else high(b - BITS // 2)) - F.col("n")
+    return summed.select(key, F.concat(*[_nibble([vote(b) for b in range(BITS - 1 - 4 * k, BITS - 5 - 4 * k, -1)]) for k in range(BITS // 4)]).alias("simhash"))
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -209,11 +215,12 @@ def quality_metrics(text: Column) -> list[Column]:
     """Counts and ratios by which a text is judged."""
     t = F.coalesce(text, F.lit(""))
     n = F.greatest(F.length(t), F.lit(1))
-    share = lambda pattern: F.round(F.regexp_count(t, F.lit(pattern)) / n, 6)
+    count = lambda chars: F.length(t) - F.length(F.translate(t, chars, ""))  # noqa: E731  without regular expressions
+    share = lambda chars: F.round(count(chars) / n, 6)
     words = F.regexp_count(t, F.lit(r"[^ \t\n\r\x0b\x0c]+"))
     return [
-        F.length(t).alias("characters"), words.cast("long").alias("words"), share("[A-Za-z]").alias("letters"), share("[0-9]").alias("digits"), share(r"[ \t\n\r]").alias("spaces"),
-        share(r"[#$%&*@|<>{}~^]").alias("symbols"), F.regexp_count(t, F.lit("\n")).cast("long").alias("breaks"), F.round((F.length(t) - F.regexp_count(t, F.lit(r"[ \t\n\r\x0b\x0c]"))) / F.greatest(words, F.lit(1)), 6).alias("word_length"),
+        F.length(t).alias("characters"), words.cast("long").alias("words"), share(ascii_letters).alias("letters"), share(digits).alias("digits"), share(" \t\n\r").alias("spaces"),
+        share("#$%&*@|<>{}~^").alias("symbols"), count("\n").cast("long").alias("breaks"), F.round((F.length(t) - count(" \t\n\r\x0b\x0c")) / F.greatest(words, F.lit(1)), 6).alias("word_length"),
     ]
 
 

@@ -23,28 +23,29 @@ def paragraphs(text: Column) -> Column:
 
 
 def chunks(text: Column, size: int = CHUNK, overlap: int = OVERLAP) -> Column:
-    """array<struct<first, last>> of paragraph ranges: packed up to size characters, each starting with the last paragraphs of the one before.
+    """array<struct<first, last>> of paragraph ranges: packed up to size characters, each starting with the last ``overlap`` paragraphs of the one before (all of them, if it has fewer).
 
     An ordered fold in one expression; its state holds the open range and the closed ones.
     """
-    lengths = F.transform(paragraphs(text), F.length)
     ranges = "array<struct<first:int,last:int>>"
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("first"), F.lit(0).alias("length"), F.lit(0).alias("before"), F.array().cast(ranges).alias("out"))
-
-    def step(s, n):
-        held = s["at"] - s["first"]
-        grown = s["length"] + F.when(held > 0, 2).otherwise(0) + n
-        closes = (held > 0) & (grown > size)
-        repeats = F.lit(1 if overlap else 0)
-        next_first = F.when(closes, s["at"] - repeats).otherwise(s["first"])
-        length = F.when(closes, F.when(repeats > 0, s["before"] + 2 + n).otherwise(n)).otherwise(grown)
-        closed = F.concat(s["out"], F.array(F.struct(s["first"].alias("first"), (s["at"] - 1).alias("last"))))
-        return F.struct((s["at"] + 1).alias("at"), next_first.alias("first"), length.alias("length"), n.alias("before"), F.when(closes, closed).otherwise(s["out"]).alias("out"))
-
-    def finish(s):
-        return F.when(s["at"] == 0, s["out"]).otherwise(F.concat(s["out"], F.array(F.struct(s["first"].alias("first"), (s["at"] - 1).alias("last")))))
-
-    return F.aggregate(lengths, start, step, finish)
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("first"), F.lit(0).alias("length"), F.array().cast(ranges).alias("out"))
+
+    def fold(lengths):
+        def step(s, n):
+            held = s["at"] - s["first"]
+            grown = s["length"] + F.when(held > 0, 2).otherwise(0) + n
+            closes = (held > 0) & (grown > size)
+            again = F.greatest(s["first"], s["at"] - overlap)
+            repeated = F.aggregate(F.slice(lengths, again + 1, s["at"] - again), F.lit(0), lambda total, x: total + x + 2)
+            closed = F.concat(s["out"], F.array(F.struct(s["first"].alias("first"), (s["at"] - 1).alias("last"))))
+            return F.struct((s["at"] + 1).alias("at"), F.when(closes, again).otherwise(s["first"]).alias("first"), F.when(closes, repeated + n).otherwise(grown).alias("length"), F.when(closes, closed).otherwise(s["out"]).alias("out"))
+
+        def finish(s):
+            return F.when(s["at"] == 0, s["out"]).otherwise(F.concat(s["out"], F.array(F.struct(s["first"].alias("first"), (s["at"] - 1).alias("last")))))
+
+        return F.aggregate(lengths, start, step, finish)
+
+    return bound(F.transform(paragraphs(text), lambda p: F.length(p)), fold)
 
 
 def chunk_rows(docs: DataFrame, key: str, text: str) -> DataFrame:

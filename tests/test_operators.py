@@ -306,3 +306,22 @@ def test_lenient_times(spark):
 def test_skills_in_order_with_both_rules_of_graphql(spark):
     row = spark.sql("SELECT 1").select(vocabulary.skills(F.lit("html rest api apollo")).alias("a"), vocabulary.skills(F.lit("graphql")).alias("b"), vocabulary.skills(F.lit("graphql html"), limit=2).alias("c")).first()
     assert (row.a, row.b, row.c) == (["html", "rest api", "graphql"], ["graphql", "graphql"], ["graphql", "html"])
+
+
+@pytest.mark.parametrize("overlap", [0, 1, 2, 3])
+def test_chunks_repeat_the_last_paragraphs(spark, overlap):
+    rng = random.Random(overlap)
+    texts = ["\n\n".join("x" * rng.randint(1, 60) for _ in range(rng.randint(0, 25))) for _ in range(40)]
+
+    def plain(text):
+        out, current, first = [], [], 0
+        for k, p in enumerate([p for p in text.split("\n\n") if p]):
+            if current and len("\n\n".join([*current, p])) > 100:
+                out.append((first, k - 1))
+                current = current[-overlap:] if overlap else []
+                first = k - len(current)
+            current.append(p)
+        return out + [(first, first + len(current) - 1)] * bool(current)
+
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", R.chunks(F.col("t"), 100, overlap).alias("c")).orderBy("k").collect()
+    assert [[tuple(x) for x in r.c] for r in rows] == [plain(t) for t in texts]
