@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +53,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
         spark.conf.set(RELEASE, before)
 
 
+def give_back() -> None:
+    """Return memory that the driver's Python has freed to the system, where the C library offers it.
+
+    The arrays of a fit are freed in many small pieces, which would otherwise stay with the process through all later stages.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores behind it as make it none of df's columns."""
     have, out = {c.lower() for c in df.columns}, []

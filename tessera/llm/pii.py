@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import hashed_sample
+from tessera.llm.common import give_back, hashed_sample
 
 KINDS = ("email", "ip", "card", "phone")
 OUTSIDE = len(KINDS)
@@ -354,7 +354,9 @@ def fit(texts: list[str], seed: int = 7, lines: int = LINES, own: int = OWN, epo
 def train(docs: DataFrame, sample: int = SAMPLE, text: str = "text") -> SpanField:
     """Fit on at most so many distinct texts, those whose hashes are lowest."""
     texts = hashed_sample(docs.select(F.col(text).alias("text")).filter(F.length(text) > 0), sample)
-    return fit(sorted(r["text"] for r in texts.collect()))
+    field = fit(sorted(r["text"] for r in texts.collect()))
+    give_back()
+    return field
 
 
 def spans_column(docs: DataFrame, field: SpanField, text: Column) -> Column:

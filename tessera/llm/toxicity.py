@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import code_points, hashed_ngrams, hashed_sample
+from tessera.llm.common import code_points, give_back, hashed_ngrams, hashed_sample
 
 ORDERS = (3, 4, 5)
 BITS = 19
@@ -50,7 +50,7 @@ class ToxicityModel:
 def features(text: str | None) -> np.ndarray:
     """Distinct hashed character n-grams of a whole text, for each order in turn."""
     codes = code_points(text or "")
-    return np.concatenate([np.unique(hashed_ngrams(codes, n, BITS)) for n in ORDERS]).astype(np.int64)
+    return np.concatenate([np.unique(hashed_ngrams(codes, n, BITS)) for n in ORDERS])
 
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", per_class: int = PER_CLASS) -> tuple[list[tuple[str, int]], float]:
@@ -120,7 +120,10 @@ def fit(sample: list[tuple[str | None, int]], prior: float = 0.5, ridge: float =
 def train(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_CLASS) -> ToxicityModel:
     sample, share = sample_labelled(docs, labels, learn, per_class=per_class)
     # The order in which rows come back must not matter.
-    return fit(sorted(sample, key=lambda r: (r[1], r[0])), share)
+    model = fit(sorted(sample, key=lambda r: (r[1], r[0])), share)
+    del sample
+    give_back()
+    return model
 
 
 def score_column(docs: DataFrame, model: ToxicityModel, text: str = "text") -> Column:
