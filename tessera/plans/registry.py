@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import canonical, layouts, matching, operational, retrieval, texts, workflow  # noqa: F401  each registers its queries
+from tessera.plans import canonical, layouts, matching, operational, redaction, retrieval, texts, workflow  # noqa: F401  each registers its queries
 from tessera.plans.base import ENTRIES
 
 
