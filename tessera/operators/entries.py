@@ -1,6 +1,6 @@
 """Entries of a section: runs of lines that belong to one position or school.
 
-What a line can begin is told by expressions over the line alone; only these marks, one number for each
+The lines are those of one section, without its heading. What a line can begin is told by expressions over the line alone; only these marks, one number for each
 line, go through an ordered fold, whose state is whether an entry is open, has a year, and has a second line.
 
 A line begins an entry if none is open. An open entry with a year also ends before a line with a year, a
