@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import audit, canonical, entries, layouts, matching, operational, pages, redaction, retrieval, skills, texts, workflow  # noqa: F401  each registers its queries
+from tessera.plans import apply_plan, audit, canonical, entries, layouts, matching, operational, pages, redaction, retrieval, skills, texts, workflow  # noqa: F401  each registers its queries
 from tessera.plans.base import ENTRIES
 
 
