@@ -84,6 +84,8 @@ class Aligner:
         self.encode_a = self.ranked(spec, spelt) or self.library(a_spec)
         self.whole = spec["normalizer"] is not None or pre["type"] != "ByteLevel" or not pre["use_regex"] or any(re.search("[^▁]▁", p) for p in pieces)
         self.known: dict[str, tuple | None] = {}
+        #: Known chunks without tokens.
+        self.none: set[str] = set()
         self.long: list[str] = []
 
     @staticmethod
@@ -120,9 +122,11 @@ class Aligner:
         trim(self.known, CACHE, KEPT)
         cut = [self.cut(t) if t else [] for t in texts]
         new = list(set().union(*cut).difference(self.known))
-        self.known.update(zip(new, self.labelled(new), strict=True))
+        found = self.labelled(new)
+        self.known.update(zip(new, found, strict=True))
+        self.none = {c for c in self.none if c in self.known} | {c for c, x in zip(new, found, strict=True) if x is None}
         self.long = [c for c in new if len(c) > SHORT]
-        return [[] if None in map(self.known.__getitem__, c) else c for c in cut]
+        return [[] if self.none and not self.none.isdisjoint(c) else c for c in cut]
 
     def forget_long(self) -> None:
         for c in self.long:
@@ -156,7 +160,9 @@ class Aligner:
         is_a, is_b = marks & 1, marks >> 1
         pairs = (a[np.cumsum(is_a) - is_a] * B_IDS + b[np.cumsum(is_b) - is_b]).tobytes()
         spans = SPAN.findall(LABELS[ends].tobytes())
-        in_a, in_b = (np.fromiter((s.count(mark) for s in spans), dtype=np.int64, count=len(spans)) + 1 for mark in (b"a", b"b"))
+        # Labels of each side in a span, by prefix sums at the spans' ends; the both-label counts for either.
+        last = np.cumsum(np.fromiter(map(len, spans), dtype=np.int64, count=len(spans))) - 1
+        in_a, in_b = (np.diff(np.cumsum(side, dtype=np.int64)[last], prepend=0) for side in (ends & 1, ends >> 1))
         # Written group by group, its A ids before its B ids.
         order = np.empty(len(a) + len(b), dtype=np.int64)
         start, base = np.cumsum(in_a + in_b) - in_a - in_b, 0
