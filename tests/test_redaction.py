@@ -1,5 +1,8 @@
 """Findings, redacted texts and offsets against plain Python."""
 
+import tracemalloc
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessera.operators import redaction as R
@@ -64,3 +67,15 @@ def test_a_long_text_with_many_findings(spark):
     text = "mail a@b.co or c " * 100_000
     got = spark.createDataFrame([(text,)], "t string").select(R.redaction(F.col("t")).alias("r")).select(F.size("r.findings"), F.length("r.redacted")).first()
     assert tuple(got) == (100_000, len(text) + 100_000 * (len("[REDACTED_EMAIL]") - 6))
+
+
+def test_a_batch_is_held_as_python_objects_a_few_texts_at_a_time():
+    texts = pa.array(["ada@x.org " * 40 + str(i) for i in range(2000)] + [None])
+    names = pa.nulls(len(texts), pa.string())
+    tracemalloc.start()
+    found = R._folded(texts, names, False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 2001 and len(found[1999]["findings"]) == 40 and found[2000].as_py() == {"findings": [], "redacted": None}
+    assert peak < 8 << 20  # all findings as objects at once take more than 20 MB
+    assert R._folded(texts.slice(0, 0), names.slice(0, 0), False).type == found.type
