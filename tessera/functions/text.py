@@ -40,6 +40,11 @@ STOPWORDS = (
 COMPLETENESS_STEPS = ((1200, 1.0), (700, 0.92), (350, 0.82), (180, 0.68), (80, 0.52), (1, 0.35))
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def normalize(text: Column) -> Column:
     """White space collapsed and trimmed; null becomes empty."""
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
@@ -52,8 +57,7 @@ def fold(text: Column) -> Column:
 
 def strip_html(text: Column) -> Column:
     """Text without tags, normalised; null when nothing is left."""
-    out = normalize(F.regexp_replace(normalize(text), "<[^>]+>", " "))
-    return F.when(out != "", out)
+    return bound(normalize(F.regexp_replace(normalize(text), "<[^>]+>", " ")), lambda out: F.when(out != "", out))
 
 
 def any_of(haystack: Column, words: Sequence[str]) -> Column:
@@ -79,18 +83,18 @@ def every_rule(haystack: Column, rules: Rules, limit: int | None = None) -> Colu
 
 
 def employment_type(title: Column, location: Column | None = None, description: Column | None = None) -> Column:
-    parts = [fold(c) for c in (title, location, description) if c is not None]
-    return first_rule(F.concat_ws(" ", *[F.when(p != "", p) for p in parts]), EMPLOYMENT_RULES)
+    parts = F.filter(F.array(*[fold(c) for c in (title, location, description) if c is not None]), lambda p: p != "")
+    return bound(F.array_join(parts, " "), lambda t: first_rule(t, EMPLOYMENT_RULES))
 
 
 def seniority(title: Column, description: Column) -> Column:
     """By the title, then by the description, else mid; null when both are empty."""
-    t, d = fold(title), fold(description)
-    return F.when((t != "") | (d != ""), F.coalesce(first_rule(t, SENIORITY_RULES), first_rule(d, SENIORITY_RULES), F.lit("mid")))
+    level = lambda t, d: F.when((t != "") | (d != ""), F.coalesce(first_rule(t, SENIORITY_RULES), first_rule(d, SENIORITY_RULES), F.lit("mid")))
+    return bound(F.struct(fold(title).alias("t"), fold(description).alias("d")), lambda x: level(x["t"], x["d"]))
 
 
 def workplace_type(location: Column) -> Column:
-    return first_rule(fold(location), WORKPLACE_RULES)
+    return bound(fold(location), lambda t: first_rule(t, WORKPLACE_RULES))
 
 
 def rank_of(label: Column, ranks: dict[str, int]) -> Column:
@@ -99,7 +103,10 @@ def rank_of(label: Column, ranks: dict[str, int]) -> Column:
 
 def normalize_url(url: Column) -> Column:
     """For comparing: scheme (https by default) and host in lower case, no doubled or trailing slashes, no query or fragment."""
-    text = normalize(url)
+    return bound(normalize(url), _normalized_url)
+
+
+def _normalized_url(text: Column) -> Column:
     part = lambda k: F.regexp_extract(text, r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)", k)
     scheme = F.when(part(1) != "", F.lower(part(1))).otherwise("https")
     path = F.regexp_replace(F.when(part(3) != "", part(3)).otherwise("/"), "/{2,}", "/")
@@ -120,11 +127,14 @@ def location_city(location: Column) -> Column:
 
 def completeness(text: Column) -> Column:
     """Share of a full description, by steps of the length of the text without tags."""
-    n = F.length(F.coalesce(strip_html(text), F.lit("")))
-    score = F.lit(0.2)
-    for least, value in reversed(COMPLETENESS_STEPS):
-        score = F.when(n >= least, value).otherwise(score)
-    return score
+
+    def score(n: Column) -> Column:
+        found = F.lit(0.2)
+        for least, value in reversed(COMPLETENESS_STEPS):
+            found = F.when(n >= least, value).otherwise(found)
+        return found
+
+    return bound(F.length(F.coalesce(strip_html(text), F.lit(""))), score)
 
 
 def keywords(*texts: Column, limit: int = 24) -> Column:

@@ -11,7 +11,7 @@ from tessera.functions import vocabulary as V
 from tessera.functions.text import COMPLETENESS_STEPS
 from tessera.operators import canonical as C
 from tessera.operators.entity import CONFIDENCE
-from tessera.plans.base import query, table
+from tessera.plans.base import query, spread, table
 from tessera.plans.texts import rule_sql
 
 TYPES = ("greenhouse", "workday", "company_careers", "other", "lever")
@@ -40,7 +40,8 @@ def _keyed(spark, d):
     g, c = F.expr("p_partkey div 3"), F.expr("p_partkey div 3 % 5")
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     of_group = F.when(c == 0, text("HTTPS://X.example//j/", g, "/?from=", F.col("p_partkey"))).when(c == 3, text("https://z.example/", F.col("p_partkey")))
-    records = table(spark, d, "part").select(
+    parts = spread(table(spark, d, "part").select("p_partkey", "p_name", "p_size"), "p_partkey")
+    records = parts.select(
         F.col("p_partkey").alias("record_id"), F.when(c == 1, g % 5).otherwise(F.col("p_partkey") % 5).cast("int").alias("source_id"), F.when(c == 1, text("E", g)).otherwise(text("X", F.col("p_partkey"))).alias("external_job_id"),
         text("Acme  ", g % 7).alias("company"), F.when(c < 4, text("Data Engineer ", g)).otherwise(text("Sales ", F.col("p_partkey"))).alias("title"), F.lit("Berlin, Germany").alias("location"),
         of_group.alias("apply_url"), F.when(c == 2, text("https://y.example/", g)).alias("canonical_url"), F.to_json(F.struct(F.expr("repeat(concat(p_name, ' '), p_size)").alias("text"))).alias("payload"),
@@ -94,7 +95,7 @@ def rule_labels(spark, d):
     """Every table of labels over a text for each part that holds four of the tables' own key words."""
     every = F.array(*map(F.lit, WORDS))
     text = F.concat_ws(" ", "p_name", *[F.element_at(every, F.expr(f"cast({i} as int)")) for i in PICKED])
-    rows = table(spark, d, "part").select("p_partkey", text.alias("t"))
+    rows = spread(table(spark, d, "part").select("p_partkey", "p_name"), "p_partkey").select("p_partkey", V.joined(text).alias("t"))
     t = F.col("t")
-    lists = [F.array_join(V.labels(rules, t, limit=limit), ",").alias(name) for name, (rules, limit) in LISTS.items()]
-    return rows.select("p_partkey", *[V.label(rules, t).alias(name) for name, rules in TABLES.items()], *lists, V.manages(t).cast("int").alias("manages"))
+    lists = [F.array_join(V.labels_in(rules, t, limit), ",").alias(name) for name, (rules, limit) in LISTS.items()]
+    return rows.select("p_partkey", *[V.label_in(rules, t).alias(name) for name, rules in TABLES.items()], *lists, V.manages_in(t).cast("int").alias("manages"))
