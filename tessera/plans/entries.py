@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import entries as E
-from tessera.plans.base import query, table
+from tessera.plans.base import query, spread, table
 
 KINDS = (
     "year(o_orderdate) || ' - ' || (year(o_orderdate) + 2) || ' Senior Engineer'", "'Built reports for the team'", "''", "'Acme Data GmbH'", "year(o_orderdate) || ' Analyst'",
@@ -57,7 +57,7 @@ def _rows(frame, key):
 @query("cv_entries", entries_sql(f"SELECT o_orderkey, unnest(x) AS line, generate_subscripts(x, 1) - 1 AS spot FROM (SELECT o_orderkey, [{LINES}] AS x FROM orders)", "o_orderkey"))
 def cv_entries(spark, d):
     """Entries of a short CV for every order."""
-    made = table(spark, d, "orders").select("o_orderkey", F.expr(f"array({LINES})").alias("lines"))
+    made = spread(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"), "o_orderkey").select("o_orderkey", F.expr(f"array({LINES})").alias("lines"))
     return _rows(made.select("o_orderkey", E.entries(F.col("lines")).alias("entries")), "o_orderkey")
 
 

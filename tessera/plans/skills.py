@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import skills as K
-from tessera.plans.base import query, table
+from tessera.plans.base import query, spread, table
 
 PHRASES = (
     "Python, Docker and K8s", "We react to market changes", "react.js with Next.js", "built in Go", "go home early", "C++ / C# / CI/CD", "Node.js", "SQL; PostgreSQL | postgre sql",
@@ -48,5 +48,5 @@ def skills_sql(rows: str) -> str:
 @query("cv_skills", skills_sql(f"SELECT o_orderkey AS k, spot, {SECTION} AS section, text FROM (SELECT o_orderkey, o_custkey, unnest(x) AS text, generate_subscripts(x, 1) - 1 AS spot FROM (SELECT o_orderkey, o_custkey, [{TEXTS}] AS x FROM orders))"))
 def cv_skills(spark, d):
     """The skills of a short CV for every order, with the section that names each best."""
-    rows = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.posexplode(F.expr(f"array({TEXTS})")).alias("spot", "text"))
+    rows = spread(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey").select("o_orderkey", "o_custkey", F.posexplode(F.expr(f"array({TEXTS})")).alias("spot", "text"))
     return K.resolve(rows.withColumn("section", F.expr(SECTION)), ["o_orderkey"], "spot", "section", "text")

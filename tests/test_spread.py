@@ -10,7 +10,7 @@ from tessera.plans import registry
 SMOKE = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["rule_labels"])
+@pytest.mark.parametrize("name", ["rule_labels", "cv_entries"])
 def test_rows_of_one_file_are_dealt_to_all_cores(spark, name):
     assert registry.queries()[name](spark, SMOKE).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
 
