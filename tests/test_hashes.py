@@ -55,3 +55,18 @@ def test_votes_of_a_text_are_one_row(spark, monkeypatch):
     cut = D._ones(texts[-1][1].encode(), {})
     assert whole[0] == cut[0] == 3000 and (whole[1] == cut[1]).all()
     assert spark.range(3).select(F.col("id"), F.lit("x").alias("t")).transform(lambda d: D.word_votes(d, "id", "t")).select("simhash").distinct().count() == 1
+
+
+def test_blocks_that_meet_are_not_taken_together_by_their_few_bytes(spark):
+    hashed = spark.range(50).select(F.lit("s").alias("person"), F.xxhash64("id").alias("h"), "id", F.lit(True).alias("own"))
+    plan = D.nearest_hashes(hashed, "person", "id", 7)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "REPARTITION_BY_COL" not in plan
+
+
+def test_texts_of_white_space_alone_have_no_versions(spark, tmp_path):
+    from tessera.plans import registry
+
+    texts = [(1, "a b", "s"), (2, None, "s"), (3, " \t  \n", "s"), (4, "a c", "s"), (5, "", "s")]
+    spark.createDataFrame(texts, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = registry.queries()["document_best_versions"](spark, str(tmp_path))
+    assert {r.doc_id: r.previous for r in found.collect()} == {1: 4, 4: 1}
