@@ -58,6 +58,8 @@ def map_file(uri: str, dtype: str) -> np.ndarray:
 
 #: Chunks whose ids a worker remembers at most, and how many stay when there are more.
 CACHE, KEPT = 600_000, 400_000
+#: New chunks that the library encodes as one text.
+JOINED = 2000
 #: A space that does not stand right before a character other than white space.
 LOOSE = re.compile(r" (?=\s|\Z)")
 
@@ -80,11 +82,33 @@ class ChunkEncoder:
         self.width = 2 if max(self.tok.get_vocab_size(with_added_tokens=True) - 1, end_id) < 1 << 16 else 4
         self.end = end_id.to_bytes(self.width, "little")
         self.known: dict[str, bytes] = {}
+        #: Bytes of each id's token, which has a character for each byte.
+        vocab = j["model"]["vocab"]
+        self.sizes = np.zeros(max(self.tok.get_vocab_size(with_added_tokens=True), max(vocab.values(), default=0) + 1), np.int64)
+        for t, i in vocab.items():
+            self.sizes[i] = len(t)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         kind = {2: "H", 4: "I"}[self.width]
         return [array(kind, e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks, each behind a space: many as one text, cut where the bytes of its tokens come to the chunks' ends."""
+        out: list[bytes] = []
+        for at in range(0, len(chunks), JOINED):
+            some = chunks[at : at + JOINED]
+            line = " " + " ".join(some)
+            ids = np.array([] if self.special.search(line) else self.tok.encode_batch_fast([line], add_special_tokens=False)[0].ids, dtype=f"<u{self.width}")
+            ends = np.cumsum(np.fromiter((len(c) + 1 if c.isascii() else len(c.encode()) + 1 for c in some), np.int64, len(some)))
+            reached = np.cumsum(self.sizes[ids])
+            last = np.searchsorted(reached, ends) + 1
+            if not len(ids) or reached[-1] != ends[-1] or not np.array_equal(reached[last - 1], ends):
+                out += self._library([" " + c for c in some])
+                continue
+            data, stops = ids.tobytes(), (last * self.width).tolist()
+            out += [data[a:z] for a, z in zip([0, *stops], stops, strict=False)]
+        return out
+
     def _cut(self, text: str) -> tuple[str, list[str]]:
         """The first chunk, and the others without the space that each starts with."""
         if self.whole or self.special.search(text):
@@ -106,7 +130,7 @@ class ChunkEncoder:
         known = self.known
         trim(known, CACHE, KEPT)
         new = list(set().union(*[rest for _, rest in cut]).difference(known))
-        known.update(zip(new, self._library([" " + c for c in new]), strict=True))
+        known.update(zip(new, self._chunks(new), strict=True))
         of = known.__getitem__
         out = [first + b"".join(map(of, rest)) + self.end for first, (_, rest) in zip(self._library([f for f, _ in cut]), cut, strict=True)]
         for c in new:
