@@ -46,8 +46,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each row's text, their number, and the text that they decode to."""
     vocab = bpe.vocabulary(spark, public_tokenizers.path(TOKENIZER))
-    both = docs.select("doc_id", "source", bpe.round_trip_column(vocab, F.col("text")).alias("b"))
-    return both.select("doc_id", "source", F.size("b.ids").cast("long").alias("n_tokens"), "b.ids", "b.decoded")
+    return bpe.round_trip(docs.select("doc_id", "source", "text"), vocab)
 
 
 STAGES = [

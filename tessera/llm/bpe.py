@@ -19,6 +19,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from array import array
+from collections.abc import Iterator
 from itertools import islice
 
 import ahocorasick
@@ -26,12 +27,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.common import give_back
+
 #: Distinct white-space-free chunks, and distinct pieces, whose ids a worker remembers at most, and how many stay when there are more.
 CACHE, KEPT = 120_000, 80_000
 NEVER = 1 << 40
+#: Texts whose results are held at a time.
+TEXTS = 256
 #: White space as the tokenizer's rule has it; characters that Python alone also takes for white space.
 WHITE = regex.compile(r"\s+")
 CONTROL = regex.compile(r"[\x1c-\x1f]")
@@ -234,6 +239,7 @@ def _kept(kind: type, shared):
     """One encoder or table for each worker and vocabulary; an encoder's cache outlives a task."""
     key = kind, hash(shared.value)
     if key not in _KEPT:
+        give_back()  # what the worker's stages before have freed
         _KEPT[key] = kind(shared.value) if kind is PrefixEncoder else kind(json.loads(shared.value))
     return _KEPT[key]
 
@@ -275,3 +281,24 @@ def round_trip_column(vocab, text: Column) -> Column:
         return pa.StructArray.from_arrays([ids, enc.table.decode_all(ids)], names=["ids", "decoded"])
 
     return both.asNondeterministic()(F.coalesce(text, F.lit("")))
+
+
+def round_trips(enc: PrefixEncoder, batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    """The batches with a number of ids, the ids and the decoded text in place of the text, at most TEXTS rows at a time."""
+    for whole in batches:
+        others = [c for c in whole.schema.names if c != text]
+        for at in range(0, whole.num_rows, TEXTS):
+            b = whole.slice(at, TEXTS)
+            ids = enc.encode_all(b.column(text))
+            made = [pc.list_value_length(ids).cast(pa.int64()), ids, enc.table.decode_all(ids)]
+            yield pa.RecordBatch.from_arrays([*map(b.column, others), *made], [*others, "n_tokens", "ids", "decoded"])
+
+
+def round_trip(docs: DataFrame, vocab, text: str = "text") -> DataFrame:
+    """docs without the text, with n_tokens, ids and decoded: both directions in one pass, whose results leave a worker in small batches.
+
+    As a column the results of a whole Arrow batch (10,000 rows by default) would be held at once, in the worker and in the executor.
+    """
+    rows = docs.withColumn(text, F.coalesce(F.col(text), F.lit("")))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != text)
+    return rows.mapInArrow(lambda batches: round_trips(_kept(PrefixEncoder, vocab), batches, text), f"{kept}, n_tokens long, ids array<int>, decoded string")

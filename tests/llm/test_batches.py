@@ -1,6 +1,24 @@
 """Results of encoding leave a worker a few texts at a time, and are those of whole texts."""
 
 import public_tokenizers
+import pyarrow as pa
+
+from tessera.llm import bpe
+
+
+def test_round_trips_are_handed_on_in_small_batches(spark):
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        enc = bpe.PrefixEncoder(f.read())
+    texts = [("" if k % 9 == 0 else f"Text {k} of Über-größe, {k * 7919}") for k in range(700)]
+    whole = pa.RecordBatch.from_pydict({"doc_id": list(range(700)), "text": texts})
+    made = list(bpe.round_trips(enc, iter([whole]), "text"))
+    assert max(b.num_rows for b in made) <= bpe.TEXTS and len(made) > 2
+    rows = [r for b in made for r in b.to_pylist()]
+    assert [(r["doc_id"], r["n_tokens"], r["ids"], r["decoded"]) for r in rows] == [(k, len(enc.encode(t)), enc.encode(t), enc.decode(enc.encode(t))) for k, t in enumerate(texts)]
+    vocab = bpe.vocabulary(spark, public_tokenizers.path("word_bpe_49k.json"))
+    df = spark.createDataFrame([(0, None, "s"), (1, texts[1], None)], "doc_id int, text string, source string")
+    got = {r.doc_id: (r.source, r.n_tokens, r.ids, r.decoded) for r in bpe.round_trip(df, vocab).collect()}
+    assert got == {0: ("s", 0, [], ""), 1: (None, len(enc.encode(texts[1])), enc.encode(texts[1]), enc.decode(enc.encode(texts[1])))}
 
 
 def test_new_chunks_are_encoded_as_one_text():
