@@ -68,7 +68,13 @@ SPLIT = re.compile(r"[\s/&,+|·•:;()\[\]{}\\-]+")
 
 def plain(value: str) -> str:
     """Lower case without accents, punctuation as spaces, white space collapsed."""
-    low = "".join(c for c in unicodedata.normalize("NFKD", value) if not unicodedata.combining(c)).lower()
+    low = value
+    if not value.isascii():
+        low = unicodedata.normalize("NFKD", value)
+        for c in set(low):
+            if c > "\x7f" and unicodedata.combining(c):
+                low = low.replace(c, "")
+    low = low.lower()
     return re.sub(r"\s+", " ", re.sub(r"[^\w\s/&,+|·•-]", " ", low)).strip()
 
 
@@ -79,6 +85,16 @@ def names(language: str) -> list[tuple[str, str, frozenset[str]]]:
     return [(section, plain(a), frozenset(filter(None, SPLIT.split(plain(a))))) for section, own in table.items() for a in own]
 
 
+@lru_cache(maxsize=8)
+def by_word(language: str) -> tuple[dict[str, list[int]], int]:
+    """The places of the names that hold each word; the length from which no line is like any name."""
+    places: dict[str, list[int]] = {}
+    for k, (_, _, own) in enumerate(names(language)):
+        for w in own:
+            places.setdefault(w, []).append(k)
+    return places, int(max(len(name) for _, name, _ in names(language)) * (2 - LEAST_NAME) / LEAST_NAME) + 1
+
+
 @lru_cache(maxsize=50_000)
 def closest(line: str, language: str) -> tuple[str | None, float]:
     """The section whose name comes closest to a line, and how close; (None, 0) where none comes near enough to matter."""
@@ -86,7 +102,12 @@ def closest(line: str, language: str) -> tuple[str | None, float]:
     if not text:
         return None, 0.0
     words, best, found = set(filter(None, SPLIT.split(text))), 0.0, None
-    for section, name, own in names(language):
+    every, (places, long) = names(language), by_word(language)
+    if len(text) > long:
+        # Too long to be like a name: only those that it holds, or some words of, come near.
+        near_by = {k for w in places.keys() & words for k in places[w]}.union(k for k, (_, name, _) in enumerate(every) if name in text)
+        every = [every[k] for k in sorted(near_by)]
+    for section, name, own in every:
         if text == name:
             near = 1.0
         elif name in text:
@@ -128,7 +149,9 @@ def sections(docs: DataFrame, key: str, text: str, language: str) -> DataFrame:
     """
     own = docs.select(F.col(key).alias("key"), F.coalesce(F.col(language), F.lit("en")).alias("language"), F.posexplode(F.split(F.col(text), "\n")).alias("at", "line"))
     own = own.withColumn("line", F.trim(F.regexp_replace("line", r"(?U)\s+", " ")))
-    scored = own.withColumn("n", named(F.col("line"), F.col("language"))).withColumn("score", heading_score(F.col("line"), F.col("n.name")))
+    scored = own.withColumn("n", named(F.col("line"), F.col("language")))
+    # Letters and words are counted only in lines that come near a name.
+    scored = scored.withColumn("score", F.when(F.col("n.name") >= LEAST_NAME, heading_score(F.col("line"), F.col("n.name"))))
     is_heading = F.coalesce((F.col("line") != "") & (F.col("n.name") >= LEAST_NAME) & (F.col("score") >= LEAST_SCORE), F.lit(False))
     marked = scored.select("key", "at", "line", F.when(is_heading, F.struct(F.col("n.section").alias("section"), F.col("line").alias("heading"), F.col("score").alias("score"))).alias("h"))
     order = Window.partitionBy("key").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
