@@ -80,10 +80,10 @@ def cosine(a: Column, b: Column) -> Column:
 
 def search(items: DataFrame, query: Column, vector: str, key: str, k: int, least: float | None = None) -> DataFrame:
     """The k items most similar to one query vector, ties to the smaller key; k is the feature."""
-    scored = items.withColumn("similarity", cosine(F.col(vector), query)).filter(F.col("similarity").isNotNull())
-    if least is not None:
-        scored = scored.filter(F.col("similarity") >= least)
-    return scored.orderBy(F.desc("similarity"), key).limit(k)
+    scored = items.withColumn("similarity", cosine(F.col(vector), query))
+    # What the conditions leave is the beginning of the order, so they come last: before, they would be pushed below and compute every vector twice.
+    best = scored.orderBy(F.desc_nulls_last("similarity"), key).limit(k)
+    return best.filter(F.col("similarity").isNotNull() if least is None else F.col("similarity") >= least)
 
 
 def filtered_search(items: DataFrame, query: Column, vector: str, key: str, k: int, least: float, where: Column) -> DataFrame:
