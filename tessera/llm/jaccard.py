@@ -6,8 +6,9 @@ the documents shows to be frequent, by frequency) the first ``size - ceil(t * si
 are a set's prefix. Two sets of similarity t must share so many shingles of their prefixes as they must
 share at all, less those behind the prefix that ends first. Classes with identical prefix and size
 collapse into one group. The prefixes of groups are exploded and shuffled by shingle; pairs of groups
-are formed and filtered by size and number of shared prefix shingles; the pairs that remain are
-expanded to the groups' members, and those are verified on the whole texts.
+are formed and filtered by size, number of prefix shingles that others have, and the places of a shingle in
+both sets (the first that two similar sets share has enough of either set from it on); the pairs that remain
+are expanded to the groups' members, and those are verified on the whole texts.
 
 Links are wanted up to connectivity, so no pair inside a component is verified: rounds of stars (each
 shingle's groups against one of them, the members of a group against its first) join what is alike,
@@ -136,7 +137,7 @@ def signed(docs: DataFrame, order, n: int, num: int, den: int, doc_id: str, text
     """Of each row of docs, by an order of shingles that was sent to the tasks: (gid, n, prefix, hot), or else (doc_id, row, cid, n, gid).
 
     cid: hash of the set, null for an empty one; gid: hash of its prefix and size; row: hash of the text; hot:
-    which shingles of the prefix are.
+    which shingles of the prefix are; place: how many shingles of the set come before it.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
 
@@ -170,13 +171,14 @@ def signed(docs: DataFrame, order, n: int, num: int, den: int, doc_id: str, text
                     gids.append(short(found[-1].tobytes() + len(s).to_bytes(8, "little")))
                 if prefixes:
                     ends = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in found])]), pa.int32())
-                    flat = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(hot))], names=["shingle", "hot"]))
+                    places = np.concatenate([np.arange(len(p), dtype=np.int32) for p in found])
+                    flat = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(hot)), pa.array(places)], names=["shingle", "hot", "place"]))
                     yield pa.RecordBatch.from_arrays([pa.array(gids, pa.int64()), flat], names=["gid", "prefix"])
                 else:
                     yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(gids, pa.int64())], names=["doc_id", "row", "cid", "n", "gid"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
-    return rows.mapInArrow(sign, "gid long, prefix array<struct<shingle:long,hot:boolean>>" if prefixes else f"doc_id {kind}, row long, cid long, n long, gid long")
+    return rows.mapInArrow(sign, "gid long, prefix array<struct<shingle:long,hot:boolean,place:int>>" if prefixes else f"doc_id {kind}, row long, cid long, n long, gid long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -254,6 +256,11 @@ class Filters:
         behind = F.greatest(F.lit(0), ceil_div(self.num * F.greatest(a, b), self.den) - COMMON)
         return F.greatest(F.lit(1), both - behind)
 
+    def reach(self, a: str, b: str, place_a: str, place_b: str) -> Column:
+        """A shingle at these places can be the first that two similar sets share: all that they share lies from there on in both."""
+        both = ceil_div(self.num * (F.col(a) + F.col(b)), self.num + self.den)
+        return F.least(F.col(a) - F.col(place_a), F.col(b) - F.col(place_b)) >= both
+
     def band(self, size: Column) -> Column:
         """Sizes that fit each other lie in the same or in neighbouring bands (the width is rounded up, so that rounding loses none)."""
         return F.floor(F.log(size) / (math.log(self.den / self.num) + 1e-9)).cast("int")
@@ -274,23 +281,26 @@ def stars(live: DataFrame, turn: int, f: Filters) -> DataFrame:
 
 
 def group_pairs(live: DataFrame, f: Filters) -> DataFrame:
-    """(g, g2, k, k2, rep, rep2): pairs of groups that share enough prefix shingles, have fitting sizes, and members in different components."""
+    """(g, g2, k, k2, rep, rep2): pairs of groups that can share enough shingles, have fitting sizes, and members in different components.
+
+    A pair is formed only at shingles that can be the first that both share: a shingle that many copies of a text
+    have, each behind edits of its own, would otherwise pair all copies that are not in one component.
+    """
     several = live.groupBy("shingle").agg(F.min("lo").alias("least"), F.max("hi").alias("most"), F.max("hot").alias("any_hot"), F.count("*").alias("m")).filter("least <> most")
     # A hot shingle's groups are met in as many parts as their number asks for; each part needs one side whole.
     parts = F.when(F.col("any_hot"), F.least(F.lit(SALTS), F.ceil(F.col("m") / MEET))).otherwise(1).cast("int")
     salts = several.withColumn("parts", parts).withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("any_hot"), SALTS - 1).otherwise(0)))).select("shingle", "salt", "parts")
     open_ = live.join(salts, ["shingle", "salt"]).withColumn("salt", F.pmod("salt", "parts"))
-    columns = ("gid", "n", "common", "k", "rep", "lo", "hi")
+    columns = ("gid", "n", "common", "k", "rep", "lo", "hi", "place")
     big = open_.select("shingle", "salt", f.band(F.col("n")).alias("band"), *columns)
     every_part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     small = open_.withColumn("salt", every_part).withColumn("band", F.explode(F.array(f.band(F.col("n")), f.band(F.col("n")) + 1)))
     small = small.select("shingle", "salt", "band", *[F.col(c).alias(f"{c}2") for c in columns])
     apart = (F.col("n") > F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("gid") > F.col("gid2")))
     same = (F.col("lo") == F.col("hi")) & (F.col("lo2") == F.col("hi2")) & (F.col("lo") == F.col("lo2"))
-    can = apart & ~same & f.fits("n", "n2") & (F.least("common", "common2") >= f.enough("n", "n2"))
+    can = apart & ~same & f.fits("n", "n2") & f.reach("n", "n2", "place", "place2") & (F.least("common", "common2") >= f.enough("n", "n2"))
     met = big.join(small, ["shingle", "salt", "band"]).filter(can)
-    counted = met.groupBy("gid", "gid2").agg(F.count("*").alias("met"), F.first(f.enough("n", "n2")).alias("least"), *[F.first(c).alias(c) for c in ("k", "k2", "rep", "rep2")])
-    return counted.filter("met >= least").select("gid", "gid2", "k", "k2", "rep", "rep2")
+    return met.groupBy("gid", "gid2").agg(*[F.first(c).alias(c) for c in ("k", "k2", "rep", "rep2")])
 
 
 def expanded(pairs: DataFrame, groups: DataFrame, members: DataFrame) -> DataFrame:
@@ -313,11 +323,11 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     # The texts are signed twice: keeping the prefixes of all documents would take more room than the texts.
     rows = checkpoint(signed(docs, order, n, num, den, doc_id, text, prefixes=False))
     classes = checkpoint(rows.filter("cid is not null").groupBy("cid").agg(F.min(F.struct("doc_id", "row")).alias("rep"), F.first("n").alias("n"), F.first("gid").alias("gid")))
-    held = signed(docs, order, n, num, den, doc_id, text, prefixes=True).select("gid", F.explode("prefix").alias("p")).select("gid", "p.shingle", "p.hot")
+    held = signed(docs, order, n, num, den, doc_id, text, prefixes=True).select("gid", F.explode("prefix").alias("p")).select("gid", "p.shingle", "p.hot", "p.place")
     held = held.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("gid"), F.lit(SALTS)).cast("int")).otherwise(0))
     groups = held.repartition("shingle", "salt").dropDuplicates(["shingle", "salt", "gid"])  # copies count once; no further shuffle
     counted = groups.withColumn("holders", F.count("*").over(Window.partitionBy("shingle", "salt")))
-    shared = checkpoint(counted.filter("holders > 1 or hot").select("shingle", "salt", "hot", "gid"))
+    shared = checkpoint(counted.filter("holders > 1 or hot").select("shingle", "salt", "hot", "gid", "place"))
     # k: classes of a group; common: how many shingles of its prefix others have, so the most that a pair's prefixes can share.
     alive = classes.groupBy("gid").agg(F.count("*").alias("k")).join(shared.groupBy("gid").agg(F.count("*").alias("common")), "gid", "left").filter("common > 0 or k > 1")
     members = checkpoint(classes.join(alive, "gid").select("gid", "cid", "n", "k", "common"))
