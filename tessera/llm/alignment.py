@@ -12,7 +12,8 @@ space to the word behind it; no piece of B may hold a space behind another chara
 the vocabulary is read, else texts stay whole.) A worker labels each distinct chunk once while it is
 remembered, so the ids are those of the whole texts.
 
-Links are counted per pair of ids over all rows by tasks, then by pair. Ids of the pairs found most often,
+Every text is labelled once: its sums, groups and linked ids (four bytes a link) are written to the shared
+folder, and what follows reads them. Links are counted per pair of ids over all rows by tasks, then by pair. Ids of the pairs found most often,
 at most ``TOLD`` of them, are sent to every task with their counts; the other pairs of a document are joined with
 their counts by a shuffle, so nothing that grows with the data is broadcast and no pair is left out.
 
@@ -25,10 +26,8 @@ from __future__ import annotations
 
 import json
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import chain
-from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +43,8 @@ TOLD = 1_000_000
 CACHE, KEPT, SHORT = 350_000, 250_000, 64
 #: Texts worked on at a time, pairs that are counted before they are handed on.
 TEXTS, HELD = 128, 1_000_000
+#: What a row's tokens and links come to.
+SUMS = ["n_a", "n_b", "n_groups", "n_links"]
 #: A pair of ids is one number: A's id times this, and B's id.
 B_IDS = 1 << 20
 CUT = re.compile(r"(?<=[^ ]) (?=\S)")
@@ -63,7 +64,7 @@ def byte_values() -> dict[str, int]:
 class Aligner:
     """Both tokenizers, the bytes of their tokens, and the chunks met so far.
 
-    Of a chunk is known (A tokens, B tokens, groups, groups as text, linked pairs as bytes of 64-bit integers), or None
+    Of a chunk is known (A tokens, B tokens, groups, groups as text, linked pairs as ``packed``), or None
     where its tokens spell something else.
     """
 
@@ -82,12 +83,17 @@ class Aligner:
         self.names = [f"{i}{mark}" for t, marks in ((self.a_bytes, ",|"), (self.b_bytes, ",;")) for mark in marks for i in range(len(t))]
         pre = spec["pre_tokenizer"]
         self.encode_a = self.ranked(spec, spelt) or self.library(a_spec)
+        self.width = 4 if max(len(self.a_bytes), len(self.b_bytes)) <= 1 << 16 else 8
         self.whole = spec["normalizer"] is not None or pre["type"] != "ByteLevel" or not pre["use_regex"] or any(re.search("[^▁]▁", p) for p in pieces)
         self.known: dict[str, tuple | None] = {}
         #: Known chunks without tokens.
         self.none: set[str] = set()
         self.long: list[str] = []
 
+    def packed(self, a: np.ndarray, b: np.ndarray) -> bytes:
+        """Linked ids, ``width`` bytes a link: two 16-bit ids if all ids are so small, else the pair's number."""
+        return (a << 16 | b).astype(np.uint32).tobytes() if self.width == 4 else (a * B_IDS + b).tobytes()
+
     @staticmethod
     def library(a_spec: str) -> Callable[[list[str]], list[list[int]]]:
         """Encoding by the file itself."""
@@ -158,7 +164,7 @@ class Aligner:
         ends[b_end - 1] |= 2
         marks = ends[ends > 0]
         is_a, is_b = marks & 1, marks >> 1
-        pairs = (a[np.cumsum(is_a) - is_a] * B_IDS + b[np.cumsum(is_b) - is_b]).tobytes()
+        pairs = self.packed(a[np.cumsum(is_a) - is_a], b[np.cumsum(is_b) - is_b])
         spans = SPAN.findall(LABELS[ends].tobytes())
         # Labels of each side in a span, by prefix sums at the spans' ends; the both-label counts for either.
         last = np.cumsum(np.fromiter(map(len, spans), dtype=np.int64, count=len(spans))) - 1
@@ -175,7 +181,7 @@ class Aligner:
         words = list(map(self.names.__getitem__, order.tolist()))
         end = np.cumsum(counts[0] + counts[1])
         groups = np.diff(np.searchsorted(start, end), prepend=0)
-        links = np.cumsum(counts[0] + counts[1] - groups) * 8
+        links = np.cumsum(counts[0] + counts[1] - groups) * self.width
         out, w, p = [], 0, 0
         for n_a, n_b, n, w_end, p_end in zip(counts[0].tolist(), counts[1].tolist(), groups.tolist(), end.tolist(), links.tolist(), strict=True):
             out.append((n_a, n_b, n, "".join(words[w:w_end])[:-1], pairs[p:p_end]))
@@ -195,36 +201,19 @@ def aligner(a_spec: str, b_model: bytes) -> Aligner:
 
 
 class Told:
-    """Counts of the most frequent pairs of ids, and which of them are the highest of their B id; what chunks come to by them."""
-
-    _last: tuple[str, dict] = ("", {})
+    """Counts of the most frequent pairs of ids, and which of them are the highest of their B id."""
 
     def __init__(self, pair: np.ndarray, count: np.ndarray, best: np.ndarray):
         by = np.argsort(pair)
-        self.pair, self.count, self.best, self.run = pair[by], count[by], best[by], uuid4().hex
+        self.pair, self.count, self.best = pair[by], count[by], best[by]
 
-    def remembered(self) -> dict:
-        """Of this worker and run."""
-        if Told._last[0] != self.run:
-            Told._last = (self.run, {})
-        return Told._last[1]
-
-    def sums(self, chunks: list[tuple]) -> list[tuple]:
-        """(A tokens, B tokens, groups, links, best links, sum of counts, groups as text, pairs that are not told) of each chunk."""
-        if not chunks:
-            return []
-        pairs = np.frombuffer(b"".join(c[4] for c in chunks), dtype=np.int64)
-        end = np.cumsum([len(c[4]) // 8 for c in chunks])
-        if len(self.pair):
-            at = np.minimum(np.searchsorted(self.pair, pairs), len(self.pair) - 1)
-            known = self.pair[at] == pairs
-            values = [np.where(known, x[at], 0) for x in (self.best, self.count)]
-        else:
-            known, values = np.zeros(len(pairs), dtype=bool), [np.zeros(len(pairs), dtype=np.int64)] * 2
-        best, count, other = (np.diff(np.concatenate([[0], np.cumsum(x)])[end], prepend=0).tolist() for x in (*values, ~known))
-        start = [0, *end.tolist()]
-        rest = [pairs[start[k] : start[k + 1]][~known[start[k] : start[k + 1]]].tolist() if n else () for k, n in enumerate(other)]
-        return [(c[0], c[1], c[2], len(c[4]) // 8, x, y, c[3], r) for c, x, y, r in zip(chunks, best, count, rest, strict=True)]
+    def look_up(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(told or not, best, count) of each pair; of one that is not told, zeros."""
+        if not len(self.pair):
+            return np.zeros(len(pairs), dtype=bool), *[np.zeros(len(pairs), dtype=np.int64)] * 2
+        at = np.minimum(np.searchsorted(self.pair, pairs), len(self.pair) - 1)
+        known = self.pair[at] == pairs
+        return known, known & self.best[at], np.where(known, self.count[at], 0)
 
 
 def read_vocabularies(a_path: str, b_path: str) -> tuple[str, bytes]:
@@ -232,36 +221,64 @@ def read_vocabularies(a_path: str, b_path: str) -> tuple[str, bytes]:
         return a.read(), b.read()
 
 
-def pair_counts(docs: DataFrame, vocabularies, text: str) -> DataFrame:
-    """(pair, n): links of each pair of ids over all rows; vocabularies: what ``read_vocabularies`` gives, broadcast."""
+def links(b: pa.RecordBatch, column: int, counts: np.ndarray) -> np.ndarray:
+    """The pairs of ids of all rows of a batch, one after another, from ``packed``; counts: links of each row."""
+    data = b"".join(x for x in b.column(column).to_pylist())
+    if len(data) == 4 * int(counts.sum()):
+        ids = np.frombuffer(data, dtype=np.uint32).astype(np.int64)
+        return (ids >> 16) * B_IDS + (ids & 0xFFFF)
+    return np.frombuffer(data, dtype=np.int64)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def labelled_rows(docs: DataFrame, vocabularies, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, h, n_a, n_b, n_groups, n_links, groups, links), a row for each row of docs; vocabularies: what ``read_vocabularies`` gives, broadcast.
+
+    h: xxhash64 of the text; links: the pairs of ids in text order, ``packed``.
+    """
+    kind = docs.schema[doc_id].dataType.simpleString()
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         al = aligner(*vocabularies.value)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for whole in batches:
+            for at in range(0, whole.num_rows, TEXTS):
+                b = whole.slice(at, TEXTS)
+                sums, groups, packed = [], [], []
+                for chunks in al.chunks(b.column(2).to_pylist()):
+                    n_a, n_b, n, texts, pairs = zip(*map(al.known.__getitem__, chunks)) if chunks else ((),) * 5
+                    found = b"".join(pairs)
+                    sums.append((sum(n_a), sum(n_b), sum(n), len(found) // al.width))
+                    groups.append(";".join(texts))
+                    packed.append(found)
+                al.forget_long()
+                columns = [pa.array(c, pa.int64()) for c in zip(*sums, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns, pa.array(groups, pa.string()), pa.array(packed, pa.binary())], names=["doc_id", "h", *SUMS, "groups", "links"])
+
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    return rows.mapInArrow(label, f"doc_id {kind}, h long, " + ", ".join(f"{c} long" for c in SUMS) + ", groups string, links binary")
+
+
+def pair_counts(rows: DataFrame) -> DataFrame:
+    """(pair, n): links of each pair of ids over all labelled rows."""
 
-        def merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-            kinds, at = np.unique(np.concatenate([p for p, _ in parts]), return_inverse=True)
-            return kinds, np.bincount(at, weights=np.concatenate([n for _, n in parts]), minlength=len(kinds)).astype(np.int64)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def out() -> pa.RecordBatch:
-            pair, n = merge(held)
+            kinds, at = np.unique(np.concatenate([p for p, _ in held]), return_inverse=True)
+            n = np.bincount(at, weights=np.concatenate([n for _, n in held]), minlength=len(kinds)).astype(np.int64)
             held.clear()
-            return pa.RecordBatch.from_pydict({"pair": pa.array(pair), "n": pa.array(n)})
+            return pa.RecordBatch.from_pydict({"pair": pa.array(kinds), "n": pa.array(n)})
 
         for whole in batches:
             for at in range(0, whole.num_rows, TEXTS):
-                seen = Counter(chain.from_iterable(al.chunks(whole.column(0).slice(at, TEXTS).to_pylist())))
-                if seen:
-                    found = [al.known[c][4] for c in seen]
-                    times = np.repeat(np.fromiter(seen.values(), dtype=np.int64), [len(p) // 8 for p in found])
-                    held.append(merge([(np.frombuffer(b"".join(found), dtype=np.int64), times)]))
-                al.forget_long()
+                b = whole.slice(at, TEXTS)
+                held.append(np.unique(links(b, 1, b.column(0).to_numpy()), return_counts=True))
                 if sum(len(p) for p, _ in held) > HELD:
                     yield out()
         if held:
             yield out()
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return rows.select("n_links", "links").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 def align(docs: DataFrame, a_path: str, b_path: str, keep: Callable[[Column], Column] | None = None, doc_id: str = "doc_id", text: str = "text", told: int = TOLD) -> DataFrame:
@@ -271,50 +288,42 @@ def align(docs: DataFrame, a_path: str, b_path: str, keep: Callable[[Column], Co
     n_best: links whose pair is linked as often as any pair of its B id; count_sum: the sum of the links' counts.
     """
     sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(read_vocabularies(a_path, b_path))
-    counts = checkpoint(pair_counts(docs, shared, text))
+    labelled = labelled_rows(docs, sc.broadcast(read_vocabularies(a_path, b_path)), doc_id, text)
+    rows = checkpoint(labelled.withColumn("groups", keep(F.col("groups"))) if keep else labelled)
+    counts = checkpoint(pair_counts(rows))
     tops = counts.groupBy((F.col("pair") % B_IDS).alias("b")).agg(F.max("n").alias("top"))
     # As many rows as B has ids at most.
     counts = checkpoint(counts.withColumn("b", F.col("pair") % B_IDS).join(F.broadcast(tops), "b").select("pair", F.col("n").alias("count"), (F.col("n") == F.col("top")).alias("best")))
     most = most_frequent(counts, "count", told).toArrow()  # at most `told` rows
     known = sc.broadcast(Told(*(most.column(k).to_numpy() for k in range(3))))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-    names = ["doc_id", "h", "pair", "k", "copies", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"]
+    names = ["doc_id", "h", "pair", "k", "copies", *SUMS, "n_best", "count_sum", "groups"]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        al, table = aligner(*shared.value), known.value
-        of = table.remembered()
+        table = known.value
         for whole in batches:
             for at in range(0, whole.num_rows, TEXTS):
                 b = whole.slice(at, TEXTS)
-                place, pair, times, own = [], [], [], []
-                cut = al.chunks(b.column(2).to_pylist())
-                trim(of, CACHE, KEPT)
-                new = list(set().union(*cut).difference(of))
-                of.update(zip(new, table.sums([al.known[c] for c in new]), strict=True))
-                for i, chunks in enumerate(cut):
-                    *sums, texts, others = zip(*map(of.__getitem__, chunks)) if chunks else ((),) * 8
-                    for p, k in Counter(x for o in others for x in o).items():
-                        place.append(i)
-                        pair.append(p)
-                        times.append(k)
-                        own.append((0,) * 7 + (None,))
-                    # No pair is below zero, so this key meets none and does not make one hot task.
-                    place.append(i)
-                    pair.append(-1 - i - at)
-                    times.append(0)
-                    own.append((1, *map(sum, sums), ";".join(texts)))
-                al.forget_long()
-                for c in new:
-                    if len(c) > SHORT:
-                        del of[c]
-                to = pa.array(place, pa.int32())
-                columns = [pa.array(c, pa.int64() if j < 7 else pa.string()) for j, c in enumerate(zip(*own, strict=True))]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(to), b.column(1).take(to), pa.array(pair, pa.int64()), pa.array(times, pa.int64()), *columns], names=names)
+                n, size = b.column(5).to_numpy(), b.num_rows
+                pairs = links(b, 7, n)
+                told_, best, count = table.look_up(pairs)
+                end = np.cumsum(n)
+                sums = [np.diff(np.concatenate([[0], np.cumsum(x, dtype=np.int64)])[end], prepend=0) for x in (best, count)]
+                # Pairs that are not told, once for each row with the number of their links in it.
+                row, other = np.repeat(np.arange(size), n)[~told_], pairs[~told_]
+                by = np.lexsort((other, row))
+                row, other = row[by], other[by]
+                first = np.flatnonzero(np.diff(row, prepend=-1) | np.diff(other, prepend=-1))
+                times = np.diff(first, append=len(row))
+                # No pair is below zero, so a row's own key meets none and does not make one hot task.
+                to = np.concatenate([np.arange(size), row[first]])
+                zeros = np.zeros(len(first), dtype=np.int64)
+                own = [np.concatenate([x, zeros]) for x in (np.ones(size, dtype=np.int64), *(b.column(i).to_numpy() for i in range(2, 6)), *sums)]
+                groups = pa.concat_arrays([b.column(6), pa.nulls(len(first), b.column(6).type)])
+                columns = [pa.array(c, pa.int64()) for c in (np.concatenate([-1 - np.arange(at, at + size), other[first]]), np.concatenate([np.zeros(size, dtype=np.int64), times]), *own)]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(to)), b.column(1).take(pa.array(to)), *columns, groups], names=names)
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     parts = rows.mapInArrow(measure, f"doc_id {kind}, h long, " + ", ".join(f"{c} long" for c in names[2:-1]) + ", groups string")
-    parts = parts.withColumn("groups", keep(F.col("groups"))) if keep else parts
     joined = parts.join(counts, "pair", "left").withColumns({"n_best": F.col("n_best") + F.when(F.col("best"), F.col("k")).otherwise(0), "count_sum": F.col("count_sum") + F.col("k") * F.coalesce("count", F.lit(0))})
     by_row = joined.groupBy("doc_id", "h").agg(*[F.sum(c).alias(c) for c in names[4:-1]], F.max("groups").alias("groups"))
     each = [F.expr(f"{c} div copies").alias(c) for c in names[5:-1]]

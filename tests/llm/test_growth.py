@@ -1,8 +1,10 @@
 import random
 
+import public_tokenizers
+from pyspark.sql import functions as F
 from tests.llm.test_queries import brute_components
 
-from tessera.llm import jaccard
+from tessera.llm import alignment, jaccard
 
 
 def joined_rows(df):
@@ -50,3 +52,16 @@ def test_copies_with_own_edits_meet_only_where_they_can_link(spark, monkeypatch)
     got = sorted(tuple(r[c] for c in ("doc_id", "n_shingles", "component_id")) for r in jaccard.jaccard_components(docs, 5, 80, 100).collect())
     assert seen and max(seen) < 100 * len(rows)
     assert got == sorted(r[:3] for r in brute_components(rows, 5, 80, 100))
+
+
+def test_alignment_labels_every_text_once(spark, table_dir):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(text):
+        seen.add(1)
+        return text
+
+    docs = spark.read.parquet(f"{table_dir}/documents.parquet")
+    watched = docs.withColumn("text", F.udf(counted, "string").asNondeterministic()("text"))
+    got = alignment.align(watched, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), told=50)
+    assert len(got.collect()) == docs.count() == seen.value
