@@ -32,8 +32,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data in the texts by its kind; n_chars follows the text."""
-    field = pii.train(docs)
-    found = docs.withColumn("text", pii.redacted_column(docs, field, F.col("text")))
+    found = pii.redacted_rows(docs, pii.train(docs))
     return found.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else found
 
 

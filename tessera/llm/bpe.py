@@ -89,9 +89,7 @@ class PrefixEncoder:
         j = json.loads(spec)
         model = j["model"]
         self.suffix = model["end_of_word_suffix"] or ""
-        self.vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in j["added_tokens"]}
-        self.rank = {tuple(m): k for k, m in enumerate(m if isinstance(m, list) else m.split(" ") for m in model["merges"])}
         self.table = DecodeTable(j)
         self.piece = regex.compile(j["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.split_special = regex.compile("(" + "|".join(regex.escape(t) for t in self.special) + ")") if self.special else None
@@ -99,13 +97,12 @@ class PrefixEncoder:
         self.cache: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.fits: dict[int, bool] = {}
-        self._edges()
+        made = self._edges(model["vocab"], [m if isinstance(m, list) else m.split(" ") for m in model["merges"]])
         self.automaton = ahocorasick.Automaton()
-        for i, t in self.made.items():
+        for i, t in made.items():
             s = self.symbols(t)
             self.automaton.add_word(s, (i, len(s)))
         self.automaton.make_automaton()
-        del self.made, self.vocab  # the automaton holds what encoding needs
 
     def symbols(self, token: str) -> str:
         """One character for each symbol; the one that ends a word is moved up by END."""
@@ -114,35 +111,40 @@ class PrefixEncoder:
             return t[:-1] + chr(ord(t[-1]) + END)
         return token
 
-    def _edges(self) -> None:
-        """For each token that merging can make: the parts on its right and left edge, each with the rank at which it is absorbed."""
-        base = [t + e for t in self.bytes for e in ("", self.suffix) if t + e in self.vocab]
-        how: dict[str, tuple[str, str, int]] = {}
-        right: dict[str, list[tuple[str, int]]] = {t: [(t, NEVER)] for t in base}
-        left: dict[str, list[tuple[str, int]]] = {t: [(t, NEVER)] for t in base}
-        for (a, b), r in self.rank.items():
+    def _edges(self, vocab: dict[str, int], merges: list[list[str]]) -> dict[int, str]:
+        """The tokens that merging can make, by id; sets of each its first and last part and the rank of its merge.
+
+        The parts on an edge are a chain: the token, its part on that edge, that part's part, and so on, each
+        absorbed at the rank of the token before it.
+        """
+        size = max(vocab.values(), default=-1) + 1
+        self.first, self.last, self.built = array("i", [-1]) * size, array("i", [-1]) * size, array("i", [-1]) * size
+        self.rank = {vocab[a] << 20 | vocab[b]: r for r, (a, b) in enumerate(merges) if a in vocab and b in vocab}
+        made = {vocab[t + e]: t + e for t in self.bytes for e in ("", self.suffix) if t + e in vocab}
+        for r, (a, b) in enumerate(merges):
             whole = a[: -len(self.suffix)] + b if self.suffix and a.endswith(self.suffix) else a + b
+            i, x, y = vocab.get(whole, -1), vocab.get(a, -1), vocab.get(b, -1)
             # Parts come before wholes; a second way to write a token never takes place.
-            if whole in how or whole not in self.vocab or a not in right or b not in left or whole != a + b:
+            if i < 0 or self.built[i] >= 0 or x not in made or y not in made or whole != a + b:
                 continue
-            if self._meet(right[a], left[b]) != r:
+            if self._meet(x, y) != r:
                 continue
-            how[whole] = (a, b, r)
-            right[whole] = [(whole, NEVER), (b, r), *right[b][1:]]
-            left[whole] = [(whole, NEVER), (a, r), *left[a][1:]]
-        self.made = {self.vocab[t]: t for t in right}
-        self.right = {self.vocab[t]: x for t, x in right.items()}
-        self.left = {self.vocab[t]: x for t, x in left.items()}
-
-    def _meet(self, right: list[tuple[str, int]], left: list[tuple[str, int]]) -> int | None:
-        """Rank of the first merge across a border, None where there is none."""
-        first = None
-        for a, gone_a in right:
-            for b, gone_b in left:
-                r = self.rank.get((a, b))
-                if r is not None and r < gone_a and r <= gone_b and (first is None or r < first):
-                    first = r
-        return first
+            self.first[i], self.last[i], self.built[i] = x, y, r
+            made[i] = whole
+        return made
+
+    def _meet(self, a: int, b: int) -> int | None:
+        """Rank of the first merge across the border of two tokens, None where there is none."""
+        best, gone_a = None, NEVER
+        while a >= 0:
+            c, gone_c = b, NEVER
+            while c >= 0:
+                r = self.rank.get(a << 20 | c)
+                if r is not None and r < gone_a and r <= gone_c and (best is None or r < best):
+                    best = r
+                c, gone_c = self.first[c], self.built[c]
+            a, gone_a = self.last[a], self.built[a]
+        return best
 
     def _fit(self, a: int, b: int) -> bool:
         key = a << 20 | b
@@ -150,7 +152,7 @@ class PrefixEncoder:
         if known is None:
             if len(self.fits) > 4 * CACHE:
                 self.fits.clear()
-            known = self.fits[key] = self._meet(self.right[a], self.left[b]) is None
+            known = self.fits[key] = self._meet(a, b) is None
         return known
 
     def encode_symbols(self, s: str) -> list[int]:
@@ -241,6 +243,7 @@ def _kept(kind: type, shared):
     if key not in _KEPT:
         give_back()  # what the worker's stages before have freed
         _KEPT[key] = kind(shared.value) if kind is PrefixEncoder else kind(json.loads(shared.value))
+        give_back()  # what reading the file took
     return _KEPT[key]
 
 
@@ -284,7 +287,10 @@ def round_trip_column(vocab, text: Column) -> Column:
 
 
 def round_trips(enc: PrefixEncoder, batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """The batches with a number of ids, the ids and the decoded text in place of the text, at most TEXTS rows at a time."""
+    """The batches with a number of ids, the ids and the decoded text in place of the text, at most TEXTS rows at a time.
+
+    Workers wait for later tasks and stages: what a batch took is given back before the next one.
+    """
     for whole in batches:
         others = [c for c in whole.schema.names if c != text]
         for at in range(0, whole.num_rows, TEXTS):
@@ -292,6 +298,9 @@ def round_trips(enc: PrefixEncoder, batches: Iterator[pa.RecordBatch], text: str
             ids = enc.encode_all(b.column(text))
             made = [pc.list_value_length(ids).cast(pa.int64()), ids, enc.table.decode_all(ids)]
             yield pa.RecordBatch.from_arrays([*map(b.column, others), *made], [*others, "n_tokens", "ids", "decoded"])
+            del b, ids, made
+        del whole
+        give_back()
 
 
 def round_trip(docs: DataFrame, vocab, text: str = "text") -> DataFrame:

@@ -24,10 +24,12 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +46,8 @@ BORDERS = 12
 SAMPLE = 300
 #: Generated lines that the field is trained on, and regions of the sampled texts at most (drawn evenly).
 LINES, OWN = 1200, 600
+#: Texts that a worker holds as strings at a time while it redacts.
+TEXTS = 256
 
 # The plain forms. Possessive where the written form cannot profit from giving back.
 DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -411,12 +415,25 @@ def redact_column(text: Column, spans: Column) -> Column:
     return redacted(text, spans)
 
 
-def redacted_column(docs: DataFrame, field: SpanField, text: Column) -> Column:
-    """The whole text with all its spans replaced by their kinds, found and replaced in one Python evaluation; null for null."""
-    shared = docs.sparkSession.sparkContext.broadcast(field)
+def redacted_batches(field: SpanField, batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    """The batches with all spans of the whole texts replaced by their kinds, at most TEXTS rows at a time; null for null."""
+    for whole in batches:
+        at_text = whole.schema.get_field_index(text)
+        for at in range(0, whole.num_rows, TEXTS):
+            b = whole.slice(at, TEXTS)
+            made = [redact(t, [s for some in field.spans(t) for s in some]) for t in b.column(at_text).to_pylist()]
+            columns = [pa.array(made, pa.string()) if k == at_text else c for k, c in enumerate(b.columns)]
+            yield pa.RecordBatch.from_arrays(columns, whole.schema.names)
+            del b, made, columns
+        del whole
+        give_back()
 
-    @F.pandas_udf("string")
-    def redacted(texts: pd.Series) -> pd.Series:
-        return pd.Series([redact(t, [s for some in shared.value.spans(t) for s in some]) for t in texts], dtype="object")
 
-    return redacted(text)
+def redacted_rows(docs: DataFrame, field: SpanField, text: str = "text") -> DataFrame:
+    """docs with all spans of each whole text replaced by their kinds, found and replaced in one Python evaluation; null for null.
+
+    A worker holds the strings of a few texts at a time; as a column those of a whole Arrow batch (10,000 rows by
+    default) would be held at once, before and after.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(field)
+    return docs.mapInArrow(lambda batches: redacted_batches(shared.value, batches, text), docs.schema)
