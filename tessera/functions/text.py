@@ -46,8 +46,8 @@ def bound(value: Column, use) -> Column:
 
 
 def normalize(text: Column) -> Column:
-    """White space collapsed and trimmed; null becomes empty."""
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
+    """White space, separators of files, groups, records and units among it, collapsed and trimmed; null becomes empty."""
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)[\s\x1c-\x1f]+", " "))
 
 
 def fold(text: Column) -> Column:

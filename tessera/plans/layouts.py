@@ -112,6 +112,6 @@ def document_sections(spark, d):
 )
 def near_duplicate_hashes(spark, d):
     """All pairs of different hashes of a source within seven bits, with the documents that each stands for."""
-    docs = table(spark, d, "documents")
+    docs = table(spark, d, "documents").filter(D.has_words(F.col("text")))
     hashed = docs.select("doc_id", "source").join(D.word_votes(docs, "doc_id", "text"), "doc_id")
     return D.near_pairs(hashed, "source", "doc_id", 7)
