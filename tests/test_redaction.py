@@ -1,8 +1,10 @@
 """Findings, redacted texts and offsets against plain Python."""
 
+import hashlib
 import tracemalloc
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import redaction as R
@@ -79,3 +81,32 @@ def test_a_batch_is_held_as_python_objects_a_few_texts_at_a_time():
     assert len(found) == 2001 and len(found[1999]["findings"]) == 40 and found[2000].as_py() == {"findings": [], "redacted": None}
     assert peak < 8 << 20  # all findings as objects at once take more than 20 MB
     assert R._folded(texts.slice(0, 0), names.slice(0, 0), False).type == found.type
+
+
+@pytest.mark.parametrize("name", ["redaction_findings", "redacted_documents", "redaction_maps"])
+def test_queries_take_every_line_that_is_an_address(spark, tmp_path, name):
+    import duckdb
+
+    from tessera.plans import registry
+
+    lines = [f"{k} Baker Street, London" if k % 3 else f"nothing {k}" for k in range(40)]
+    texts = [(1, "\n".join(lines)), (2, "\n".join(lines[1:5])), (3, None), (4, ""), (5, "call 020 7946 0958\nc platz 2; x\n" * 9), (6, "\n".join(f"{k} a road" for k in range(7)))]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = registry.queries()[name](spark, str(tmp_path))
+    base = duckdb.connect()
+    base.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    told = base.execute(registry.oracle_sql()[name])
+    got = sorted(map(tuple, found.select(*[c[0] for c in told.description]).collect()), key=str)
+    assert got == sorted(told.fetchall(), key=str)
+    if name == "redaction_findings":
+        assert found.filter("kind = 'address'").groupBy("doc_id").count().orderBy("doc_id").collect() == [(1, 26), (2, 3), (5, 9), (6, 7)]
+    if name == "redaction_maps":
+        assert found.filter("kind = 'address'").select("doc_id", "n_values").orderBy("doc_id").collect() == [(1, 26), (2, 3), (5, 1), (6, 7)]
+    if name == "redacted_documents":
+        assert (6, 7, 7, hashlib.sha256("\n".join(["[REDACTED_ADDRESS]"] * 7).encode()).hexdigest()) in got
+
+
+def test_the_number_of_address_lines_is_asked_for(spark):
+    frame = spark.createDataFrame([("1 a road\n" * 30,)], "t string")
+    kept = lambda **more: frame.select(R.redaction(F.col("t"), **more)["findings"].alias("f")).select(F.size("f")).first()[0]
+    assert [kept(), kept(address_lines=0), kept(address_lines=5), kept(address_lines=None)] == [R.ADDRESS_LINES, 0, 5, 30]
