@@ -11,10 +11,13 @@ an entry without a year and is passed over within others. Null or empty texts ha
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.vocabulary import bound
@@ -42,6 +45,8 @@ AROUND = "•·|-–—,:;/"
 #: Letters with marks and those that stand for them where words are compared.
 MARKED, BARE = "şŞİğĞüÜöÖçÇäÄâÂàéÉèÈêÊîÎûÛôÔñ", "ssigguuooccaaaaaeeeeeeiiuuoon"
 BLANK, DATED, BEGINS, TITLE, COMPANY = 1, 2, 4, 8, 16
+#: Lines, and bytes of lines, of the rows that are marked together, about; a row beyond them goes by itself.
+LINES, BYTES = 1 << 17, 4 << 20
 
 
 def folded(line: Column) -> Column:
@@ -121,3 +126,81 @@ def entries(lines: Column) -> Column:
     """array of arrays of lines: the entries of a section's lines, without blank ones."""
     both = F.struct(lines.alias("lines"), spans(marks(lines)).alias("spans"))
     return bound(both, lambda b: F.transform(b["spans"], lambda s: F.filter(F.slice(b["lines"], s["first"] + 1, s["last"] - s["first"] + 1), lambda x: F.trim(x) != "")))
+
+
+def _pieces(sizes: np.ndarray, weights: np.ndarray) -> Iterator[tuple[int, int]]:
+    """First and end of runs of rows with at most LINES lines and BYTES bytes, a row at least."""
+    lines, weight = (np.concatenate([[0], np.cumsum(x)]) for x in (sizes, weights))
+    at = 0
+    while at < len(sizes):
+        end = min(np.searchsorted(lines, lines[at] + LINES, "right"), np.searchsorted(weight, weight[at] + BYTES, "right")) - 1
+        end = max(at + 1, int(end))
+        yield at, end
+        at = end
+
+
+def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for many: their keys, the numbers of their lines, the different lines, and which of these each line is."""
+    for b in batches:
+        keys, every = b.columns
+        sizes, flat = pc.list_value_length(every).fill_null(0).to_numpy(), every.flatten()
+        begins = np.concatenate([[0], np.cumsum(sizes)])
+        bytes_to = np.concatenate([[0], np.cumsum(pc.binary_length(flat).fill_null(0).to_numpy(), dtype=np.int64)])
+        for at, end in _pieces(sizes, np.diff(bytes_to[begins])):
+            coded = flat.slice(begins[at], begins[end] - begins[at]).dictionary_encode(null_encoding="encode")
+            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            places, counts = coded.indices.to_numpy().astype(np.int32), sizes[at:end].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([one(keys.slice(at, end - at)), pa.array([counts.tobytes()]), pa.array([places.tobytes()]), one(coded.dictionary)], ["keys", "counts", "places", "words"])
+
+
+def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each size, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _cut_all(codes: np.ndarray, sizes: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries of each row, lines of each entry, places of these lines among all.
+
+    codes: marks of the lines of all rows; held: lines that entries keep. Rows whose marks are alike are cut once.
+    """
+    both = (codes | np.where(held, 0, 32)).astype(np.uint8)
+    begins = np.concatenate([[0], np.cumsum(sizes)])
+    rows = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(begins.astype(np.int64)), pa.py_buffer(both)]).dictionary_encode()
+    kept, lengths, n_kept, n_entries = [], [], [], []
+    for like in rows.dictionary:
+        like = np.frombuffer(like.as_py(), np.uint8)
+        found = [[k for k in range(s["first"], s["last"] + 1) if like[k] < 32] for s in _cut((like & 31).tolist())]
+        kept += (k for own in found for k in own)
+        lengths += map(len, found)
+        n_kept.append(sum(map(len, found)))
+        n_entries.append(len(found))
+    kind = rows.indices.to_numpy()
+    n_kept, n_entries, kept, lengths = (np.array(x, np.int64) for x in (n_kept, n_entries, kept, lengths))
+    first = lambda n: (np.cumsum(n) - n)[kind]
+    places = kept[_ragged(first(n_kept), n_kept[kind])] + np.repeat(begins[:-1], n_kept[kind])
+    return n_entries[kind], lengths[_ragged(first(n_entries), n_entries[kind])], places
+
+
+def _unpacked(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    offsets = lambda n: pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+    for b in batches:
+        for row in range(b.num_rows):
+            keys, words, marked = (b.column(c)[row].values for c in ("keys", "words", "marks"))
+            counts, places = (np.frombuffer(b.column(c)[row].as_buffer(), np.int32) for c in ("counts", "places"))
+            marked = marked.to_numpy()
+            held = (marked & BLANK == 0) & words.is_valid().to_numpy(zero_copy_only=False)
+            n_entries, n_lines, kept = _cut_all(marked[places], counts, held[places])
+            own = pa.ListArray.from_arrays(offsets(n_lines), words.take(pa.array(places[kept])))
+            yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(offsets(n_entries), own)], [key, "entries"])
+
+
+def entry_rows(df: DataFrame, key: str, lines: str) -> DataFrame:
+    """(key, entries) of rows (key, array of lines), entries as in ``entries``; rows without lines have none.
+
+    For many rows that share lines: rows near each other are packed, their different lines are marked once,
+    and rows whose marks are alike are cut once. Nothing is remembered beyond a pack, and no row is shuffled.
+    """
+    kind = df.schema[key].dataType.simpleString()
+    packed = df.select(key, lines).mapInArrow(_packed, f"keys array<{kind}>, counts binary, places binary, words array<string>")
+    return packed.withColumn("marks", marks(F.col("words"))).mapInArrow(lambda batches: _unpacked(batches, key), f"`{key}` {kind}, entries array<array<string>>")

@@ -13,7 +13,8 @@ KINDS = (
     "'Yazılım Mühendisi'", "'Kuzey Yazılım Evi, İstanbul'", "year(o_orderdate) || ' Grand Foods'", "'• worked as manager'",
 )
 #: Ten lines for each order, each of one of the kinds; understood by Spark and DuckDB alike.
-LINES = ", ".join("CASE (o_orderkey * 7 + o_custkey * %d + %d) %% %d %s END" % (i + 1, 5 * i, len(KINDS), " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(KINDS))) for i in range(10))
+PICKS = ["(o_orderkey * 7 + o_custkey * %d + %d) %% %d" % (i + 1, 5 * i, len(KINDS)) for i in range(10)]
+LINES = ", ".join("CASE %s %s END" % (pick, " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(KINDS))) for pick in PICKS)
 
 NOT = r"[^\p{L}\p{N}_]"
 
@@ -57,12 +58,14 @@ def _rows(frame, key):
 @query("cv_entries", entries_sql(f"SELECT o_orderkey, unnest(x) AS line, generate_subscripts(x, 1) - 1 AS spot FROM (SELECT o_orderkey, [{LINES}] AS x FROM orders)", "o_orderkey"))
 def cv_entries(spark, d):
     """Entries of a short CV for every order."""
-    made = spread(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"), "o_orderkey").select("o_orderkey", F.expr(f"array({LINES})").alias("lines"))
-    return _rows(made.select("o_orderkey", E.entries(F.col("lines")).alias("entries")), "o_orderkey")
+    orders = spread(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"), "o_orderkey")
+    kinds = orders.select("o_orderkey", "o_custkey", F.array(*map(F.expr, KINDS)).alias("kinds"))  # each kind once for an order, not once for a line
+    made = kinds.select("o_orderkey", F.array(*[F.get("kinds", F.expr(pick)) for pick in PICKS]).alias("lines"))
+    return _rows(E.entry_rows(made, "o_orderkey", "lines"), "o_orderkey")
 
 
 @query("document_entries", entries_sql("SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) - 1 AS spot FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text <> '')", "doc_id"))
 def document_entries(spark, d):
     """Entries of every whole document."""
     made = table(spark, d, "documents").filter("text <> ''").select("doc_id", F.split("text", "\n").alias("lines"))
-    return _rows(made.select("doc_id", E.entries(F.col("lines")).alias("entries")), "doc_id")
+    return _rows(E.entry_rows(made, "doc_id", "lines"), "doc_id")
